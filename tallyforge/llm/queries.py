@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import mixing, quality, toxicity
+from ._linear import in_fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,8 +17,23 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _classified(spark: SparkSession, sf_dir: str, module, label: str, modulus: int, remainder: int) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter(~in_fold("doc_id", modulus, remainder))
+    scored = module.classify(docs, module.fit(docs, labels))
+    return scored.select("doc_id", in_fold("doc_id", modulus, remainder).alias("held_out"), "score", "predicted")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, "toxic", 4, 2)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, "quality", 3, 1)
+
+
 def queries():
-    return {"op2_mix_sources": op2_mix_sources}
+    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op7_quality": op7_quality}
 
 
 def oracle_sql():
