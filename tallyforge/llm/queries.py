@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, toxicity
+from . import exact_dedup, mixing, quality, toxicity
 from ._linear import in_fold
 
 
@@ -28,13 +28,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, "toxic", 4, 2)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups_of(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality, "quality", 3, 1)
 
 
 def queries():
-    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op7_quality": op7_quality}
+    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op7_quality": op7_quality}
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.ORACLE_SQL}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
