@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, mixing, quality, toxicity
+from . import exact_dedup, fingerprints, mixing, near_dedup, quality, toxicity
 from ._linear import in_fold
 
 
@@ -40,8 +40,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality, "quality", 3, 1)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups_of(_read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_fingerprints": op6_fingerprints, "op7_quality": op7_quality}
+    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_fingerprints": op6_fingerprints, "op7_quality": op7_quality, "op8_near_dedup": op8_near_dedup}
 
 
 def oracle_sql():
