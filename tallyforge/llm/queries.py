@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, quality, toxicity
+from . import exact_dedup, fingerprints, mixing, near_dedup, quality, toxicity, warc
 from ._linear import in_fold
+from ._spark import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path, payloads=False).filter("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _classified(spark: SparkSession, sf_dir: str, module, label: str, modulus: int, remainder: int) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter(~in_fold("doc_id", modulus, remainder))
@@ -45,8 +53,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op2_mix_sources": op2_mix_sources, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_fingerprints": op6_fingerprints, "op7_quality": op7_quality, "op8_near_dedup": op8_near_dedup}
+    return {"op2_mix_sources": op2_mix_sources, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_fingerprints": op6_fingerprints, "op7_quality": op7_quality, "op8_near_dedup": op8_near_dedup}
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
