@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, quality, toxicity, warc
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, toxicity, warc
 from ._linear import in_fold
 from ._spark import scratch_path
 
@@ -13,6 +13,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_definition(path: str | None = None) -> str:
+    """The JSON of the tokenizer at ``path``; without one, of the public word-end BPE with 49,408 tokens."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_definition())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,8 +67,24 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups_of(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op2_mix_sources": op2_mix_sources, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_fingerprints": op6_fingerprints, "op7_quality": op7_quality, "op8_near_dedup": op8_near_dedup}
+    return {
+        "op1_packing": op1_packing,
+        "op2_mix_sources": op2_mix_sources,
+        "op3_warc": op3_warc,
+        "op4_toxicity": op4_toxicity,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_fingerprints": op6_fingerprints,
+        "op7_quality": op7_quality,
+        "op8_near_dedup": op8_near_dedup,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql():
