@@ -1,9 +1,185 @@
-"""Names of the registered queries and the SQL that states the same result."""
+"""The registered queries: each applies an operator of the library to frames derived from the given tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import ballots as B
+from ..operators import condorcet, elections, proposals, tally
+from ..operators.irv import instant_runoff
+from ..sources import derive
+from ..sources.derive import table
+from .oracles import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _told(header: DataFrame) -> DataFrame:
+    """winners as the one id (null if none), ratios to nine places."""
+    rounded = [F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in header.dtypes if c != "winners"]
+    return header.select(*rounded, F.get("winners", F.lit(0)).alias("winners"))
+
+
+def _counts(counts: DataFrame) -> DataFrame:
+    return counts.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in counts.dtypes if c != "ord"])
+
+
+def _tallied(derived, method, part: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = method(*derived(spark, sf_dir))
+        return _told(result.header) if part == "header" else _counts(result.counts)
+
+    return run
+
+
+def _ballots(derived, select: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: select(derived(spark, sf_dir)[0])
+
+
+def _pairwise(select: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ballots, candidates = derive.ranked(spark, sf_dir)
+        return select(condorcet.margins(condorcet.pairwise_matrix(ballots, candidates)), candidates)
+
+    return run
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return derive.ranked(spark, sf_dir, "c_mktsegment")
+
+
+def ballot_validate_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ballots, candidates = derive.ranked(spark, sf_dir)
+    ids = candidates.groupBy("election_id").agg(F.collect_list("candidate_id").alias("ids"))
+    return B.checked(ballots.join(ids, "election_id"), B.ranked_error("ranking", "ids"), strict=False).select("voter_id", "error")
+
+
+def ranked_pairs_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return condorcet.ranked_pairs(*derive.ranked(spark, sf_dir)).more["edges"].select("election_id", "seq", "winner", "loser", "margin", "status")
+
+
+def ranked_pairs_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(condorcet.ranked_pairs(*derive.ranked(spark, sf_dir)).header)
+
+
+def irv_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounds = instant_runoff(*_segments(spark, sf_dir)).more["rounds"]
+    return rounds.withColumn("eliminated", F.array_join("eliminated", ","))
+
+
+def irv_round_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instant_runoff(*_segments(spark, sf_dir)).more["round_counts"]
+
+
+def irv_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(instant_runoff(*_segments(spark, sf_dir)).header)
+
+
+def nested_author_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as proposals, customers as authors, nations as programs in regions as domains."""
+    nations = proposals.with_parent(table(spark, sf_dir, "nation"), "n_regionkey", table(spark, sf_dir, "region"), "r_regionkey", ["r_name"], "domain")
+    authors = proposals.with_parent(table(spark, sf_dir, "customer"), "c_nationkey", nations, "n_nationkey", ["n_name", "domain"], "program")
+    loaded = proposals.with_parent(table(spark, sf_dir, "orders"), "o_custkey", authors, "c_custkey", ["c_custkey", "c_name", "program"], "author")
+    return loaded.select(F.col("o_orderkey").alias("id"), F.col("author.c_custkey").alias("author_id"), F.col("author.c_name").alias("handle"), F.col("author.program.n_name").alias("program"), F.col("author.program.domain.r_name").alias("domain"))
+
+
+def nested_children_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = proposals.children(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"], "items")
+    loaded = proposals.with_children(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", items, "items")
+    told = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["l_linenumber"], i["l_partkey"])), ",")
+    return loaded.select(F.col("o_orderkey").alias("id"), told.alias("items"), F.size("items").alias("n_items"))
+
+
+def programs_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(True).alias("active"))
+    programs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("domain_id"), F.col("n_name").alias("name"), F.lit(True).alias("active"))
+    return proposals.domains_with_programs(domains, programs).select("id", "name", F.array_join(F.transform("programs", lambda p: p["name"]), ",").alias("programs"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), F.col("l_quantity").cast("int").alias("one_time_usd"), (F.col("l_linenumber") * 10).cast("int").alias("annual_usd"))
+
+
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey < 3")
+    return proposals.orphans(table(spark, sf_dir, "customer"), "c_nationkey", nations, "n_nationkey").select("c_custkey")
+
+
+def _uuid_of(key: Column) -> Column:
+    return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(key.cast("string"), 12, "0"))
+
+
+def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as proposal forms whose actions, metrics and budget items are their lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    text = F.col("l_linenumber").cast("string")
+    entry = F.struct(
+        "l_linenumber", F.struct(text.alias("text")).alias("action"), F.struct(text.alias("name"), F.lit("count").alias("unit"), text.alias("baseline_val"), text.alias("target_val"), F.lit("2030-01-01").alias("deadline")).alias("metric"),
+        F.struct(text.alias("item_name"), (F.col("q") - 2).alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence")).alias("item"),
+    )
+    lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    key = F.col("o_orderkey")
+    forms = table(spark, sf_dir, "orders").select("o_orderkey").join(lists, key == F.col("l_orderkey"), "left").select(
+        key.alias("id"), F.repeat(F.lit("x"), (key % 70).cast("int")).alias("title"), F.lit("summary").alias("summary"), F.lit("problem").alias("problem_plain"),
+        F.transform("l", lambda x: x["action"]).alias("actions"), F.transform("l", lambda x: x["metric"]).alias("metrics"), F.transform("l", lambda x: x["item"]).alias("budget_items"),
+        F.array(F.struct(_uuid_of(key).alias("domain_id"), F.lit(None).cast("string").alias("program_id"), F.lit(True).alias("is_primary"))).alias("topics"),
+        F.when(key % 5 == 0, 0).otherwise(100).alias("population_estimate"), F.lit(False).alias("needs_new_authority"), F.lit(30).alias("retention_days"),
+        F.when(key % 11 == 0, F.lit("nobody")).otherwise(_uuid_of(key)).alias("author_id"),
+    )
+    return proposals.form_errors(forms).select("id", F.array_join("errors", ",").alias("errors"))
+
+
+def election_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("candidates"))
+    set_up = table(spark, sf_dir, "region").join(names, F.col("r_regionkey") == F.col("n_regionkey")).select(
+        F.col("r_name").alias("title"), F.concat(F.lit("Nations of "), "r_name").alias("description"), F.lit("ranked").alias("ballot_type"), "candidates",
+        F.lit(0).alias("min_score"), F.lit(10).alias("max_score"), F.lit(100).alias("credit_budget"),
+    )
+    return elections.payload(elections.configuration_errors(set_up)).select("title", "payload", F.array_join("errors", ",").alias("errors"))
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "plurality_counts": _tallied(derive.single_choice, tally.plurality, "counts"),
+        "plurality_winner": _tallied(derive.single_choice, tally.plurality, "header"),
+        "approval_counts_rates": _tallied(derive.approval, tally.approval, "counts"),
+        "approval_header": _tallied(derive.approval, tally.approval, "header"),
+        "score_totals": _tallied(derive.score, tally.score, "counts"),
+        "score_header": _tallied(derive.score, tally.score, "header"),
+        "borda_totals": _tallied(derive.ranked, tally.borda, "counts"),
+        "borda_header": _tallied(derive.ranked, tally.borda, "header"),
+        "quadratic_totals": _tallied(derive.quadratic, tally.quadratic, "counts"),
+        "quadratic_header": _tallied(derive.quadratic, tally.quadratic, "header"),
+        "ballot_abstentions": _ballots(derive.single_choice, lambda b: b.groupBy("election_id").agg(F.count_if(B.is_single_abstention()).alias("abstentions"), F.count("*").alias("total_ballots"))),
+        "ballot_validate_ranked": ballot_validate_ranked,
+        "ballot_validate_score": _ballots(derive.score, lambda b: B.checked(b, B.score_error("scores", 1, 9), strict=False).select("election_id", "voter_id", "error")),
+        "ballot_validate_quadratic": _ballots(derive.quadratic, lambda b: B.checked(b, B.quadratic_error("allocations", "credit_budget", allow_negative=False), strict=False).select("voter_id", "error")),
+        "rank_lookup": _ballots(derive.ranked, lambda b: b.select("voter_id", B.rank_of("ranking", F.lit("3-MEDIUM")).alias("rank_of_medium"), B.choice_at("ranking", 2).alias("second_choice"), B.first_choice("ranking").alias("first_choice"), B.choice_at("ranking", 0).alias("choice_at_zero"))),
+        "prefers_pairs": _ballots(derive.ranked, lambda b: b.withColumn("p", B.prefers("ranking", F.lit("1-URGENT"), F.lit("5-LOW"))).groupBy("election_id").agg(F.count_if("p").alias("urgent_over_low"), F.count_if(F.col("p").isNull()).alias("undecided"))),
+        "pairwise_matrix": _pairwise(lambda m, c: m.select("election_id", "a", "b", "votes")),
+        "pairwise_margins": _pairwise(lambda m, c: m),
+        "condorcet_winner": _pairwise(lambda m, c: condorcet.condorcet_winner(condorcet.wins(m, c))),
+        "victories_sorted": _pairwise(lambda m, c: condorcet.victories(m)),
+        "ranked_pairs_locked": ranked_pairs_locked,
+        "ranked_pairs_winner": ranked_pairs_winner,
+        "irv_rounds": irv_rounds,
+        "irv_round_counts": irv_round_counts,
+        "irv_winner": irv_winner,
+        "quadratic_ballot_costs": _ballots(derive.quadratic, lambda b: b.select("voter_id", B.total_cost("allocations").alias("total_cost"), B.credits_remaining("allocations", "credit_budget").alias("remaining"), F.round(B.credit_utilization("allocations", "credit_budget"), 9).alias("utilization"), B.candidates_in("allocations").alias("candidates"), B.max_votes_for_budget("credit_budget").alias("max_votes"))),
+        "score_ballot_stats": _ballots(derive.score, lambda b: b.select("election_id", "voter_id", B.candidates_in("scores").alias("candidates"), B.total_points("scores").alias("total_points"), B.highest_score("scores").alias("highest"), B.lowest_score("scores").alias("lowest"), B.score_of("scores", F.lit("R")).alias("score_of_r"))),
+        "nested_author_load": nested_author_load,
+        "nested_children_load": nested_children_load,
+        "programs_by_domain": programs_by_domain,
+        "budget_rollup": lambda spark, sf_dir: proposals.budget_rollup(_items(spark, sf_dir)),
+        "fk_orphans": fk_orphans,
+        "unique_violations": lambda spark, sf_dir: proposals.repeated_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority"),
+        "proposal_validation": proposal_validation,
+        "candidate_list_parse": lambda spark, sf_dir: table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(elections.candidate_list("text"), "|").alias("candidates")),
+        "election_payload": election_payload,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

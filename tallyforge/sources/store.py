@@ -1,0 +1,100 @@
+"""Proposal tables as versioned Parquet: a commit writes the changed tables anew, then one row that names the version.
+
+A reader sees the tables of the last named version only, so a commit of several tables is all or nothing; of two
+writers that race for a version number, the later fails.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..operators.proposals import orphans, repeated_keys
+from . import schemas
+
+
+class ConstraintError(ValueError):
+    """A foreign or unique key that a commit would break."""
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _paths(self) -> tuple[int, dict[str, str]]:
+        try:
+            rows = self.spark.read.schema("tables MAP<STRING,STRING>, version INT").parquet(f"{self.root}/_versions")
+        except AnalysisException:
+            return 0, {}
+        last = rows.orderBy(F.desc("version")).first()
+        return (last["version"], last["tables"]) if last else (0, {})
+
+    def read(self, name: str) -> DataFrame:
+        _, paths = self._paths()
+        schema = schemas.TABLES[name]
+        return self.spark.read.schema(schema).parquet(paths[name]) if name in paths else self.spark.createDataFrame([], schema)
+
+    def commit(self, changed: dict[str, DataFrame]) -> int:
+        """Checks keys, writes the tables of ``changed`` whole, and names the version."""
+        version, paths = self._paths()
+        version += 1
+        written = {}
+        for name, rows in changed.items():
+            path = f"{self.root}/{name}/{version}"
+            want = self.spark.createDataFrame([], schemas.TABLES[name]).schema
+            rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("overwrite").parquet(path)
+            written[name] = path
+        self._check({n: self.spark.read.schema(schemas.TABLES[n]).parquet(p) for n, p in written.items()})
+        self.spark.createDataFrame([(paths | written,)], "tables MAP<STRING,STRING>").coalesce(1).write.mode("error").parquet(f"{self.root}/_versions/version={version}")
+        return version
+
+    def _check(self, new: dict[str, DataFrame]) -> None:
+        now = lambda n: new[n] if n in new else self.read(n)
+        for child, column, parent, _ in schemas.FOREIGN_KEYS:
+            if (child in new or parent in new) and not orphans(now(child), column, now(parent)).isEmpty():
+                raise ConstraintError(f"{child}.{column} names a missing {parent}")
+        for name, rows in new.items():
+            keys = [k for t, k in schemas.UNIQUE_KEYS if t == name] + ([("id",)] if "id" in rows.columns else [])
+            for key in keys:
+                if not repeated_keys(rows, *key).isEmpty():
+                    raise ConstraintError(f"{name} repeats {', '.join(key)}")
+
+    def insert(self, name: str, rows: DataFrame) -> DataFrame:
+        """Adds rows, with defaults where columns are missing, and returns them."""
+        return self.insert_all({name: rows})[name]
+
+    def insert_all(self, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Rows of several tables in one commit."""
+        made = {n: self._with_defaults(n, r) for n, r in rows.items()}
+        before = {n: self.read(n) for n in made}
+        version = self.commit({n: before[n].unionByName(r, allowMissingColumns=True) for n, r in made.items()})
+        del version
+        after = {n: self.read(n) for n in made}
+        return {n: after[n].exceptAll(before[n]) for n in made}
+
+    def _with_defaults(self, name: str, rows: DataFrame) -> DataFrame:
+        now = F.current_timestamp().cast("timestamp_ntz")
+        defaults: dict[str, Column] = {"id": F.uuid(), "created_at": now, "updated_at": now, "active": F.lit(True), "status": F.lit("draft"), "needs_new_authority": F.lit(False), "is_primary": F.lit(False), "budget_one_time_usd": F.lit(0), "budget_annual_usd": F.lit(0), "one_time_usd": F.lit(0), "annual_usd": F.lit(0), "confidence": F.lit(0.5).cast("decimal(3,2)")}
+        for field in self.spark.createDataFrame([], schemas.TABLES[name]).columns:
+            if field in defaults:
+                rows = rows.withColumn(field, F.coalesce(F.col(field), defaults[field]) if field in rows.columns else defaults[field])
+        return rows
+
+    def update(self, name: str, id_: str, values: dict) -> DataFrame:
+        """Sets columns of one row and returns it; an unknown id changes nothing. Users' updated_at moves along."""
+        if name == "app_user":
+            values = {"updated_at": F.current_timestamp().cast("timestamp_ntz")} | values
+        rows = self.read(name)
+        here = F.col("id") == id_
+        for column, value in values.items():
+            rows = rows.withColumn(column, F.when(here, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(column)))
+        self.commit({name: rows})
+        return self.read(name).filter(here)
+
+    def delete(self, name: str, id_: str) -> None:
+        """Removes a row and what cascades from it; fails if a restricting key still names it, not if there is no such row."""
+        changed = {name: self.read(name).filter(F.col("id") != id_)}
+        for child, column, parent, rule in schemas.FOREIGN_KEYS:
+            if parent == name and rule == "cascade":
+                changed[child] = self.read(child).filter(F.col(column) != id_)
+        self.commit(changed)
