@@ -26,7 +26,9 @@ WORDS, BANDS, ROWS = 5, 20, 5
 PERCENT = 85
 #: Pairs whose signatures agree in fewer places are not checked: over five standard deviations below the threshold.
 AGREE = 66
-BLOCK = 256
+BLOCK = 512
+#: Shingles by which a count on 32 bits may be off before it is not trusted either way.
+SLACK = 2
 _HASHES = BANDS * ROWS
 _RANDOM = np.random.Generator(np.random.PCG64(1234))
 _A = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,42 +97,57 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.filter(agree("_x", "_y") >= AGREE).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets, as edges (u, v). Texts reach a pair already turned to sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the members, texts moved once; by a merge join at every size, as ids have no bound."""
 
     def sets(batches):
         for batch in batches:
             found = [x.tobytes() for x in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.binary())], ["doc_id", "shingles"])
 
-    texts = stored(docs.select("doc_id", "text").join(needed, "doc_id").mapInArrow(sets, "doc_id long, shingles binary"), "near-sets")
+    return docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets, as edges (u, v)."""
 
     def confirm(batches):
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
-                if min(len(x), len(y)) * 100 < PERCENT * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                shared = int(_shared(x, y, np.array([0, len(y)]))[0])
                 good.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(confirm, "u long, v long")
 
 
-def _across(buckets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a bucket and agree by signature, each from one bucket only.
+def _shared(x: np.ndarray, others: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many elements of each of ``others`` (not empty, one after the other) the sorted set ``x`` has."""
+    at = np.searchsorted(x, others)
+    return np.add.reduceat((x[np.minimum(at, len(x) - 1)] == others).astype(np.int64), bounds[:-1])
+
+
+def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that are links, or nearly: a tree per bucket rather than all pairs.
 
-    A bucket of m classes is dealt to blocks of about ``BLOCK``, and each two of these meet in one small group.
+    A bucket of m classes is dealt to blocks of about ``BLOCK``, and each two of these meet in one small group, where a
+    pair is looked at in the first band it shares, if sizes and signatures allow a link. The intersection is counted
+    on 32 bits of each shingle: pairs clear of the threshold join their components for the rest of the group, pairs
+    within ``SLACK`` of it are all passed on to be confirmed.
     """
     member = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     open_ = member.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = member.join(open_, ["band", "key"]).join(reps.select("rep", "n_shingles", "bands", "signature"), "rep")
+
+    def halve(batches):
+        for batch in batches:
+            high = [(np.frombuffer(x, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(high, pa.binary())], ["rep", "high"])
+
+    rows = member.join(open_, ["band", "key"])
+    rows = rows.join(reps.select("rep", "n_shingles", "signature"), "rep").join(sets.mapInArrow(halve, "rep long, high binary"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -138,20 +155,30 @@ def _across(buckets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
         rep, component, size = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+        component = np.unique(component, return_inverse=True)[1]
         band = int(table.column("band")[0].as_py())
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, _HASHES)
-        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
+        high = [np.frombuffer(x, dtype=np.uint32) for x in table.column("high").to_pylist()]
         a, b = [], []
         for x in range(len(rep)):
-            other = (component != component[x]) & (rep > rep[x])
+            possible = (component != component[x]) & (rep > rep[x])
             if i[0] != j[0]:
-                other &= block != block[x]
-            other &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
-            at = np.flatnonzero(other)
-            at = at[(signature[at] == signature[x]).sum(axis=1) >= AGREE]
-            at = at[(bands[at] == bands[x]).argmax(axis=1) == band]
-            a += [rep[x]] * len(at)
-            b += rep[at].tolist()
+                possible &= block != block[x]
+            possible &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
+            at = np.flatnonzero(possible)
+            same = signature[at] == signature[x]
+            at = at[(same.sum(axis=(1, 2)) >= AGREE) & (same.all(axis=2).argmax(axis=1) == band)]
+            if not len(at):
+                continue
+            shared = _shared(high[x], np.concatenate([high[y] for y in at]), np.cumsum([0, *[len(high[y]) for y in at]]))
+            over = (100 + PERCENT) * shared - PERCENT * (size[x] + size[at])  # at least 0: a link
+            for y, gain in zip(at, over, strict=True):
+                if gain < -(100 + PERCENT) * SLACK or component[x] == component[y]:
+                    continue
+                a.append(rep[x])
+                b.append(rep[y])
+                if gain >= (100 + PERCENT) * SLACK:
+                    component[component == component[y]] = component[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("band", "key", "i", "j").applyInArrow(meet, "a long, b long")
@@ -176,12 +203,12 @@ def groups_of(docs: DataFrame) -> DataFrame:
     centres = exploded.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last")).filter("centre < _last").drop("_last")
     buckets = stored(exploded.join(centres, ["band", "key"]), "near-buckets")
     stars = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = stored(_agreeing(stars, reps), "near-likely")
-    links = stored(_confirmed(likely, docs), "near-links")
+    sets = stored(_sets(docs, buckets.select("rep").distinct()), "near-sets")
+    links = stored(_confirmed(_agreeing(stars, reps), sets), "near-links")
     found = stored(components(links), "near-components")
-    more = stored(_across(buckets.drop("centre"), reps, found).distinct(), "near-across")
+    more = stored(_across(buckets.drop("centre"), reps, sets, found).distinct(), "near-across")
     if not more.isEmpty():
-        further = _confirmed(more, docs)
+        further = _confirmed(more, sets)
         found = stored(components(further.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "near-components")
     node = signed.select("doc_id", "n_shingles").join(behind, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id")).drop("rep")
     joined = node.join(found, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), F.col("doc_id")))
