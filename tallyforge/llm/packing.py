@@ -19,29 +19,36 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from . import _linear
 from ._spark import stored
 
 WINDOW = 4096
 END = 2
 VOCABULARY = 1 << 16
-SHARD_TOKENS = 1 << 20
+#: A shard ends at so many tokens or units, so its index (a number for each token it has and unit) stays below 200 MB.
+SHARD_TOKENS, SHARD_UNITS = 1 << 20, 1 << 10
 K1, B = 1.2, 0.75
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 _tokenizers: dict = {}
 
 
 class Tokenizer:
     """Token ids of texts as little-endian 16-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between blanks; the
-    parts seen last are kept, a bounded number of them.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between blanks. Parts
+    met lately are kept in two generations of a bounded size; new ones are encoded together, with a mark between them.
     """
 
+    MARK = "\ue000"
+
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Own
 
-        self.own, self.known = Own.from_str(definition), {"": b""}
+        self.own, self.known, self.older = Own.from_str(definition), {"": b""}, {}
+        self.mark = self._ids(self.MARK).tolist()
+        self.ends = np.zeros(VOCABULARY, dtype=bool)
+        self.ends[[i for token, i in self.own.get_vocab().items() if token.endswith("</w>")]] = True
 
     @classmethod
     def shared(cls, definition: str) -> Tokenizer:
@@ -51,16 +58,68 @@ class Tokenizer:
             _tokenizers[key] = cls(definition)
         return _tokenizers[key]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if new := list({p for p in parts if p not in self.known}):
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known = {"": b""}
-                    new = list(set(parts) - {""})
-                for part, found in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[part] = np.array(found.ids, dtype="<u2").tobytes()
-            yield b"".join([self.known[p] for p in parts])
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(self.known)
+        if missing:
+            if len(self.known) + len(missing) > CACHED_WORDS:
+                self.older, self.known = self.known, {"": b""}
+                missing = set().union(*split) - {""}
+            known, older = self.known, self.older
+            known.update([(p, older[p]) for p in missing if p in older])
+            new = [p for p in missing if p not in older]
+            # a stop or comma after a letter is a token of its own
+            ended = [p for p in new if p[-1] in _STOPS and p[-2:-1].isalpha()]
+            plain = {p for p in new if not (p[-1] in _STOPS and p[-2:-1].isalpha())}
+            stems = {p[:-1] for p in ended}.difference(known, plain)
+            known.update([(p, older[p]) for p in stems if p in older])
+            self._learn([*plain, *[p for p in stems if p not in older], *[x for x in _STOPS if x not in known]])
+            known.update([(p, known[p[:-1]] + known[p[-1]]) for p in ended])
+        known = self.known
+        return [b"".join([known[p] for p in parts]) for parts in split]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new parts together. One of letters alone ends at its one end-of-word token, others at a mark."""
+        words = [p for p in new if p.isalpha() and self.MARK not in p]
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            ids = self._ids(" ".join(some))
+            self._keep(some, ids, np.append(0, np.flatnonzero(self.ends[ids]) + 1), 0)
+        others = [p for p in new if not p.isalpha() and self.MARK not in p]
+        for i in range(0, len(others), 2000):
+            some = others[i : i + 2000]
+            ids = self._ids(f" {self.MARK} ".join(some))
+            m = len(self.mark)
+            at = np.ones(max(0, len(ids) - m + 1), dtype=bool)
+            for j, x in enumerate(self.mark):
+                at &= ids[j : len(ids) - m + 1 + j] == x
+            self._keep(some, ids, np.concatenate(([0], np.flatnonzero(at) + m, [len(ids) + m])), m)
+        self._keep_each([p for p in new if self.MARK in p])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+
+    def _keep(self, parts: list[str], ids: np.ndarray, bounds: np.ndarray, gap: int) -> None:
+        if len(bounds) != len(parts) + 1:  # some part does not end as supposed
+            return self._keep_each(parts)
+        raw = ids.tobytes()
+        self.known.update(zip(parts, [raw[a:b] for a, b in zip((2 * bounds[:-1]).tolist(), (2 * (bounds[1:] - gap)).tolist(), strict=True)], strict=True))
+
+    def _keep_each(self, parts: list[str]) -> None:
+        for part in parts:
+            self.known[part] = self._ids(part).tobytes()
+
+
+_STOPS = (".", ",")
+
+
+def _lower(text: str) -> str:
+    """Lower-cased as the tokenizer does it, where that is sure: in Latin-1 every character is composed and maps alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 _UNIT = "doc_id long, start long, ids binary, doc_tokens long, rare1 int, rare2 int, kind string"
@@ -71,35 +130,27 @@ def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
 
     def work(batches):
         tokenizer = Tokenizer.shared(definition)
-        counts = np.zeros(VOCABULARY, dtype=np.int64)
+        counts, bitmap = np.zeros(VOCABULARY, dtype=np.int64), np.zeros(VOCABULARY, dtype=bool)
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(_texts(batch.column("text"))), strict=True):
-                ids += end
-                n = len(ids) // 2
-                cut = n - n % window
-                rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, 0, 0, "whole") for s in range(0, cut, window)]
-                if cut < n:
-                    rest = ids[2 * cut :]
-                    seen = np.unique(np.frombuffer(rest, dtype="<u2"))
-                    counts[seen] += 1
-                    rows.append((doc_id, cut, rest, n, int(seen[-1]), int(seen[-2]) if len(seen) > 1 else -1, "unit"))
-                if len(rows) >= 2048:
-                    yield _units(rows)
-                    rows = []
-            if rows:
+            for first in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(first, 256), []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text").to_pylist()), strict=True):
+                    ids += end
+                    n = len(ids) // 2
+                    cut = n - n % window
+                    rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, 0, 0, "whole") for s in range(0, cut, window)]
+                    if cut < n:
+                        rest = ids[2 * cut :]
+                        seen = _linear.distinct(np.frombuffer(rest, dtype="<u2"), bitmap)
+                        counts[seen] += 1
+                        rows.append((doc_id, cut, rest, n, int(seen[-1]), int(seen[-2]) if len(seen) > 1 else -1, "unit"))
                 yield _units(rows)
         yield _units([(None, None, counts.tobytes(), None, None, None, "counts")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _UNIT)
 
 
-def _texts(column: pa.Array) -> Iterator[str | None]:
-    for value in column:
-        yield value.as_py()
-
-
 def _units(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "ids", "doc_tokens", "rare1", "rare2", "kind"])
@@ -127,32 +178,27 @@ def _statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
 
 
 class Shard:
-    """The inverted index of some units: for each token its units and their BM25 weights."""
+    """The inverted index of some units: a row of BM25 weights by unit for each token that has any."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float):
-        tokens, weights, owner = [], [], []
-        self.terms = []
-        for u, ids in enumerate(units):
-            counts = np.bincount(ids)
-            at = np.flatnonzero(counts)
+        self.terms, weights, bitmap = [], [], np.zeros(VOCABULARY, dtype=bool)
+        for ids in units:
+            at = _linear.distinct(ids, bitmap)
             at = at[idf[at] > 0]
-            tf = counts[at].astype(np.float32)
+            tf = np.bincount(ids, minlength=VOCABULARY)[at].astype(np.float32)
             self.terms.append(at)
-            tokens.append(at)
-            weights.append(idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-            owner.append(np.full(len(at), u, dtype=np.int32))
-        token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        order = np.argsort(token, kind="stable")
-        self.weight = np.concatenate(weights)[order] if tokens else np.zeros(0, np.float32)
-        self.unit = np.concatenate(owner)[order] if tokens else np.zeros(0, np.int32)
-        self.bounds = np.searchsorted(token[order], np.arange(VOCABULARY + 1))
-        self.n = len(units)
+            weights.append(idf[at] * tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(ids) / mean))))
+        used = np.unique(np.concatenate(self.terms)) if units else np.zeros(0, dtype=np.int64)
+        self.row = np.full(VOCABULARY, -1, dtype=np.int64)
+        self.row[used] = np.arange(len(used))
+        self.postings = np.zeros((len(used), len(units)), dtype=np.float32)
+        for u, (at, weight) in enumerate(zip(self.terms, weights, strict=True)):
+            self.postings[self.row[at], u] = weight
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Every unit's BM25 score for a query of distinct tokens."""
-        a, n = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.unit[at], weights=self.weight[at], minlength=self.n)
+        rows = self.row[terms]
+        return self.postings[rows[rows >= 0]].sum(axis=0)
 
 
 class _Packer:
@@ -263,7 +309,7 @@ def _shards(batches, shard_tokens: int) -> Iterator[list[tuple]]:
             ids = np.frombuffer(row[2], dtype="<u2")
             units.append((row[0], row[1], ids, row[3]))
             tokens += len(ids)
-            if tokens >= shard_tokens:
+            if tokens >= shard_tokens or len(units) == SHARD_UNITS:
                 yield units
                 units, tokens = [], 0
     if units:
