@@ -29,9 +29,12 @@ TABLE = 1 << 18
 #: Tables of counts move in so many blocks, so that their sums are spread.
 TABLE_BLOCKS = 16
 SEEN_LINES = 400_000
-HOT_ROWS = 2048
+#: A block of a hot token has about so many entries; a meeting of more than ``LARGE_MEETING`` is dealt to blocks anew.
+HOT_ROWS, LARGE_MEETING = 512, 4096
 ROWS_PER_SHARD, LEAST_SHARDS = 1 << 18, 64
 PAIRS_AT_ONCE = 1 << 18
+#: Meetings of so many rows are counted by matrices rather than by pairs.
+DENSE_ROWS = 32
 FILTER_BITS = 1 << 24
 SALTS = 16
 #: Lines without a doc_id are later than all others.
@@ -193,6 +196,36 @@ def _prefixes(bounds: np.ndarray, rows: np.ndarray, percent: int) -> tuple[np.nd
 _FIELDS = [("key", "<u4"), ("d1", "<i8"), ("low", "<u8"), ("high", "<u8"), ("size", "<i4"), ("pos", "<i4"), ("side", "u1")]
 
 
+def _parity(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, of which its tokens flip one each: two sets differ in as many tokens as bits, or in more."""
+    bit = (tokens >> _U64(20)) & _U64(127)
+    one = _U64(1) << (bit & _U64(63))
+    return tuple(np.bitwise_xor.reduceat(np.where(half, one, _U64(0)), bounds[:-1]) for half in (bit < 64, bit >= 64))
+
+
+def _may_link(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= most
+
+
+def _spread(x: dict[str, np.ndarray], blocks: np.ndarray, shards: int) -> pa.RecordBatch:
+    """(shard, data) of entries whose key is dealt to ``blocks`` blocks, of which each two meet, and each meets itself."""
+    many = np.repeat(np.arange(len(blocks)), blocks)
+    other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    x = {c: v[many] for c, v in x.items()}
+    block = (_text.mix64(x["d1"].view(np.uint64)) % blocks[many].astype(np.uint64)).astype(np.int64)
+    meeting = (np.minimum(block, other) << 31) | np.maximum(block, other)
+    mixed = _text.mix64(x["key"] + _text.mix64(meeting.astype(np.uint64)))
+    shard = ((mixed >> _U64(32)) % _U64(shards)).astype(np.int64)
+    # 0: the lower block of a meeting, 1: the higher one, 2: a block meeting itself
+    x |= {"key": mixed & _U64(0xFFFFFFFF), "side": np.where(block == other, 2, block > other)}
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    raw = [x[c][order].astype(t) for c, t in _FIELDS]
+    full = np.flatnonzero(np.diff(ends))
+    data = [b"".join([v[ends[s] : ends[s + 1]].tobytes() for v in raw]) for s in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+
+
 def _dealt(sets: DataFrame, blocks: np.ndarray, shards: int, percent: int) -> DataFrame:
     """(shard, data): prefix entries as columns of bytes. Entries of a hot token go to every meeting of their block."""
 
@@ -202,29 +235,12 @@ def _dealt(sets: DataFrame, blocks: np.ndarray, shards: int, percent: int) -> Da
                 continue
             tokens, bounds = _unpacked(batch.column("tokens"))
             size, d1 = np.diff(bounds), batch.column("d1").to_numpy()
-            bit = (tokens >> _U64(20)) & _U64(127)
-            one = _U64(1) << (bit & _U64(63))
-            low, high = (np.bitwise_xor.reduceat(np.where(half, one, _U64(0)), bounds[:-1]) for half in (bit < 64, bit >= 64))
+            low, high = _parity(tokens, bounds)
             at, n = _prefixes(bounds, np.arange(len(size)), percent)
             row = np.repeat(np.arange(len(size)), n)
             token, pos = tokens[at], at - bounds[row]
-            own = blocks[_bucket(token)]
-            many = np.repeat(np.arange(len(row)), own)
-            other = np.arange(len(many)) - np.repeat(np.cumsum(own) - own, own)
-            row, token, pos, own = row[many], token[many], pos[many], own[many]
-            block = (_text.mix64(d1[row].view(np.uint64)) % own.astype(np.uint64)).astype(np.int64)
-            meeting = (np.minimum(block, other) << 31) | np.maximum(block, other)
-            key = _text.mix64(token + _text.mix64(meeting.astype(np.uint64)))
-            shard = ((key >> _U64(32)) % _U64(shards)).astype(np.int64)
-            columns = {"key": key & _U64(0xFFFFFFFF), "d1": d1[row], "low": low[row], "high": high[row], "size": size[row], "pos": pos, "side": block > other}
-            # 0: the lower block of a meeting, 1: the higher one, 2: a block meeting itself
-            columns["side"] = np.where(block == other, 2, columns["side"])
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            raw = [columns[c][order].astype(t) for c, t in _FIELDS]
-            full = np.flatnonzero(np.diff(ends))
-            data = [b"".join([x[ends[s] : ends[s + 1]].tobytes() for x in raw]) for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], ["shard", "data"])
+            x = {"key": token, "d1": d1[row], "low": low[row], "high": high[row], "size": size[row], "pos": pos}
+            yield _spread(x, blocks[_bucket(token)], shards)
 
     return sets.select("d1", "tokens").mapInArrow(deal, "shard int, data binary")
 
@@ -258,8 +274,11 @@ def _pairs(key: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int) ->
         a = b
 
 
-def _open(dealt: DataFrame, shards: int, percent: int) -> DataFrame:
-    """(meeting, d1, pos, side) of the entries that have a candidate in their meeting by all filters."""
+_OPEN = "meeting long, d1 long, pos int, side int, low long, high long, size int, m int"
+
+
+def _searched(dealt: DataFrame, shards: int, percent: int, final: bool) -> DataFrame:
+    """Entries that have a candidate in their meeting by all filters, m null; with their m those of large meetings."""
 
     def search(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
         x = _entries(blobs)
@@ -268,19 +287,24 @@ def _open(dealt: DataFrame, shards: int, percent: int) -> DataFrame:
         same = (x["key"][1:] == x["key"][:-1]) & (x["size"][1:] == x["size"][:-1]) & (x["d1"][1:] == x["d1"][:-1])
         keep = np.append(True, ~same)
         x = {c: v[keep] for c, v in x.items()}
-        found = np.zeros(len(x["key"]), dtype=bool)
-        size, pos = x["size"].astype(np.int64), x["pos"].astype(np.int64)
-        for i, j in _pairs(x["key"], x["size"], x["side"], percent):
-            both = size[i] + size[j]
-            need = _least_shared(both, percent)
+        m = np.unique(x["key"], return_inverse=True, return_counts=True)[1:]
+        m = m[1][m[0]]
+        large = (m > LARGE_MEETING) & (x["side"] == 2) & (not final)
+        found = large.copy()
+        here = np.flatnonzero(~large)
+        y = {c: v[here] for c, v in x.items()}
+        size, pos = y["size"].astype(np.int64), y["pos"].astype(np.int64)
+        for i, j in _pairs(y["key"], size, y["side"], percent):
+            need = _least_shared(size[i] + size[j], percent)
             ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-            i, j, both, need = i[ok], j[ok], both[ok], need[ok]
-            differ = np.bitwise_count(x["low"][i] ^ x["low"][j]).astype(np.int64) + np.bitwise_count(x["high"][i] ^ x["high"][j])
-            ok = differ <= both - 2 * need
-            found[i[ok]] = True
-            found[j[ok]] = True
-        meeting = (np.int64(shard) << 32) | x["key"][found].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(meeting), pa.array(x["d1"][found]), pa.array(x["pos"][found]), pa.array(x["side"][found].astype(np.int32))], ["meeting", "d1", "pos", "side"])
+            i, j, need = i[ok], j[ok], need[ok]
+            ok = _may_link(y["low"], y["high"], i, j, size[i] + size[j] - 2 * need)
+            found[here[i[ok]]] = True
+            found[here[j[ok]]] = True
+        x = {c: v[found] for c, v in x.items()}
+        x["meeting"] = (np.int64(shard) << 32) | x["key"].astype(np.int64)
+        columns = [pa.array(x[c].view(np.int64) if c in ("low", "high") else x[c].astype(t)) for c, t in zip(names[:-1], (np.int64, np.int64, np.int32, np.int32, None, None, np.int32), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(m[found].astype(np.int32), mask=~large[found])], names)
 
     def work(batches):
         now, blobs = None, []
@@ -294,7 +318,26 @@ def _open(dealt: DataFrame, shards: int, percent: int) -> DataFrame:
         if blobs:
             yield search(now, blobs)
 
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, "meeting long, d1 long, pos int, side int")
+    names = [x.split()[0] for x in _OPEN.split(", ")]
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, _OPEN)
+
+
+def _open(dealt: DataFrame, shards: int, percent: int) -> DataFrame:
+    """(meeting, d1, pos, side) of all entries that have a candidate; large meetings are split by their own size first."""
+    once = stored(_searched(dealt, shards, percent, final=False), "line-open")
+    found, large = (once.filter(x).select("meeting", "d1", "pos", "side") for x in ("m IS NULL", "m IS NOT NULL"))
+    if large.isEmpty():
+        return found
+
+    def deal(batches):
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy() for c in ("meeting", "d1", "low", "high", "size", "pos", "m")}
+            x |= {"key": x.pop("meeting").view(np.uint64), "low": x["low"].view(np.uint64), "high": x["high"].view(np.uint64)}
+            yield _spread(x, -(-x.pop("m").astype(np.int64) // HOT_ROWS), shards)
+
+    further = _searched(once.filter("m IS NOT NULL").mapInArrow(deal, "shard int, data binary"), shards, percent, final=True)
+    # the keys of both rounds are hashes; the second's are told apart by their sign
+    return stored(found.unionByName(further.select((-1 - F.col("meeting")).alias("meeting"), "d1", "pos", "side")), "line-open")
 
 
 def _sets_of(sets: DataFrame, open_: DataFrame) -> DataFrame:
@@ -344,6 +387,8 @@ class _Members:
     def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if not len(self.marks):
             return np.zeros(len(i), dtype=np.int64)
+        if len(i) > PAIRS_AT_ONCE // 8:
+            return np.concatenate([self.shared(i[a : a + PAIRS_AT_ONCE // 8], j[a : a + PAIRS_AT_ONCE // 8]) for a in range(0, len(i), PAIRS_AT_ONCE // 8)])
         n = self.sizes[i]
         pair = np.repeat(np.arange(len(i)), n)
         at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[i], n)
@@ -352,6 +397,22 @@ class _Members:
         return np.bincount(pair[hit], minlength=len(i))
 
 
+def _all_pairs(tokens: np.ndarray, starts: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray | None:
+    """Which rows of a meeting are links that share no token before ``pos``, by a product of matrices; None if too large."""
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
+    row = np.repeat(np.arange(len(size)), size)
+    found, column = np.unique(tokens[at], return_inverse=True)
+    if len(size) * max(len(size), len(found)) > 1 << 24:
+        return None
+    early = at - starts[row] < pos[row]
+    shared = []
+    for part in (slice(None), early):
+        has = np.zeros((len(size), len(found)), dtype=np.float32)
+        has[row[part], column[part]] = 1
+        shared.append(has @ has.T)
+    return (shared[0] >= _least_shared(size[:, None] + size, percent)) & (shared[1] == 0)
+
+
 def _linked(rows: DataFrame, percent: int) -> DataFrame:
     """(d1, d2, links, earlier) from rows of (meeting, pos, side, d1, d2, first_doc, first_line, tokens), sorted by meeting."""
 
@@ -361,21 +422,34 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((np.diff(bounds), key))
         pos, side, d1, d2, doc, line = (table.column(c).to_numpy()[order] for c in ("pos", "side", "d1", "d2", "first_doc", "first_line"))
         key, starts, size, pos = key[order], bounds[:-1][order], np.diff(bounds)[order], pos.astype(np.int64)
-        before, whole = _Members(tokens, starts, pos), _Members(tokens, starts, size)
+        low, high = (x[order] for x in _parity(tokens, bounds))
+        rank = np.empty(len(size), dtype=np.int64)
+        rank[np.lexsort((line, doc))] = np.arange(len(size))
         links, earlier = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        ends = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        sparse = np.ones(len(key), dtype=bool)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a >= DENSE_ROWS and (met := _all_pairs(tokens, starts[a:b], size[a:b], pos[a:b], percent)) is not None:
+                sparse[a:b] = False
+                met &= (side[a:b, None] == 2) | (side[a:b, None] != side[a:b])
+                met &= (d1[a:b, None] != d1[a:b]) | (d2[a:b, None] != d2[a:b])
+                links[a:b] = met.sum(axis=1)
+                earlier[a:b] = (met & (rank[a:b] < rank[a:b, None])).sum(axis=1)
+        at = np.flatnonzero(sparse)
+        key, side, low, high, d1_, d2_, starts, size, pos = (x[at] for x in (key, side, low, high, d1, d2, starts, size, pos))
+        before, whole = _Members(tokens, starts, pos), _Members(tokens, starts, size)
         for i, j in _pairs(key, size, side, percent):
             need = _least_shared(size[i] + size[j], percent)
-            ok = np.flatnonzero((np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need) & ((d1[i] != d1[j]) | (d2[i] != d2[j])))
-            for a in range(0, len(ok), PAIRS_AT_ONCE // 8):
-                at = ok[a : a + PAIRS_AT_ONCE // 8]
-                u, v = i[at], j[at]
-                # a pair that shares a rarer token counts where it meets by that one
-                first = before.shared(u, v) == 0
-                u, v, at = u[first], v[first], at[first]
-                linked = whole.shared(u, v) >= need[at]
-                u, v = u[linked], v[linked]
-                np.add.at(links, np.concatenate((u, v)), 1)
-                np.add.at(earlier, np.where((doc[u] < doc[v]) | ((doc[u] == doc[v]) & (line[u] < line[v])), v, u), 1)
+            ok = (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need) & _may_link(low, high, i, j, size[i] + size[j] - 2 * need)
+            ok = np.flatnonzero(ok & ((d1_[i] != d1_[j]) | (d2_[i] != d2_[j])))
+            i, j, need = i[ok], j[ok], need[ok]
+            # a pair that shares a rarer token counts where it meets by that one
+            first = before.shared(i, j) == 0
+            i, j, need = i[first], j[first], need[first]
+            linked = whole.shared(i, j) >= need
+            i, j = at[i[linked]], at[j[linked]]
+            np.add.at(links, np.concatenate((i, j)), 1)
+            np.add.at(earlier, np.where(rank[i] < rank[j], j, i), 1)
         some = links > 0
         return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (d1, d2, links, earlier)], ["d1", "d2", "links", "earlier"])
 
@@ -415,8 +489,9 @@ def lines_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = described.filter("counts IS NULL").drop("counts")
     sets = lines.filter("tokens IS NOT NULL")
     shards = max(LEAST_SHARDS, math.ceil(int(prefixes.sum()) / ROWS_PER_SHARD))
-    blocks = np.maximum(1, -(-prefixes // HOT_ROWS))
-    open_ = stored(_open(_dealt(sets, blocks, shards, percent), shards, percent), "line-open")
+    # what a hash class has beyond the usual is taken for that of one token
+    blocks = np.maximum(1, -(-(prefixes - 4 * int(prefixes.mean())) // HOT_ROWS))
+    open_ = _open(_dealt(sets, blocks, shards, percent), shards, percent)
     per_doc = F.lit(2**31).cast("decimal(11,0)")
     place = F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("decimal(20,0)") * per_doc + F.col("line")
     classes = lines.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(place).alias("_place"), F.count("*").alias("n"))
@@ -455,7 +530,8 @@ ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(s)))::INT AS line, unnest(s) AS t
   FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS s FROM documents)),
-w AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(t, '[^ 	-]+'))) AS s FROM l),
+w AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(t, '[^ 	-
+]+'))) AS s FROM l),
 c AS (SELECT s, min((doc_id, line)) AS f, row_number() OVER (ORDER BY min((doc_id, line))) AS id FROM w WHERE len(s) > 0 GROUP BY s),
 t AS (SELECT id, len(s) AS m, unnest(s) AS x FROM c),
 n AS (SELECT x, count(*) AS n FROM t GROUP BY x),
