@@ -85,10 +85,10 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64(np.add.reduceat(codes, shift) + lengths.astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, row of each, starts, ends) of the words between white space, A-Z lower-cased."""
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row of each, starts, ends) of the words between bytes of ``gap``, A-Z lower-cased."""
     data = LOWER[data]
-    starts, ends = runs(~SPACE[data], offsets)
+    starts, ends = runs(~gap[data], offsets)
     return hash_runs(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, toxicity, warc
+from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, packing, quality, toxicity, warc
 from ._linear import in_fold
 from ._spark import scratch_path
 
@@ -71,6 +71,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.lines_of(_read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,9 +92,10 @@ def queries():
         "op7_quality": op7_quality,
         "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
+        "op10_license_scan": op10_license_scan,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql()}
