@@ -11,11 +11,14 @@ leave a window open; that one is cut into sequences of powers of two, which need
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,7 +31,8 @@ VOCABULARY = 1 << 16
 #: A shard ends at so many tokens or units, so its index (a number for each token it has and unit) stays below 200 MB.
 SHARD_TOKENS, SHARD_UNITS = 1 << 20, 1 << 10
 K1, B = 1.2, 0.75
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+PART_BYTES = 4 << 20
 _tokenizers: dict = {}
 
 
@@ -43,9 +47,13 @@ class Tokenizer:
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer as Own
+        from tokenizers import Tokenizer as Own, pre_tokenizers
 
         self.own, self.known, self.older = Own.from_str(definition), {"": b""}, {}
+        # parts of Latin-1 letters in lower case need no normaliser and are whole words
+        self.plain = Own.from_str(definition)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self._ids(self.MARK).tolist()
         self.ends = np.zeros(VOCABULARY, dtype=bool)
         self.ends[[i for token, i in self.own.get_vocab().items() if token.endswith("</w>")]] = True
@@ -59,31 +67,44 @@ class Tokenizer:
         return _tokenizers[key]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
+        plain = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        missing = set(parts).difference(self.known)
         if missing:
             if len(self.known) + len(missing) > CACHED_WORDS:
                 self.older, self.known = self.known, {"": b""}
-                missing = set().union(*split) - {""}
-            known, older = self.known, self.older
-            known.update([(p, older[p]) for p in missing if p in older])
-            new = [p for p in missing if p not in older]
-            # a stop or comma after a letter is a token of its own
-            ended = [p for p in new if p[-1] in _STOPS and p[-2:-1].isalpha()]
-            plain = {p for p in new if not (p[-1] in _STOPS and p[-2:-1].isalpha())}
-            stems = {p[:-1] for p in ended}.difference(known, plain)
-            known.update([(p, older[p]) for p in stems if p in older])
-            self._learn([*plain, *[p for p in stems if p not in older], *[x for x in _STOPS if x not in known]])
-            known.update([(p, known[p[:-1]] + known[p[-1]]) for p in ended])
-        known = self.known
-        return [b"".join([known[p] for p in parts]) for parts in split]
+                missing = set(parts) - {""}
+            self._recall(missing)
+            # marks that follow a word of letters are tokens of their own
+            ended = [(p, stem, p[len(stem) :]) for p in missing if (stem := p.rstrip(_MARKS)) != p and stem.isalpha()]
+            missing.difference_update([p for p, _, _ in ended])
+            inner = {x for _, stem, marks in ended for x in (stem, marks)}.difference(self.known, missing)
+            self._recall(inner)
+            self._learn([*missing, *inner])
+            known = self.known
+            known.update([(p, known[stem] + known[marks]) for p, stem, marks in ended])
+        ids = pa.array(map(self.known.__getitem__, parts), pa.large_binary(), size=len(parts)).take(coded.indices)
+        offsets = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        bounds = offsets[split.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _recall(self, parts: set[str]) -> None:
+        """Takes what the older generation knows of ``parts`` over, and out of them."""
+        if self.older:
+            found = parts & self.older.keys()
+            self.known.update(zip(found, map(self.older.__getitem__, found), strict=True))
+            parts -= found
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new parts together. One of letters alone ends at its one end-of-word token, others at a mark."""
         words = [p for p in new if p.isalpha() and self.MARK not in p]
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = self._ids(" ".join(some))
+            joined = " ".join(some)
+            ids = self._ids(joined, self.plain if joined == _lower(joined) and _latin(joined) else self.own)
             self._keep(some, ids, np.append(0, np.flatnonzero(self.ends[ids]) + 1), 0)
         others = [p for p in new if not p.isalpha() and self.MARK not in p]
         for i in range(0, len(others), 2000):
@@ -96,8 +117,8 @@ class Tokenizer:
             self._keep(some, ids, np.concatenate(([0], np.flatnonzero(at) + m, [len(ids) + m])), m)
         self._keep_each([p for p in new if self.MARK in p])
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+    def _ids(self, text: str, by=None) -> np.ndarray:
+        return np.array((by or self.own).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
 
     def _keep(self, parts: list[str], ids: np.ndarray, bounds: np.ndarray, gap: int) -> None:
         if len(bounds) != len(parts) + 1:  # some part does not end as supposed
@@ -110,16 +131,21 @@ class Tokenizer:
             self.known[part] = self._ids(part).tobytes()
 
 
-_STOPS = (".", ",")
+#: Never part of a word's token; the apostrophe begins tokens such as 's.
+_MARKS = string.punctuation.replace("'", "")
 
 
 def _lower(text: str) -> str:
     """Lower-cased as the tokenizer does it, where that is sure: in Latin-1 every character is composed and maps alone."""
+    return text.lower() if _latin(text) else text
+
+
+def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return False
+    return True
 
 
 _UNIT = "doc_id long, start long, ids binary, doc_tokens long, rare1 int, rare2 int, kind string"
@@ -133,8 +159,8 @@ def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
         counts, bitmap = np.zeros(VOCABULARY, dtype=np.int64), np.zeros(VOCABULARY, dtype=bool)
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(first, 256), []
+            for part in _in_parts(batch):
+                rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text").to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 2
@@ -151,6 +177,17 @@ def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _UNIT)
 
 
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 1024 rows and about ``PART_BYTES`` of text; a longer text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        end = min(first + 1024, max(first + 1, int(np.searchsorted(ends, before + PART_BYTES, side="right"))))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def _units(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "ids", "doc_tokens", "rare1", "rare2", "kind"])
@@ -181,11 +218,13 @@ class Shard:
     """The inverted index of some units: a row of BM25 weights by unit for each token that has any."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, weights, bitmap = [], [], np.zeros(VOCABULARY, dtype=bool)
+        self.terms, weights = [], []
         for ids in units:
-            at = _linear.distinct(ids, bitmap)
-            at = at[idf[at] > 0]
-            tf = np.bincount(ids, minlength=VOCABULARY)[at].astype(np.float32)
+            ordered = np.sort(ids)
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            at, tf = ordered[first].astype(np.int64), np.diff(np.append(first, len(ids))).astype(np.float32)
+            weighty = idf[at] > 0
+            at, tf = at[weighty], tf[weighty]
             self.terms.append(at)
             weights.append(idf[at] * tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(ids) / mean))))
         used = np.unique(np.concatenate(self.terms)) if units else np.zeros(0, dtype=np.int64)
@@ -259,12 +298,15 @@ class _Packer:
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
 
 
-def _pieces(sequence_id: int, parts: list[tuple]) -> pa.RecordBatch:
-    lengths = [n for _, _, n in parts]
-    ids = [unit[2][at : at + n].astype("<u4").tobytes() for unit, at, n in parts]
-    offsets = np.cumsum([0, *lengths[:-1]])
-    columns = [[u[0] for u, _, _ in parts], [u[1] + at for u, at, _ in parts], lengths, ids, [u[3] for u, _, _ in parts], [sequence_id] * len(parts), offsets.tolist(), [parts[0][0][0]] * len(parts)]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(columns)], [c.split()[0] for c in _PIECE.split(", ")])
+def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
+    at, seed = 0, parts[0][0][0]
+    for unit, first, n in parts:
+        yield unit[0], unit[1] + first, n, unit[2][first : first + n].astype("<u4").tobytes(), unit[3], sequence_id, at, seed
+        at += n
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in _PIECE.split(", ")])
 
 
 def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -281,13 +323,16 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
 
     def fill(batches):
         packer, number, base = _Packer(idf, mean, window), 0, TaskContext.get().partitionId() << 33
-        for units in _shards(batches, shard_tokens):
-            for parts in packer.take(units):
-                yield _pieces(2 * (base + number), parts)
-                number += 1
-        for parts in packer.finish():
-            yield _pieces(2 * (base + number), parts)
+        rows: list[tuple] = []
+        full = (parts for units in _shards(batches, shard_tokens) for parts in packer.take(units))
+        for parts in itertools.chain(full, packer.finish()):
+            rows += _pieces(2 * (base + number), parts)
             number += 1
+            if len(rows) >= 1024:
+                yield _piece_batch(rows)
+                rows = []
+        if rows:
+            yield _piece_batch(rows)
 
     def widen(batches):
         for batch in batches:
