@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 EXACT_LANES, LIKENESS_LANES, RUN = 16, 256, 8
-ROWS_PER_RANGE = 4096
+#: Rows of a range, so that what a task holds of it stays small; more only where there would be over ``MAX_RANGES``.
+ROWS_PER_RANGE, MAX_RANGES = 1024, 200_000
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**32, RUN, dtype=np.uint32) | np.uint32(1)
 _LOWEST = -(2**63)
 
@@ -86,11 +87,11 @@ def edited(text: str, following: str) -> str:
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in ranges of falling doc_id, one range a partition and sorted; each range ends with a copy of the row after it.
 
-    The ranges' ends (two numbers for each few thousand rows) are found from the ids alone, so texts move once.
+    The ranges' ends (two numbers each, of at most ``MAX_RANGES``) are found from the ids alone, so texts move once.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("_id"))
     ids = rows.select("_id")
-    parts = max(1, math.ceil(ids.count() / ROWS_PER_RANGE))
+    parts = min(MAX_RANGES, max(1, math.ceil(ids.count() / ROWS_PER_RANGE)))
     ends = ids.repartitionByRange(parts, F.col("_id").desc()).groupBy(F.spark_partition_id()).agg(F.min("_id").alias("low"), F.max("_id").alias("high")).orderBy(F.desc("high")).collect()
     lows = np.array([x["low"] for x in ends][::-1], dtype=np.int64)
     heads = {x["high"]: (i - 1) % len(ends) for i, x in enumerate(ends)}
@@ -135,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             new = edited(text, following)
             edit = mark if new == text else Fingerprint.of(new)
             done.append((doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), mark.encoded(), edit.encoded(), mark.near(edit), mark.near(after)))
-            if len(done) == 512:
+            if len(done) == 256:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
                 done = []
         if done:
