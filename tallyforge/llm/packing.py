@@ -31,7 +31,7 @@ VOCABULARY = 1 << 16
 #: A shard ends at so many tokens or units, so its index (a number for each token it has and unit) stays below 200 MB.
 SHARD_TOKENS, SHARD_UNITS = 1 << 20, 1 << 10
 K1, B = 1.2, 0.75
-CACHED_WORDS = 400_000
+CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
 _tokenizers: dict = {}
 
