@@ -27,8 +27,8 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return near_dedup.keep(docs).select(docs.columns)
+    """Of each group of near duplicates, similar by 0.8 or more, the document with the smallest doc_id stays."""
+    return near_dedup.keep(docs, percent=80).select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

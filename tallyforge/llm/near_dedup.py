@@ -1,8 +1,9 @@
 """Near duplicates: MinHash minima, banding, signature and exact checks, star-contracted components.
 
-Documents with 100 * intersection >= 85 * union of their sets of five-word shingles are linked. Equal word sequences
-are one class, of which the smallest doc_id stands for all. 100 universal hash minima of a class's shingles form 20
-bands of 5; a pair at similarity 0.85 shares a band with probability 1 - (1 - 0.85**5)**20 > 0.99999.
+Documents with 100 * intersection >= percent * union of their sets of five-word shingles are linked. Equal word
+sequences are one class, of which the smallest doc_id stands for all. Universal hash minima of a class's shingles form
+bands of 5, as many as let a pair at the threshold share none with a probability of ``MISS`` at most: 20 at 85 percent,
+29 at 80.
 
 Within a bucket (classes that share a band) no pairs are emitted at first: every class is checked against the
 bucket's smallest only, and components are formed. Only buckets that then still hold several components are searched
@@ -13,6 +14,7 @@ after the first step. Every link is confirmed on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +24,33 @@ from . import _text
 from ._spark import stored
 from .components import components
 
-WORDS, BANDS, ROWS = 5, 20, 5
-PERCENT = 85
-#: Pairs whose signatures agree in fewer places are not checked: over five standard deviations below the threshold.
-AGREE = 66
+WORDS, ROWS = 5, 5
+MISS = 1e-5
+#: Pairs whose signatures agree in fewer places than so many standard deviations below the threshold are not checked.
+DEVIATIONS = 5.3
 BLOCK = 512
 #: Shingles by which a count on 32 bits may be off before it is not trusted either way.
 SLACK = 2
-_HASHES = BANDS * ROWS
-_RANDOM = np.random.Generator(np.random.PCG64(1234))
-_A = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, _HASHES, dtype=np.uint64)
-_BAND = _RANDOM.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n_shingles long, sequence binary, bands array<long>, signature binary"
 
 
+class Threshold:
+    """What follows from the least similarity, in percent: the bands, the signature bound and the hash functions."""
+
+    def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError(f"percent must be from 1 to 100, not {percent}")
+        least = percent / 100
+        self.percent = percent
+        self.bands = math.ceil(math.log(MISS) / math.log1p(-(least**ROWS))) if percent < 100 else 1
+        self.hashes = self.bands * ROWS
+        self.agree = max(0, math.floor(self.hashes * least - DEVIATIONS * math.sqrt(self.hashes * least * (1 - least))))
+        random = np.random.Generator(np.random.PCG64(1234))
+        self.a = random.integers(1, 2**63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = random.integers(0, 2**63, self.hashes, dtype=np.uint64)
+        self.band = random.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(column) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     out = []
@@ -48,7 +62,7 @@ def shingle_sets(column) -> list[np.ndarray]:
     return out
 
 
-def _sign(batches):
+def _sign(batches, by: Threshold):
     """doc_id, n_shingles, a digest of the word sequence, band keys and signature; the last three null without words."""
     for batch in batches:
         ids = batch.column("doc_id")
@@ -60,12 +74,12 @@ def _sign(batches):
             bounds = _text.row_bounds(at, n)
             counts = np.array([len(np.unique(found[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.int64)
             some = np.flatnonzero(counts)
-            minima = np.empty((_HASHES, len(some)), dtype=np.uint32)
-            for k in range(_HASHES) if len(some) else ():
-                minima[k] = np.minimum.reduceat((found * _A[k] + _B[k]) >> np.uint64(32), bounds[some])
-            keys = np.zeros((len(some), BANDS), dtype=np.uint64)
+            minima = np.empty((by.hashes, len(some)), dtype=np.uint32)
+            for k in range(by.hashes) if len(some) else ():
+                minima[k] = np.minimum.reduceat((found * by.a[k] + by.b[k]) >> np.uint64(32), bounds[some])
+            keys = np.zeros((len(some), by.bands), dtype=np.uint64)
             for r in range(ROWS):
-                keys += minima[r::ROWS].T.astype(np.uint64) * _BAND[r]
+                keys += minima[r::ROWS].T.astype(np.uint64) * by.band[r]
             keys = _text.mix64(keys).view(np.int64)
             signatures = np.ascontiguousarray(minima.T)
             # words joined by one space: everything between words gives way to it
@@ -85,16 +99,17 @@ def _sign(batches):
             )
 
 
-def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least ``AGREE`` places."""
+def _agreeing(pairs: DataFrame, signatures: DataFrame, by: Threshold) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least ``by.agree`` places."""
+    hashes = by.hashes
 
     @F.arrow_udf("int")
     def agree(x: pa.Array, y: pa.Array) -> pa.Array:
-        left, right = (np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint32).reshape(-1, _HASHES) for z in (x, y))
+        left, right = (np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint32).reshape(-1, hashes) for z in (x, y))
         return pa.array((left == right).sum(axis=1).astype(np.int32))
 
     both = pairs.join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("_y")), "b").join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("_x")), "a")
-    return both.filter(agree("_x", "_y") >= AGREE).select("a", "b")
+    return both.filter(agree("_x", "_y") >= by.agree).select("a", "b")
 
 
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -108,7 +123,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links by their full sets, as edges (u, v)."""
 
     def confirm(batches):
@@ -117,7 +132,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
                 shared = int(_shared(x, y, np.array([0, len(y)]))[0])
-                good.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -130,7 +145,7 @@ def _shared(x: np.ndarray, others: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return np.add.reduceat((x[np.minimum(at, len(x) - 1)] == others).astype(np.int64), bounds[:-1])
 
 
-def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, by: Threshold) -> DataFrame:
     """Pairs of classes in different components that are links, or nearly: a tree per bucket rather than all pairs.
 
     A bucket of m classes is dealt to blocks of about ``BLOCK``, and each two of these meet in one small group, where a
@@ -138,6 +153,7 @@ def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFra
     on 32 bits of each shingle: pairs clear of the threshold join their components for the rest of the group, pairs
     within ``SLACK`` of it are all passed on to be confirmed.
     """
+    percent, bands, least = by.percent, by.bands, by.agree
     member = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     open_ = member.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
 
@@ -157,42 +173,43 @@ def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFra
         rep, component, size = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
         component = np.unique(component, return_inverse=True)[1]
         band = int(table.column("band")[0].as_py())
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, bands, ROWS)
         high = [np.frombuffer(x, dtype=np.uint32) for x in table.column("high").to_pylist()]
         a, b = [], []
         for x in range(len(rep)):
             possible = (component != component[x]) & (rep > rep[x])
             if i[0] != j[0]:
                 possible &= block != block[x]
-            possible &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
+            possible &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
             at = np.flatnonzero(possible)
             same = signature[at] == signature[x]
-            at = at[(same.sum(axis=(1, 2)) >= AGREE) & (same.all(axis=2).argmax(axis=1) == band)]
+            at = at[(same.sum(axis=(1, 2)) >= least) & (same.all(axis=2).argmax(axis=1) == band)]
             if not len(at):
                 continue
             shared = _shared(high[x], np.concatenate([high[y] for y in at]), np.cumsum([0, *[len(high[y]) for y in at]]))
-            over = (100 + PERCENT) * shared - PERCENT * (size[x] + size[at])  # at least 0: a link
+            over = (100 + percent) * shared - percent * (size[x] + size[at])  # at least 0: a link
             for y, gain in zip(at, over, strict=True):
-                if gain < -(100 + PERCENT) * SLACK or component[x] == component[y]:
+                if gain < -(100 + percent) * SLACK or component[x] == component[y]:
                     continue
                 a.append(rep[x])
                 b.append(rep[y])
-                if gain >= (100 + PERCENT) * SLACK:
+                if gain >= (100 + percent) * SLACK:
                     component[component == component[y]] = component[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("band", "key", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def groups_of(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def groups_of(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; linked from ``percent`` similarity up.
 
     Defined cases: fewer than five words make one shingle of all; a text without words (or null) has none and is
     linked with nothing; rows of one doc_id are one node, linked by any of its texts; a row without doc_id is linked
     with nothing, its component_id null, and kept; an empty table gives no rows; other columns do not matter.
     """
+    by = Threshold(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_sign, _SIGNED), "near-signed")
+    signed = stored(docs.mapInArrow(lambda batches: _sign(batches, by), _SIGNED), "near-signed")
     whole = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = whole.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     several = stored(classes.filter("m > 1").drop("m"), "near-classes")
@@ -204,18 +221,18 @@ def groups_of(docs: DataFrame) -> DataFrame:
     buckets = stored(exploded.join(centres, ["band", "key"]), "near-buckets")
     stars = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     sets = stored(_sets(docs, buckets.select("rep").distinct()), "near-sets")
-    links = stored(_confirmed(_agreeing(stars, reps), sets), "near-links")
+    links = stored(_confirmed(_agreeing(stars, reps, by), sets, percent), "near-links")
     found = stored(components(links), "near-components")
-    more = stored(_across(buckets.drop("centre"), reps, sets, found).distinct(), "near-across")
+    more = stored(_across(buckets.drop("centre"), reps, sets, found, by).distinct(), "near-across")
     if not more.isEmpty():
-        further = _confirmed(more, sets)
+        further = _confirmed(more, sets, percent)
         found = stored(components(further.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "near-components")
     node = signed.select("doc_id", "n_shingles").join(behind, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id")).drop("rep")
     joined = node.join(found, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    dropped = groups_of(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    dropped = groups_of(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")

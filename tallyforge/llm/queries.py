@@ -64,7 +64,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups_of(_read(spark, sf_dir, "documents"))
+    return near_dedup.groups_of(_read(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,26 @@ def test_near_duplicates_equal_brute_force(docs, monkeypatch, block):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in rows)
 
 
+def test_near_duplicates_from_80_percent(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30], "edit", *words[31:]])), (3, " ".join(words[::-1]))]
+    sets = [shingles(t) for _, t in rows]
+    assert 80 * len(sets[0] | sets[1]) <= 100 * len(sets[0] & sets[1]) < 85 * len(sets[0] | sets[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dedup.keep(docs).collect()} == {1, 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups_of(docs, percent=80).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups_of(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_bands_and_signature_bound_follow_from_the_threshold():
+    assert [(t.bands, t.agree) for t in map(near_dedup.Threshold, (85, 80))] == [(20, 66), (29, 90)]
+    for percent in range(50, 100):
+        t = near_dedup.Threshold(percent)
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** t.bands <= near_dedup.MISS
+    with pytest.raises(ValueError):
+        near_dedup.Threshold(0)
+
+
 def test_components_of_a_long_chain_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(5, 5), (100, 101), (101, 100)]
     got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
