@@ -1,17 +1,18 @@
 """Lexical retrieval packing: a sharded BM25 index returns each seed's unused neighbours, which greedily fill its window.
 
 A document is tokenised and its whole windows are sequences at once; what is left, shorter than a window, is a unit.
-Units are sorted over the cluster by their two rarest tokens (the vocabulary's last merges), so units that share
-unusual tokens lie together, and consecutive runs of about ``SHARD_TOKENS`` tokens form the shards of the index. A
-task builds one shard's inverted index at a time, with weights from counts over the whole corpus, and packs it: the
-next unused unit is the seed; the unused units of the shard follow in order of their BM25 score against it until the
-window is full. The unit that does not fit is cut, and its rest is the next seed, so only the end of a partition can
-leave a window open; that one is cut into sequences of powers of two, which need no padding.
+Windows are filled in rounds. A round opens windows with a seed each, and every open window asks every shard of the
+index, with weights from counts over the whole corpus, for its best unused units: a shard returns as many as could fill
+the window alone, so the best of all shards are among them. A unit wanted by several windows goes to the one where its
+score is highest; the others ask again in the next round. The unit that does not fit is cut, and its rest is a unit
+that seeds a window next. When few units are left one task takes them all, window by window. Windows left open at the
+end are cut into sequences of powers of two, which need no padding.
+
+Every window meets every unit that is unused, so the time grows with the square of the corpus.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import string
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _linear
 from ._spark import stored
@@ -28,8 +29,12 @@ from ._spark import stored
 WINDOW = 4096
 END = 2
 VOCABULARY = 1 << 16
-#: A shard ends at so many tokens or units, so its index (a number for each token it has and unit) stays below 200 MB.
-SHARD_TOKENS, SHARD_UNITS = 1 << 20, 1 << 10
+#: A shard of the index ends at so many tokens or units, which bounds its memory; windows ask all shards.
+SHARD_TOKENS, SHARD_UNITS = 1 << 22, 1 << 13
+#: Windows open at once; their query tokens are sent to all shards.
+OPEN = 8192
+#: So few units are packed by one task.
+LAST_UNITS = 4096
 K1, B = 1.2, 0.75
 CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
@@ -148,7 +153,7 @@ def _latin(text: str) -> bool:
     return True
 
 
-_UNIT = "doc_id long, start long, ids binary, doc_tokens long, rare1 int, rare2 int, kind string"
+_UNIT = "uid long, doc_id long, start long, ids binary, doc_tokens long, kind string"
 
 
 def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
@@ -157,6 +162,7 @@ def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
     def work(batches):
         tokenizer = Tokenizer.shared(definition)
         counts, bitmap = np.zeros(VOCABULARY, dtype=np.int64), np.zeros(VOCABULARY, dtype=bool)
+        uid = TaskContext.get().partitionId() << 33
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
             for part in _in_parts(batch):
@@ -165,14 +171,15 @@ def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
                     ids += end
                     n = len(ids) // 2
                     cut = n - n % window
-                    rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, 0, 0, "whole") for s in range(0, cut, window)]
+                    rows += [(None, doc_id, s, ids[2 * s : 2 * (s + window)], n, "whole") for s in range(0, cut, window)]
                     if cut < n:
                         rest = ids[2 * cut :]
                         seen = _linear.distinct(np.frombuffer(rest, dtype="<u2"), bitmap)
                         counts[seen] += 1
-                        rows.append((doc_id, cut, rest, n, int(seen[-1]), int(seen[-2]) if len(seen) > 1 else -1, "unit"))
+                        rows.append((uid, doc_id, cut, rest, n, "unit"))
+                        uid += 1
                 yield _units(rows)
-        yield _units([(None, None, counts.tobytes(), None, None, None, "counts")])
+        yield _units([(None, None, None, counts.tobytes(), None, "counts")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _UNIT)
 
@@ -189,8 +196,8 @@ def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _units(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "ids", "doc_tokens", "rare1", "rare2", "kind"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _UNIT.split(", ")])
 
 
 def _statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
@@ -215,98 +222,184 @@ def _statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
 
 
 class Shard:
-    """The inverted index of some units: a row of BM25 weights by unit for each token that has any."""
+    """The inverted index of some units: for each token the units that have it, with their BM25 weights."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, weights = [], []
+        self.size, self.terms, weights = len(units), [], []
         for ids in units:
             ordered = np.sort(ids)
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             at, tf = ordered[first].astype(np.int64), np.diff(np.append(first, len(ids))).astype(np.float32)
             weighty = idf[at] > 0
             at, tf = at[weighty], tf[weighty]
-            self.terms.append(at)
-            weights.append(idf[at] * tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(ids) / mean))))
-        used = np.unique(np.concatenate(self.terms)) if units else np.zeros(0, dtype=np.int64)
-        self.row = np.full(VOCABULARY, -1, dtype=np.int64)
-        self.row[used] = np.arange(len(used))
-        self.postings = np.zeros((len(used), len(units)), dtype=np.float32)
-        for u, (at, weight) in enumerate(zip(self.terms, weights, strict=True)):
-            self.postings[self.row[at], u] = weight
+            self.terms.append(at.astype(np.int32))
+            weights.append((idf[at] * tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(ids) / mean)))).astype(np.float32))
+        tokens = np.concatenate([np.zeros(0, dtype=np.int32), *self.terms])
+        order = np.argsort(tokens, kind="stable")
+        self.bounds = np.append(0, np.cumsum(np.bincount(tokens, minlength=VOCABULARY)))
+        self.units = np.repeat(np.arange(len(units)), [len(t) for t in self.terms])[order]
+        self.weights = np.concatenate([np.zeros(0, dtype=np.float32), *weights])[order].astype(np.float64)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Every unit's BM25 score for a query of distinct tokens."""
-        rows = self.row[terms]
-        return self.postings[rows[rows >= 0]].sum(axis=0)
-
-
-class _Packer:
-    """Fills windows over a partition's shards; ``take`` gives the full ones, ``finish`` what is left open."""
-
-    def __init__(self, idf: np.ndarray, mean: float, window: int):
-        self.idf, self.mean, self.window = idf, mean, window
-        self.open: list[tuple] = []  # (unit, from, length) of the open window; a unit is (doc_id, start, ids, doc_tokens)
-        self.room, self.seed_terms = window, None
-
-    def _place(self, unit: tuple, at: int) -> int:
-        n = min(self.room, len(unit[2]) - at)
-        self.open.append((unit, at, n))
-        self.room -= n
-        return at + n
-
-    def take(self, units: list[tuple]) -> Iterator[list[tuple]]:
-        shard, used, pointer, rest = Shard([u[2] for u in units], self.idf, self.mean), np.zeros(len(units), dtype=bool), 0, None
-        while True:
-            if not self.open:
-                if rest is None:
-                    while pointer < len(units) and used[pointer]:
-                        pointer += 1
-                    if pointer == len(units):
-                        return
-                    rest, used[pointer] = (pointer, 0), True
-                seed, at = rest
-                rest = None
-                self.seed_terms = shard.terms[seed]
-                self._place(units[seed], at)
+        spans = [slice(a, b) for a, b in zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist(), strict=True) if a < b]
+        if not spans:
+            return np.zeros(self.size)
+        return np.bincount(np.concatenate([self.units[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), self.size)
+
+
+def _leading(scores: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """The best units, best first, up to the one that fills ``room``; all where none does."""
+    k = 32
+    while True:
+        at = np.argpartition(-scores, k - 1)[:k] if k < len(scores) else np.arange(len(scores))
+        at = at[np.argsort(-scores[at], kind="stable")]
+        filled = np.cumsum(lengths[at])
+        if k >= len(scores) or filled[-1] >= room:
+            return at[: int(np.searchsorted(filled, room)) + 1]
+        k *= 4
+
+
+def _terms(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The distinct tokens of ``ids`` that have weight."""
+    found = np.unique(ids).astype(np.int32)
+    return found[idf[found] > 0]
+
+
+def _candidates(left: DataFrame, queries: list[tuple], idf: np.ndarray, mean: float, shard_tokens: int) -> DataFrame:
+    """(sid, uid, at, n, score, room) of every shard's leading units for every query (sid, room, terms).
+
+    Units of equal score, such as those that share nothing, are ordered by a hash of both, so that windows do not all
+    ask for the same ones.
+    """
+    sent = left.sparkSession.sparkContext.broadcast(queries)
+
+    def ask(batches):
+        for units in _shards(batches, shard_tokens):
+            shard = Shard([u[2] for u in units], idf, mean)
+            uid, at = (np.array([u[i] for u in units], dtype=np.int64) for i in (0, 1))
+            lengths = np.array([len(u[2]) for u in units], dtype=np.int64)
+            parts: list[tuple] = []
+            for sid, room, terms in sent.value:
+                mixed = (uid.view(np.uint64) ^ np.uint64(sid)) * np.uint64(0x9E3779B97F4A7C15)
+                scores = shard.scores(np.frombuffer(terms, dtype=np.int32)) + (mixed >> np.uint64(40)).astype(np.float64) * 1e-14
+                best = _leading(scores, lengths, room)
+                parts.append((np.full(len(best), sid), uid[best], at[best], lengths[best], scores[best], np.full(len(best), room)))
+                if len(parts) == 1024:
+                    yield _columns(parts, _CANDIDATE)
+                    parts = []
+            if parts:
+                yield _columns(parts, _CANDIDATE)
+
+    return left.mapInArrow(ask, _CANDIDATE)
+
+
+_CANDIDATE = "sid long, uid long, at long, n long, score double, room long"
+_PLACED = "sid long, uid long, at long, n long, offset long"
+
+
+def _columns(parts: list[tuple], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+
+def _awarded(candidates: DataFrame, window: int) -> DataFrame:
+    """The placements of a round: each unit goes to the window where it scores highest, among those it would help to fill."""
+    ahead = Window.partitionBy("sid").orderBy(F.desc("score"), "uid").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(ahead), F.lit(0))
+    wanted = stored(candidates.withColumn("before", before).filter("before < room").drop("before"), "pack-wanted")
+    best = wanted.groupBy("uid").agg(F.max(F.struct("score", (-F.col("sid")).alias("minus"))).alias("best"))
+    won = wanted.join(best, "uid").filter("best.minus = -sid").withColumn("before", before)
+    return won.select("sid", "uid", "at", F.least("n", F.col("room") - F.col("before")).alias("n"), (window - F.col("room") + F.col("before")).alias("offset"))
+
+
+def _last(left: DataFrame, queries: list[tuple], idf: np.ndarray, mean: float, window: int) -> DataFrame:
+    """Placements of all units left, few enough for one task: open windows are filled one by one, then new ones."""
+
+    def fill(batches):
+        units = [u for some in _shards(batches, 1 << 62, 1 << 62) for u in some]
+        if not units:
+            return
+        shard, used, rows = Shard([u[2] for u in units], idf, mean), np.zeros(len(units), dtype=bool), []
+        waiting, pointer, rest = list(queries)[::-1], 0, None
+        while not used.all() or rest:
+            if waiting:
+                sid, room, terms = waiting.pop()
+                terms = np.frombuffer(terms, dtype=np.int32)
+            else:
+                while rest is None and used[pointer]:
+                    pointer += 1
+                u, at = rest or (pointer, 0)
+                sid, n = units[u][0], len(units[u][2]) - at
+                rows.append((sid, sid, units[u][1] + at, n, 0))
+                used[u], rest, room, terms = True, None, window - n, shard.terms[u]
+            if rest and room:  # what is left of a cut unit goes on in the window that is open
+                u, at = rest
+                n = min(room, len(units[u][2]) - at)
+                rows.append((sid, units[u][0], units[u][1] + at, n, window - room))
+                room -= n
+                rest = (u, at + n) if at + n < len(units[u][2]) else None
             left = np.flatnonzero(~used)
-            for u in left[np.argsort(-shard.scores(self.seed_terms)[left], kind="stable")]:
-                if not self.room:
+            for u in left[np.argsort(-shard.scores(terms)[left], kind="stable")]:
+                if not room:
                     break
-                used[u] = True
-                if (end := self._place(units[u], 0)) < len(units[u][2]):
-                    rest = (u, end)
-            if self.room:
-                return
-            yield self.open
-            self.open, self.room = [], self.window
-
-    def finish(self) -> Iterator[list[tuple]]:
-        """The open window as sequences of falling powers of two."""
-        left, parts = self.window - self.room, self.open
-        while left:
-            size = 1 << (left.bit_length() - 1)
-            left -= size
-            own = []
-            while size:
-                unit, at, n = parts[0]
-                own.append((unit, at, min(n, size)))
-                parts = ([(unit, at + size, n - size)] if n > size else []) + parts[1:]
-                size -= min(n, size)
-            yield own
+                n = min(room, len(units[u][2]))
+                rows.append((sid, units[u][0], units[u][1], n, window - room))
+                used[u], room = True, room - n
+                if n < len(units[u][2]):
+                    rest = (u, n)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [c.split()[0] for c in _PLACED.split(", ")])
+
+    return left.repartition(1).sortWithinPartitions("uid").mapInArrow(fill, _PLACED)
+
+
+def _placements(units: DataFrame, idf: np.ndarray, mean: float, window: int, shard_tokens: int) -> DataFrame:
+    """(sid, uid, at, n, offset): which part of which unit lies where in the window that the unit ``sid`` seeds."""
+    spark = units.sparkSession
+    placed = spark.createDataFrame([], _PLACED)
+
+    def queries(open_: DataFrame) -> list[tuple]:
+        def distil(batches):
+            for batch in batches:
+                terms = [_terms(np.frombuffer(x, dtype="<u2"), idf).tobytes() for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("room"), pa.array(terms, pa.binary())], ["sid", "room", "terms"])
+
+        joined = units.withColumnRenamed("uid", "sid").join(open_, "sid").select("sid", "room", "ids")
+        return sorted(tuple(r) for r in joined.mapInArrow(distil, "sid long, room long, terms binary").collect())
+
+    def unused() -> DataFrame:
+        done = placed.groupBy("uid").agg(F.max(F.col("at") + F.col("n")).alias("done"))
+        return units.join(done, "uid", "left").withColumn("at", F.coalesce("done", F.lit(0))).filter("at < size").select("uid", "at", "size", "ids")
+
+    while True:
+        count, tokens = unused().agg(F.count("*"), F.sum(F.col("size") - F.col("at"))).first()
+        if not count:
+            return placed
+        open_ = placed.groupBy("sid").agg((window - F.sum("n")).alias("room")).filter("room > 0")
+        if count <= LAST_UNITS:
+            return placed.unionByName(stored(_last(unused(), queries(open_), idf, mean, window), "pack-placed"))
+        fresh = min(OPEN, max(1, tokens // (2 * window))) - open_.count()
+        if fresh > 0:
+            seeds = unused().select("uid", "at", "size").orderBy(F.col("at") == 0, F.xxhash64("uid"), "uid").limit(fresh)
+            seeds = seeds.select(F.col("uid").alias("sid"), "uid", "at", (F.col("size") - F.col("at")).alias("n"), F.lit(0).cast("long").alias("offset"))
+            placed = placed.unionByName(stored(seeds, "pack-placed"))
+            open_ = placed.groupBy("sid").agg((window - F.sum("n")).alias("room")).filter("room > 0")
+        placed = placed.unionByName(stored(_awarded(_candidates(unused(), queries(open_), idf, mean, shard_tokens), window), "pack-placed"))
 
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
+#: Ids kept for the sequences of one window.
+_PARTS = 64
 
 
-def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
-    at, seed = 0, parts[0][0][0]
-    for unit, first, n in parts:
-        yield unit[0], unit[1] + first, n, unit[2][first : first + n].astype("<u4").tobytes(), unit[3], sequence_id, at, seed
-        at += n
-
-
-def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in _PIECE.split(", ")])
+def _sequences(offset: int, n: int, filled: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(part, skipped, length, offset) of a piece; a window filled in part is cut into falling powers of two."""
+    part, begin, end = 0, 0, offset + n
+    while begin < end:
+        size = window if filled == window else 1 << ((filled - begin).bit_length() - 1)
+        low, high = max(offset, begin), min(end, begin + size)
+        if low < high:
+            yield part, low - offset, high - low, low - begin
+        part, begin = part + 1, begin + size
 
 
 def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -320,19 +413,20 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
     """
     tokenised = stored(_tokenised(docs, definition, window), "pack-tokens")
     idf, mean = _statistics(tokenised)
+    units = tokenised.filter("kind = 'unit'").withColumn("size", F.octet_length("ids").cast("long") / 2).withColumn("size", F.col("size").cast("long"))
+    placed = _placements(units.select("uid", "size", "ids"), idf, mean, window, shard_tokens)
 
-    def fill(batches):
-        packer, number, base = _Packer(idf, mean, window), 0, TaskContext.get().partitionId() << 33
-        rows: list[tuple] = []
-        full = (parts for units in _shards(batches, shard_tokens) for parts in packer.take(units))
-        for parts in itertools.chain(full, packer.finish()):
-            rows += _pieces(2 * (base + number), parts)
-            number += 1
-            if len(rows) >= 1024:
-                yield _piece_batch(rows)
-                rows = []
-        if rows:
-            yield _piece_batch(rows)
+    def cut(batches):
+        names = ("doc_id", "start", "ids", "doc_tokens", "sid", "at", "n", "offset", "filled", "seed_doc_id")
+        for batch in batches:
+            rows = []
+            for doc_id, start, ids, doc_tokens, sid, at, n, offset, filled, seed in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                ids = np.frombuffer(ids, dtype="<u2")
+                for part, skipped, length, place in _sequences(offset, n, filled, window):
+                    first = at + skipped
+                    rows.append((doc_id, start + first, length, ids[first : first + length].astype("<u4").tobytes(), doc_tokens, 2 * (_PARTS * sid + part), place, seed))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in _PIECE.split(", ")])
 
     def widen(batches):
         for batch in batches:
@@ -340,21 +434,20 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
             length = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), batch.column("doc_tokens"), batch.column("sequence_id"), pa.array([0] * len(ids), pa.int64()), batch.column("doc_id")], [c.split()[0] for c in _PIECE.split(", ")])
 
-    order = ["rare1", "rare2", "doc_id", "start"]
-    units = tokenised.filter("kind = 'unit'").select("doc_id", "start", "ids", "doc_tokens", "rare1", "rare2")
-    packed = units.repartitionByRange(*order).sortWithinPartitions(*order, "doc_tokens", "ids").drop("rare1", "rare2").mapInArrow(fill, _PIECE)
+    windows = placed.groupBy("sid").agg(F.sum("n").alias("filled")).join(units.select(F.col("uid").alias("sid"), F.col("doc_id").alias("seed_doc_id")), "sid")
+    packed = placed.join(windows, "sid").join(units.select("uid", "doc_id", "start", "ids", "doc_tokens"), "uid").mapInArrow(cut, _PIECE)
     whole = tokenised.filter("kind = 'whole'").select("doc_id", "start", "ids", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"))
     return packed.unionByName(whole.mapInArrow(widen, _PIECE))
 
 
-def _shards(batches, shard_tokens: int) -> Iterator[list[tuple]]:
+def _shards(batches, shard_tokens: int, shard_units: int = SHARD_UNITS) -> Iterator[list[tuple]]:
+    """Runs of units (uid, at, the ids from there on)."""
     units, tokens = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
-            ids = np.frombuffer(row[2], dtype="<u2")
-            units.append((row[0], row[1], ids, row[3]))
-            tokens += len(ids)
-            if tokens >= shard_tokens or len(units) == SHARD_UNITS:
+        for uid, at, ids in zip(*(batch.column(c).to_pylist() for c in ("uid", "at", "ids")), strict=True):
+            units.append((uid, at, np.frombuffer(ids, dtype="<u2")[at:]))
+            tokens += len(units[-1][2])
+            if tokens >= shard_tokens or len(units) == shard_units:
                 yield units
                 units, tokens = [], 0
     if units:

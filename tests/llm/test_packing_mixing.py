@@ -67,6 +67,71 @@ def test_bm25_scores_equal_the_formula_and_neighbours_come_first():
         assert score == pytest.approx(want, rel=1e-5)
 
 
+def test_windows_get_the_best_units_of_all_shards(spark):
+    rng = np.random.default_rng(4)
+    idf, mean = (rng.random(packing.VOCABULARY) * 5).astype(np.float32), 12.0
+    units = [(100 + i, 0, rng.integers(3, 60, rng.integers(4, 20)).astype("<u2")) for i in range(90)]
+    queries = [(sid, room, packing._terms(rng.integers(3, 60, 15), idf)) for sid, room in ((1, 80), (2, 33), (3, 50))]
+    left = spark.createDataFrame([(u, at, x.tobytes()) for u, at, x in units], "uid long, at long, ids binary").repartition(5, "uid")
+    found = packing._candidates(left, [(s, r, t.tobytes()) for s, r, t in queries], idf, mean, 60)
+    got = {(r["sid"], r["uid"]): (r["n"], r["offset"]) for r in packing._awarded(found, 128).collect()}
+    index, lengths, wanted = packing.Shard([u[2] for u in units], idf, mean), np.array([len(u[2]) for u in units]), defaultdict(list)
+    orders = {sid: (packing._leading(scores := index.scores(terms), lengths, room), scores) for sid, room, terms in queries}
+    for sid, (order, scores) in orders.items():
+        for u in order:
+            wanted[u].append((scores[u], -sid))
+    want = {}
+    for sid, room, _ in queries:
+        at = 128 - room
+        for u in orders[sid][0]:
+            if -max(wanted[u])[1] == sid:
+                want[sid, units[u][0]] = (min(lengths[u], 128 - at), at)
+                at += lengths[u]
+    assert got == want
+
+
+def test_twins_of_different_shards_share_a_window(spark):
+    # a document's highest token is its own, so twins lay in different shards where these were sorted by it
+    tokenizer = packing.Tokenizer(tokenizer_definition())
+    rng = np.random.default_rng(6)
+    words = [t[:-4] for t, i in sorted(tokenizer.own.get_vocab().items(), key=lambda x: x[1]) if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha()]
+    topics = rng.permutation(words[2000:6000])[: 20 * 8].reshape(20, 8)
+    rows = [(i, " ".join([*topics[i % 20], words[-1 - 40 * j]]), "a", 0) for j, i in enumerate(rng.permutation(40).tolist())]
+    length = max(len(x) // 2 for x in tokenizer.encode([t for _, t, *_ in rows])) + 1
+    windows = defaultdict(set)
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA), tokenizer_definition(), window=2 * length, shard_tokens=5 * length).collect():
+        windows[r["sequence_id"]].add(r["doc_id"])
+    assert sum(any({i, i + 20} <= x for x in windows.values()) for i in range(20)) >= 18
+
+
+def test_rounds_place_every_token_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LAST_UNITS", 60)
+    docs = spark.createDataFrame([(i, f"word{i % 9} shared{i % 5} tokens " * (i % 13), "a", 0) for i in range(120)], SCHEMA).repartition(4)
+    by_doc, by_sequence, total = defaultdict(list), defaultdict(list), {}
+    for r in packing.pack(docs, tokenizer_definition(), window=64, shard_tokens=300).collect():
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        total[r["doc_id"]] = r["doc_tokens"]
+    assert len(by_doc) == 120
+    for parts, size in [(p, total[d]) for d, p in by_doc.items()] + [(p, None) for p in by_sequence.values()]:
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == size if size is not None else at & (at - 1) == 0
+
+
+def test_leading_units_fill_the_room_and_windows_split_by_powers():
+    rng = np.random.default_rng(2)
+    scores, lengths = rng.random(500), rng.integers(1, 9, 500)
+    order = np.argsort(-scores)
+    for room in (1, 40, 700, 10**6):
+        want = order[: int(np.searchsorted(np.cumsum(lengths[order]), room)) + 1]
+        assert packing._leading(scores, lengths, room).tolist() == want.tolist()
+    assert list(packing._sequences(3, 7, 11, 16)) == [(0, 0, 5, 3), (1, 5, 2, 0)]
+    assert list(packing._sequences(3, 7, 16, 16)) == [(0, 0, 7, 3)]
+
+
 def test_empty_table_packs_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_definition()).count() == 0
 
