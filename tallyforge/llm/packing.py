@@ -1,18 +1,23 @@
 """Lexical retrieval packing: a sharded BM25 index returns each seed's unused neighbours, which greedily fill its window.
 
-A document is tokenised and its whole windows are sequences at once; what is left, shorter than a window, is a unit.
-Windows are filled in rounds. A round opens windows with a seed each, and every open window asks every shard of the
-index, with weights from counts over the whole corpus, for its best unused units: a shard returns as many as could fill
-the window alone, so the best of all shards are among them. A unit wanted by several windows goes to the one where its
-score is highest; the others ask again in the next round. The unit that does not fit is cut, and its rest is a unit
-that seeds a window next. When few units are left one task takes them all, window by window. Windows left open at the
-end are cut into sequences of powers of two, which need no padding.
-
-Every window meets every unit that is unused, so the time grows with the square of the corpus.
+A document is tokenised and its whole windows are sequences at once; what is left, shorter than a window, is a unit. A
+unit is known to the index by its whole document, whatever part of it is left, and weights come from counts over all
+documents. Units are ordered over the cluster by the two tokens that weigh most in them, so that those which share
+their most telling tokens lie together, and consecutive runs of up to ``SHARD_UNITS`` units are the shards of the
+inverted index. A task holds one shard at a time and packs it: the next unused unit is the seed, and the unused units
+of the shard follow by their BM25 score against it until the window is full. The unit that does not fit is cut, and
+its rest is the next seed, so only the end of a partition can leave a window open; that one is cut into sequences of
+powers of two, which need no padding.
+
+A seed's neighbours come from its own shard, never from the others, so the time grows in proportion to the corpus; the
+README says how near that comes to an index of everything.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import os
 import string
 from collections.abc import Iterator
@@ -21,20 +26,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from . import _linear
 from ._spark import stored
 
 WINDOW = 4096
 END = 2
 VOCABULARY = 1 << 16
-#: A shard of the index ends at so many tokens or units, which bounds its memory; windows ask all shards.
-SHARD_TOKENS, SHARD_UNITS = 1 << 22, 1 << 13
-#: Windows open at once; their query tokens are sent to all shards.
-OPEN = 8192
-#: So few units are packed by one task.
-LAST_UNITS = 4096
+#: A shard of the index ends at so many tokens or units, which bounds its memory.
+SHARD_TOKENS, SHARD_UNITS = 1 << 23, 1 << 12
+#: Partitions of units: one for each shard, and beyond so many partitions several shards in turn.
+MAX_PARTITIONS = 20_000
+#: Units for each partition from which the partitions' borders are estimated; borders only place units.
+BORDER_UNITS = 64
 K1, B = 1.2, 0.75
 CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
@@ -73,7 +77,7 @@ class Tokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
-        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        split = pc.split_pattern(_parted(pa.array(plain, pa.large_string())), " ")
         coded = split.flatten().dictionary_encode()
         parts = coded.dictionary.to_pylist()
         missing = set(parts).difference(self.known)
@@ -82,14 +86,7 @@ class Tokenizer:
                 self.older, self.known = self.known, {"": b""}
                 missing = set(parts) - {""}
             self._recall(missing)
-            # marks that follow a word of letters are tokens of their own
-            ended = [(p, stem, p[len(stem) :]) for p in missing if (stem := p.rstrip(_MARKS)) != p and stem.isalpha()]
-            missing.difference_update([p for p, _, _ in ended])
-            inner = {x for _, stem, marks in ended for x in (stem, marks)}.difference(self.known, missing)
-            self._recall(inner)
-            self._learn([*missing, *inner])
-            known = self.known
-            known.update([(p, known[stem] + known[marks]) for p, stem, marks in ended])
+            self._learn(list(missing))
         ids = pa.array(map(self.known.__getitem__, parts), pa.large_binary(), size=len(parts)).take(coded.indices)
         offsets = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
         bounds = offsets[split.offsets.to_numpy()].tolist()
@@ -136,8 +133,36 @@ class Tokenizer:
             self.known[part] = self._ids(part).tobytes()
 
 
-#: Never part of a word's token; the apostrophe begins tokens such as 's.
-_MARKS = string.punctuation.replace("'", "")
+#: Bytes of letters: a-z, A-Z, and the second byte of those from U+00C0 to U+00FF, which follows 0xC3.
+_LETTER, _SECOND = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SECOND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+#: Never in one token with a letter; the apostrophe is, in tokens such as 's.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in string.punctuation if c != "'"]] = True
+
+
+def _parted(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The texts with a space between letters and marks next to each other, so that fewer different parts are left.
+
+    Tokens of the special kind, <|...|>, hold both; texts with their opening marks are left as they are.
+    """
+    offsets, raw = np.frombuffer(texts.buffers()[1], dtype=np.int64)[: len(texts) + 1], texts.buffers()[2]
+    if raw is None or not offsets[-1]:
+        return texts
+    data = np.frombuffer(raw, dtype=np.uint8)[: offsets[-1]]
+    mark, begins, ends = _MARK[data], _LETTER[data], _LETTER[data]
+    pair = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+    begins[:-1] |= pair
+    ends[1:] |= pair
+    gap = np.zeros(len(data), dtype=bool)
+    gap[1:] = (ends[:-1] & mark[1:]) | (mark[:-1] & begins[1:])
+    gap[offsets[:-1][offsets[:-1] < len(data)]] = False
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for row in np.unique(np.searchsorted(offsets, special, side="right") - 1).tolist():
+        gap[offsets[row] : offsets[row + 1]] = False
+    at = np.flatnonzero(gap)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets + np.searchsorted(at, offsets)), pa.py_buffer(np.insert(data, at, 32)))
 
 
 def _lower(text: str) -> str:
@@ -153,33 +178,42 @@ def _latin(text: str) -> bool:
     return True
 
 
-_UNIT = "uid long, doc_id long, start long, ids binary, doc_tokens long, kind string"
+_UNIT = "doc_id long, start long, ids binary, doc_tokens long, profile binary, kind string"
+_KEYED = "part int, first int, second int, doc_id long, start long, ids binary, doc_tokens long, profile binary"
+_PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
+_PROFILE = np.dtype([("token", "<u2"), ("n", "<u4")])
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
 
 
 def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
-    """Rows of kind 'whole' (a full window), 'unit' (what is left) and 'counts' (a partition's unit counts by token)."""
+    """Rows of kind 'whole' (a full window), 'unit' (what is left) and 'counts' (a partition's document counts by token).
+
+    A unit that is not its whole document carries the counts of that document's tokens as its profile.
+    """
 
     def work(batches):
         tokenizer = Tokenizer.shared(definition)
-        counts, bitmap = np.zeros(VOCABULARY, dtype=np.int64), np.zeros(VOCABULARY, dtype=bool)
-        uid = TaskContext.get().partitionId() << 33
+        counts = np.zeros(VOCABULARY, dtype=np.int64)
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
             for part in _in_parts(batch):
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
+                rows, coded = [], [ids + end for ids in tokenizer.encode(part.column("text").to_pylist())]
+                unit, token, times = _profiles([(ids, None) for ids in coded])
+                counts += np.bincount(token, minlength=VOCABULARY)
+                for i, (doc_id, ids) in enumerate(zip(part.column("doc_id").to_pylist(), coded, strict=True)):
                     n = len(ids) // 2
                     cut = n - n % window
-                    rows += [(None, doc_id, s, ids[2 * s : 2 * (s + window)], n, "whole") for s in range(0, cut, window)]
+                    rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, None, "whole") for s in range(0, cut, window)]
                     if cut < n:
-                        rest = ids[2 * cut :]
-                        seen = _linear.distinct(np.frombuffer(rest, dtype="<u2"), bitmap)
-                        counts[seen] += 1
-                        rows.append((uid, doc_id, cut, rest, n, "unit"))
-                        uid += 1
-                yield _units(rows)
-        yield _units([(None, None, None, counts.tobytes(), None, "counts")])
+                        own = slice(*np.searchsorted(unit, (i, i + 1))) if cut else None
+                        rows.append((doc_id, cut, ids[2 * cut :], n, _packed(token[own], times[own]) if cut else None, "unit"))
+                yield _batch(rows, _UNIT)
+        yield _batch([(None, None, counts.tobytes(), None, None, "counts")], _UNIT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _UNIT)
 
@@ -195,16 +229,8 @@ def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = end
 
 
-def _units(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _UNIT.split(", ")])
-
-
-def _statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
-    """(idf of each token, mean unit length) over all units; at most one number per token of the vocabulary is gathered.
-
-    A token in half of the units or more has no weight, so it is left out of the index without changing any score.
-    """
+def _statistics(tokenised: DataFrame) -> Bm25:
+    """Weights from all documents; at most one number per token of the vocabulary is gathered."""
 
     def spread(batches):
         for batch in batches:
@@ -216,29 +242,92 @@ def _statistics(tokenised: DataFrame) -> tuple[np.ndarray, float]:
     counts = np.zeros(VOCABULARY, dtype=np.int64)
     for row in tokenised.filter("kind = 'counts'").select("ids").mapInArrow(spread, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[row["token"]] = row["n"]
-    units, tokens = tokenised.filter("kind = 'unit'").agg(F.count("*"), F.sum(F.octet_length("ids") / 2)).first()
-    idf = np.log((units - counts + 0.5) / (counts + 0.5)) if units else np.zeros(VOCABULARY)
-    return np.maximum(idf, 0.0).astype(np.float32), float(tokens or 0) / max(1, units)
+    tokens = tokenised.filter("kind <> 'counts'").agg(F.sum(F.octet_length("ids") / 2)).first()[0]
+    documents = int(counts[END])  # each has it
+    return Bm25(counts, documents, float(tokens or 0) / max(1, documents))
+
+
+def _profiles(units: list[tuple[bytes, bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, token, how often) of the distinct tokens of each of up to 65,536 units (ids, or if given the profile)."""
+    owner = np.repeat(np.arange(len(units), dtype=np.uint32), [0 if profile else len(ids) // 2 for ids, profile in units])
+    keys = owner << np.uint32(16)
+    keys |= np.frombuffer(b"".join([ids for ids, profile in units if not profile]), dtype="<u2")
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    found = [((keys[first] >> np.uint32(16)).astype(np.int64), (keys[first] & np.uint32(0xFFFF)).astype(np.int64), np.diff(np.append(first, len(keys))))]
+    for i, (_, profile) in enumerate(units):
+        if profile:
+            part = np.frombuffer(profile, dtype=_PROFILE)
+            found.append((np.full(len(part), i), part["token"].astype(np.int64), part["n"].astype(np.int64)))
+    unit, token, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        order = np.argsort(unit, kind="stable")
+        unit, token, n = unit[order], token[order], n[order]
+    return unit, token, n
+
+
+def _packed(token: np.ndarray, n: np.ndarray) -> bytes:
+    out = np.empty(len(token), dtype=_PROFILE)
+    out["token"], out["n"] = token, n
+    return out.tobytes()
+
+
+class Bm25:
+    """BM25 weights by the counts of a whole corpus: in how many documents each token is, of so many of a mean length."""
+
+    def __init__(self, counts: np.ndarray, documents: int, mean: float):
+        idf = np.log((documents - counts + 0.5) / (counts + 0.5)) if documents else np.zeros(VOCABULARY)
+        #: A token in half of the documents or more has no weight, so leaving it out changes no score.
+        self.idf, self.mean, self.shared = np.maximum(idf, 0.0).astype(np.float32), mean, counts > 1
+
+    def weights(self, units: list[tuple[bytes, bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, token, weight) of the tokens with any weight in each unit's document, in order."""
+        unit, token, n = _profiles(units)
+        length = np.bincount(unit, n, len(units))
+        idf = self.idf[token].astype(np.float64)
+        some = idf > 0
+        unit, token, n, idf = unit[some], token[some], n[some], idf[some]
+        return unit, token, idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length[unit] / self.mean))
+
+    def leading(self, units: list[tuple[bytes, bytes | None]]) -> list[tuple[int, int]]:
+        """The two tokens that weigh most in each unit of those that other documents have, of equal ones the lower, else -1."""
+        unit, token, weight = self.weights(units)
+        some = self.shared[token]
+        unit, token, weight = unit[some], token[some], weight[some]
+        out, some = np.full((len(units), 2), -1), np.unique(unit)
+        if len(some):
+            # less is heavier: the weight's bits turned round, then the token
+            order = ((np.uint64(0xFFFFFFFF) - weight.astype(np.float32).view(np.uint32).astype(np.uint64)) << np.uint64(16)) | token.astype(np.uint64)
+            bounds, none = np.searchsorted(unit, some), np.uint64(2**64 - 1)
+            for i in range(2):
+                best = np.minimum.reduceat(order, bounds)
+                out[some, i] = np.where(best == none, -1, (best & np.uint64(0xFFFF)).astype(np.int64))
+                order[order == np.repeat(best, np.diff(np.append(bounds, len(unit))))] = none
+        return [tuple(x) for x in out.tolist()]
 
 
 class Shard:
     """The inverted index of some units: for each token the units that have it, with their BM25 weights."""
 
-    def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.size, self.terms, weights = len(units), [], []
-        for ids in units:
-            ordered = np.sort(ids)
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            at, tf = ordered[first].astype(np.int64), np.diff(np.append(first, len(ids))).astype(np.float32)
-            weighty = idf[at] > 0
-            at, tf = at[weighty], tf[weighty]
-            self.terms.append(at.astype(np.int32))
-            weights.append((idf[at] * tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(ids) / mean)))).astype(np.float32))
-        tokens = np.concatenate([np.zeros(0, dtype=np.int32), *self.terms])
-        order = np.argsort(tokens, kind="stable")
-        self.bounds = np.append(0, np.cumsum(np.bincount(tokens, minlength=VOCABULARY)))
-        self.units = np.repeat(np.arange(len(units)), [len(t) for t in self.terms])[order]
-        self.weights = np.concatenate([np.zeros(0, dtype=np.float32), *weights])[order].astype(np.float64)
+    def __init__(self, size: int, bounds: np.ndarray, units: np.ndarray, weights: np.ndarray):
+        self.size, self.bounds, self.units, self.weights = size, bounds, units, weights
+
+    @classmethod
+    def of(cls, units: list[tuple[bytes, bytes | None]], bm25: Bm25) -> tuple[Shard, list[np.ndarray]]:
+        """The index and each unit's weighty tokens."""
+        found = []
+        for first in range(0, len(units), 256):
+            unit, token, weight = bm25.weights(units[first : first + 256])
+            found.append((unit + first, token, weight))
+        unit, token, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(token, kind="stable")
+        shard = cls(len(units), np.append(0, np.cumsum(np.bincount(token, minlength=VOCABULARY))), unit[order], weight[order])
+        return shard, np.split(token, np.searchsorted(unit, np.arange(1, len(units))))
+
+    def only(self, kept: np.ndarray) -> Shard:
+        """The index of the units that ``kept`` marks, numbered anew."""
+        some, number = kept[self.units], np.cumsum(kept) - 1
+        return Shard(int(kept.sum()), np.append(0, np.cumsum(some))[self.bounds], number[self.units[some]], self.weights[some])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Every unit's BM25 score for a query of distinct tokens."""
@@ -248,161 +337,143 @@ class Shard:
         return np.bincount(np.concatenate([self.units[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), self.size)
 
 
-def _leading(scores: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
-    """The best units, best first, up to the one that fills ``room``; all where none does."""
+def leading(scores: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """The best units, best first and of equal ones the first, up to the one that fills ``room``; all where none does."""
     k = 32
-    while True:
-        at = np.argpartition(-scores, k - 1)[:k] if k < len(scores) else np.arange(len(scores))
+    while k < len(scores):
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores > least)  # ties at the bound wait for a larger k
         at = at[np.argsort(-scores[at], kind="stable")]
         filled = np.cumsum(lengths[at])
-        if k >= len(scores) or filled[-1] >= room:
+        if len(at) and filled[-1] >= room:
             return at[: int(np.searchsorted(filled, room)) + 1]
         k *= 4
+    at = np.argsort(-scores, kind="stable")
+    return at[: int(np.searchsorted(np.cumsum(lengths[at]), room)) + 1]
+
+
+class _Packer:
+    """Fills windows over a partition's shards; ``take`` gives the full ones, ``finish`` what is left open."""
+
+    def __init__(self, bm25: Bm25, window: int):
+        self.bm25, self.window = bm25, window
+        self.open: list[tuple] = []  # (unit, from, length) of the open window
+        self.room, self.seed_terms = window, None
+
+    def _place(self, unit: tuple, at: int) -> int:
+        """Puts what fits of ``unit`` (doc_id, start, ids, doc_tokens, profile) from ``at`` on; returns where it stops."""
+        n = min(self.room, len(unit[2]) // 2 - at)
+        self.open.append((unit, at, n))
+        self.room -= n
+        return at + n
+
+    def take(self, units: list[tuple]) -> Iterator[list[tuple]]:
+        shard, terms = Shard.of([(u[2], u[4]) for u in units], self.bm25)
+        sizes = np.array([len(u[2]) // 2 for u in units], dtype=np.int64)
+        used, pointer, rest = np.zeros(len(units), dtype=bool), 0, None
+        indexed = np.arange(len(units))  # the units that the index still holds
+        while True:
+            if not self.open:
+                if rest is None:
+                    while pointer < len(units) and used[pointer]:
+                        pointer += 1
+                    if pointer == len(units):
+                        return
+                    rest, used[pointer] = (pointer, 0), True
+                seed, at = rest
+                rest = None
+                self.seed_terms = terms[seed]
+                self._place(units[seed], at)
+            if self.room:
+                free = ~used[indexed]
+                left = indexed[free]
+                for u in left[leading(shard.scores(self.seed_terms)[free], sizes[left], self.room)].tolist():
+                    used[u] = True
+                    if (end := self._place(units[u], 0)) < sizes[u]:
+                        rest = (u, end)
+                if 2 * len(left) < len(indexed):
+                    shard, indexed = shard.only(~used[indexed]), indexed[~used[indexed]]
+            if self.room:
+                return
+            yield self.open
+            self.open, self.room = [], self.window
+
+    def finish(self) -> Iterator[list[tuple]]:
+        """The open window as sequences of falling powers of two."""
+        left, parts = self.window - self.room, self.open
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            left -= size
+            own = []
+            while size:
+                unit, at, n = parts[0]
+                own.append((unit, at, min(n, size)))
+                parts = ([(unit, at + size, n - size)] if n > size else []) + parts[1:]
+                size -= min(n, size)
+            yield own
+
+
+def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
+    at, seed = 0, parts[0][0][0]
+    for unit, first, n in parts:
+        yield unit[0], unit[1] + first, n, _wide(unit[2][2 * first : 2 * (first + n)]), unit[3], sequence_id, at, seed
+        at += n
+
+
+def _wide(ids: bytes) -> bytes:
+    return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
+def _shards(batches, shard_tokens: int, shard_units: int) -> Iterator[list[tuple]]:
+    units, tokens = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "profile")), strict=True):
+            units.append(row)
+            tokens += len(row[2]) // 2
+            if tokens >= shard_tokens or len(units) == shard_units:
+                yield units
+                units, tokens = [], 0
+    if units:
+        yield units
 
 
-def _terms(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The distinct tokens of ``ids`` that have weight."""
-    found = np.unique(ids).astype(np.int32)
-    return found[idf[found] > 0]
-
-
-def _candidates(left: DataFrame, queries: list[tuple], idf: np.ndarray, mean: float, shard_tokens: int) -> DataFrame:
-    """(sid, uid, at, n, score, room) of every shard's leading units for every query (sid, room, terms).
+def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
+    """The units by partition, ordered by their leading tokens; a partition is about a shard.
 
-    Units of equal score, such as those that share nothing, are ordered by a hash of both, so that windows do not all
-    ask for the same ones.
+    The partitions' borders are (first, second, a hash for each row) of ``BORDER_UNITS`` sampled units a partition, so
+    units of one hot token, or all alike, are spread as well, and leading tokens are worked out once.
     """
-    sent = left.sparkSession.sparkContext.broadcast(queries)
-
-    def ask(batches):
-        for units in _shards(batches, shard_tokens):
-            shard = Shard([u[2] for u in units], idf, mean)
-            uid, at = (np.array([u[i] for u in units], dtype=np.int64) for i in (0, 1))
-            lengths = np.array([len(u[2]) for u in units], dtype=np.int64)
-            parts: list[tuple] = []
-            for sid, room, terms in sent.value:
-                mixed = (uid.view(np.uint64) ^ np.uint64(sid)) * np.uint64(0x9E3779B97F4A7C15)
-                scores = shard.scores(np.frombuffer(terms, dtype=np.int32)) + (mixed >> np.uint64(40)).astype(np.float64) * 1e-14
-                best = _leading(scores, lengths, room)
-                parts.append((np.full(len(best), sid), uid[best], at[best], lengths[best], scores[best], np.full(len(best), room)))
-                if len(parts) == 1024:
-                    yield _columns(parts, _CANDIDATE)
-                    parts = []
-            if parts:
-                yield _columns(parts, _CANDIDATE)
-
-    return left.mapInArrow(ask, _CANDIDATE)
-
-
-_CANDIDATE = "sid long, uid long, at long, n long, score double, room long"
-_PLACED = "sid long, uid long, at long, n long, offset long"
-
-
-def _columns(parts: list[tuple], schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], [c.split()[0] for c in schema.split(", ")])
-
-
-def _awarded(candidates: DataFrame, window: int) -> DataFrame:
-    """The placements of a round: each unit goes to the window where it scores highest, among those it would help to fill."""
-    ahead = Window.partitionBy("sid").orderBy(F.desc("score"), "uid").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(ahead), F.lit(0))
-    wanted = stored(candidates.withColumn("before", before).filter("before < room").drop("before"), "pack-wanted")
-    best = wanted.groupBy("uid").agg(F.max(F.struct("score", (-F.col("sid")).alias("minus"))).alias("best"))
-    won = wanted.join(best, "uid").filter("best.minus = -sid").withColumn("before", before)
-    return won.select("sid", "uid", "at", F.least("n", F.col("room") - F.col("before")).alias("n"), (window - F.col("room") + F.col("before")).alias("offset"))
-
-
-def _last(left: DataFrame, queries: list[tuple], idf: np.ndarray, mean: float, window: int) -> DataFrame:
-    """Placements of all units left, few enough for one task: open windows are filled one by one, then new ones."""
-
-    def fill(batches):
-        units = [u for some in _shards(batches, 1 << 62, 1 << 62) for u in some]
-        if not units:
-            return
-        shard, used, rows = Shard([u[2] for u in units], idf, mean), np.zeros(len(units), dtype=bool), []
-        waiting, pointer, rest = list(queries)[::-1], 0, None
-        while not used.all() or rest:
-            if waiting:
-                sid, room, terms = waiting.pop()
-                terms = np.frombuffer(terms, dtype=np.int32)
-            else:
-                while rest is None and used[pointer]:
-                    pointer += 1
-                u, at = rest or (pointer, 0)
-                sid, n = units[u][0], len(units[u][2]) - at
-                rows.append((sid, sid, units[u][1] + at, n, 0))
-                used[u], rest, room, terms = True, None, window - n, shard.terms[u]
-            if rest and room:  # what is left of a cut unit goes on in the window that is open
-                u, at = rest
-                n = min(room, len(units[u][2]) - at)
-                rows.append((sid, units[u][0], units[u][1] + at, n, window - room))
-                room -= n
-                rest = (u, at + n) if at + n < len(units[u][2]) else None
-            left = np.flatnonzero(~used)
-            for u in left[np.argsort(-shard.scores(terms)[left], kind="stable")]:
-                if not room:
-                    break
-                n = min(room, len(units[u][2]))
-                rows.append((sid, units[u][0], units[u][1], n, window - room))
-                used[u], room = True, room - n
-                if n < len(units[u][2]):
-                    rest = (u, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [c.split()[0] for c in _PLACED.split(", ")])
-
-    return left.repartition(1).sortWithinPartitions("uid").mapInArrow(fill, _PLACED)
-
-
-def _placements(units: DataFrame, idf: np.ndarray, mean: float, window: int, shard_tokens: int) -> DataFrame:
-    """(sid, uid, at, n, offset): which part of which unit lies where in the window that the unit ``sid`` seeds."""
-    spark = units.sparkSession
-    placed = spark.createDataFrame([], _PLACED)
-
-    def queries(open_: DataFrame) -> list[tuple]:
-        def distil(batches):
+    count = units.count()
+    parts = max(1, min(MAX_PARTITIONS, math.ceil(count / shard_units)))
+    hashed = units.withColumn("mixed", F.xxhash64(F.monotonically_increasing_id()))
+    borders: list[tuple] = []
+    if parts > 1:
+        sampled = hashed.sample(min(1.0, 2 * BORDER_UNITS * parts / count), seed=7).limit(4 * BORDER_UNITS * parts)
+
+        def keys(batches):
             for batch in batches:
-                terms = [_terms(np.frombuffer(x, dtype="<u2"), idf).tobytes() for x in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("room"), pa.array(terms, pa.binary())], ["sid", "room", "terms"])
-
-        joined = units.withColumnRenamed("uid", "sid").join(open_, "sid").select("sid", "room", "ids")
-        return sorted(tuple(r) for r in joined.mapInArrow(distil, "sid long, room long, terms binary").collect())
-
-    def unused() -> DataFrame:
-        done = placed.groupBy("uid").agg(F.max(F.col("at") + F.col("n")).alias("done"))
-        return units.join(done, "uid", "left").withColumn("at", F.coalesce("done", F.lit(0))).filter("at < size").select("uid", "at", "size", "ids")
-
-    while True:
-        count, tokens = unused().agg(F.count("*"), F.sum(F.col("size") - F.col("at"))).first()
-        if not count:
-            return placed
-        open_ = placed.groupBy("sid").agg((window - F.sum("n")).alias("room")).filter("room > 0")
-        if count <= LAST_UNITS:
-            return placed.unionByName(stored(_last(unused(), queries(open_), idf, mean, window), "pack-placed"))
-        fresh = min(OPEN, max(1, tokens // (2 * window))) - open_.count()
-        if fresh > 0:
-            seeds = unused().select("uid", "at", "size").orderBy(F.col("at") == 0, F.xxhash64("uid"), "uid").limit(fresh)
-            seeds = seeds.select(F.col("uid").alias("sid"), "uid", "at", (F.col("size") - F.col("at")).alias("n"), F.lit(0).cast("long").alias("offset"))
-            placed = placed.unionByName(stored(seeds, "pack-placed"))
-            open_ = placed.groupBy("sid").agg((window - F.sum("n")).alias("room")).filter("room > 0")
-        placed = placed.unionByName(stored(_awarded(_candidates(unused(), queries(open_), idf, mean, shard_tokens), window), "pack-placed"))
+                for i in range(0, batch.num_rows, 256):
+                    some = batch.slice(i, 256)
+                    best = bm25.leading(list(zip(some.column("ids").to_pylist(), some.column("profile").to_pylist(), strict=True)))
+                    yield _batch([(*two, mixed) for two, mixed in zip(best, some.column("mixed").to_pylist(), strict=True)], "first int, second int, mixed long")
 
+        found = sorted(tuple(r) for r in sampled.mapInArrow(keys, "first int, second int, mixed long").collect())
+        borders = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
 
-_PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
-#: Ids kept for the sequences of one window.
-_PARTS = 64
-
+    def place(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                best = bm25.leading(list(zip(some.column("ids").to_pylist(), some.column("profile").to_pylist(), strict=True)))
+                part = [bisect.bisect_right(borders, (*two, mixed)) for two, mixed in zip(best, some.column("mixed").to_pylist(), strict=True)]
+                keys = [pa.array(x, pa.int32()) for x in (part, [x for x, _ in best], [x for _, x in best])]
+                yield pa.RecordBatch.from_arrays([*keys, *some.columns[:5]], [c.split()[0] for c in _KEYED.split(", ")])
 
-def _sequences(offset: int, n: int, filled: int, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(part, skipped, length, offset) of a piece; a window filled in part is cut into falling powers of two."""
-    part, begin, end = 0, 0, offset + n
-    while begin < end:
-        size = window if filled == window else 1 << ((filled - begin).bit_length() - 1)
-        low, high = max(offset, begin), min(end, begin + size)
-        if low < high:
-            yield part, low - offset, high - low, low - begin
-        part, begin = part + 1, begin + size
+    keyed = hashed.select("doc_id", "start", "ids", "doc_tokens", "profile", "mixed").mapInArrow(place, _KEYED)
+    return keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("first", "second", "doc_id", "start", "doc_tokens", "ids").drop("part", "first", "second")
 
 
-def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_units: int = SHARD_UNITS) -> DataFrame:
     """Pieces of the sequences that hold all of ``docs``: doc_id, start, length, ids, doc_tokens, sequence_id, offset, seed_doc_id.
 
     ``definition`` is a tokenizer's JSON, of at most 65,536 tokens; every document ends with id 2. ids are
@@ -412,43 +483,27 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
     an empty table gives no rows; other columns do not matter; a document of any length is cut at whole windows.
     """
     tokenised = stored(_tokenised(docs, definition, window), "pack-tokens")
-    idf, mean = _statistics(tokenised)
-    units = tokenised.filter("kind = 'unit'").withColumn("size", F.octet_length("ids").cast("long") / 2).withColumn("size", F.col("size").cast("long"))
-    placed = _placements(units.select("uid", "size", "ids"), idf, mean, window, shard_tokens)
+    bm25 = _statistics(tokenised)
 
-    def cut(batches):
-        names = ("doc_id", "start", "ids", "doc_tokens", "sid", "at", "n", "offset", "filled", "seed_doc_id")
-        for batch in batches:
-            rows = []
-            for doc_id, start, ids, doc_tokens, sid, at, n, offset, filled, seed in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                ids = np.frombuffer(ids, dtype="<u2")
-                for part, skipped, length, place in _sequences(offset, n, filled, window):
-                    first = at + skipped
-                    rows.append((doc_id, start + first, length, ids[first : first + length].astype("<u4").tobytes(), doc_tokens, 2 * (_PARTS * sid + part), place, seed))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 3 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in _PIECE.split(", ")])
+    def fill(batches):
+        packer, number, base = _Packer(bm25, window), 0, TaskContext.get().partitionId() << 33
+        rows: list[tuple] = []
+        full = (parts for units in _shards(batches, shard_tokens, shard_units) for parts in packer.take(units))
+        for parts in itertools.chain(full, packer.finish()):
+            rows += _pieces(2 * (base + number), parts)
+            number += 1
+            if len(rows) >= 1024:
+                yield _batch(rows, _PIECE)
+                rows = []
+        if rows:
+            yield _batch(rows, _PIECE)
 
     def widen(batches):
         for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
-            length = [len(x) // 4 for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), batch.column("doc_tokens"), batch.column("sequence_id"), pa.array([0] * len(ids), pa.int64()), batch.column("doc_id")], [c.split()[0] for c in _PIECE.split(", ")])
+            rows = [(doc_id, start, len(ids) // 2, _wide(ids), doc_tokens, sequence_id, 0, doc_id) for doc_id, start, ids, doc_tokens, sequence_id in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "sequence_id")), strict=True)]
+            if rows:
+                yield _batch(rows, _PIECE)
 
-    windows = placed.groupBy("sid").agg(F.sum("n").alias("filled")).join(units.select(F.col("uid").alias("sid"), F.col("doc_id").alias("seed_doc_id")), "sid")
-    packed = placed.join(windows, "sid").join(units.select("uid", "doc_id", "start", "ids", "doc_tokens"), "uid").mapInArrow(cut, _PIECE)
+    packed = _placed(tokenised.filter("kind = 'unit'"), bm25, shard_units).mapInArrow(fill, _PIECE)
     whole = tokenised.filter("kind = 'whole'").select("doc_id", "start", "ids", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"))
     return packed.unionByName(whole.mapInArrow(widen, _PIECE))
-
-
-def _shards(batches, shard_tokens: int, shard_units: int = SHARD_UNITS) -> Iterator[list[tuple]]:
-    """Runs of units (uid, at, the ids from there on)."""
-    units, tokens = [], 0
-    for batch in batches:
-        for uid, at, ids in zip(*(batch.column(c).to_pylist() for c in ("uid", "at", "ids")), strict=True):
-            units.append((uid, at, np.frombuffer(ids, dtype="<u2")[at:]))
-            tokens += len(units[-1][2])
-            if tokens >= shard_tokens or len(units) == shard_units:
-                yield units
-                units, tokens = [], 0
-    if units:
-        yield units

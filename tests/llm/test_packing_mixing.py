@@ -1,5 +1,6 @@
 """Packing and mixing against what their contracts say, worked out row by row."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -27,9 +28,17 @@ def test_tokenizer_equals_the_library_on_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.own.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_equals_the_library_on_random_strings():
+    tokenizer, rng = packing.Tokenizer(tokenizer_definition()), random.Random(5)
+    alphabet = [*"abzABZ019 '\"!<|>()[]{}#$%&*+,-./:;=?@^_`~\n\t", *"éÀßİıÅŉªºµ×÷½²ñçøÿĿ̸́̇\u0085 日ﬁΣς😀", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "don't", "</w>", "İ[", "Å̊", "hello", "x)"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for text, ids in zip(texts, tokenizer.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.own.encode(text, add_special_tokens=False).ids, text
+
+
 def test_every_token_lies_in_one_piece_and_windows_are_full(spark):
     docs = spark.createDataFrame(ODD + [(100 + i, f"word{i} shared tokens here " * (i % 50), "a", 0) for i in range(400)], SCHEMA)
-    rows = packing.pack(docs, tokenizer_definition(), window=256).collect()
+    rows = packing.pack(docs, tokenizer_definition(), window=256, shard_units=64).collect()
     own = packing.Tokenizer(tokenizer_definition()).own
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     ids = {k: np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4") for k, t in texts.items()}
@@ -53,45 +62,58 @@ def test_every_token_lies_in_one_piece_and_windows_are_full(spark):
         assert at == 256 or at & (at - 1) == 0
 
 
-def test_bm25_scores_equal_the_formula_and_neighbours_come_first():
-    units = [np.array(x, dtype="<u2") for x in ([5, 6, 7, 5], [8, 9], [5, 7, 7, 10], [11])]
-    idf, mean = np.arange(VOCABULARY := packing.VOCABULARY, dtype=np.float32) % 13, 3.0
-    assert VOCABULARY == len(idf)
-    shard = packing.Shard(units, idf, mean)
-    got = shard.scores(shard.terms[0])
-    for unit, score in zip(units, got, strict=True):
-        want = 0.0
-        for t in (5, 6, 7):
-            tf = int((unit == t).sum())
-            want += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(unit) / mean))
-        assert score == pytest.approx(want, rel=1e-5)
+def _bm25(rng, units):
+    return packing.Bm25(rng.integers(1, 60, packing.VOCABULARY), 100, float(np.mean([len(u) for u in units])))
+
 
+def _score(bm25, terms, unit):
+    """BM25 of a unit for a query of distinct terms, from the formula."""
+    total = 0.0
+    for t in terms:
+        tf, idf = int((unit == t).sum()), float(bm25.idf[t])
+        total += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(unit) / bm25.mean))
+    return total
 
-def test_windows_get_the_best_units_of_all_shards(spark):
+
+def test_bm25_scores_equal_the_formula():
+    rng = np.random.default_rng(1)
+    units = [rng.integers(3, 40, n).astype("<u2") for n in (4, 1, 30, 9, 600)]
+    bm25 = _bm25(rng, units)
+    shard, terms = packing.Shard.of([(u.tobytes(), None) for u in units], bm25)
+    for query in (terms[0], terms[2][:3], terms[0][:0]):
+        assert shard.scores(query) == pytest.approx([_score(bm25, query, u) for u in units], rel=1e-5)
+    kept = np.array([True, False, True, True, False])
+    assert shard.only(kept).scores(terms[2]) == pytest.approx(shard.scores(terms[2])[kept])
+    _, token, n = packing._profiles([(units[4].tobytes(), None)])
+    whole, _ = packing.Shard.of([(units[4][-5:].tobytes(), packing._packed(token, n)), (units[2].tobytes(), None)], bm25)
+    assert whole.scores(terms[2]) == pytest.approx(shard.scores(terms[2])[[4, 2]])
+    heaviest = [sorted((t for t in set(u.tolist()) if bm25.idf[t] > 0 and bm25.shared[t]), key=lambda t: (-np.float32(_score(bm25, [t], u)), t))[:2] for u in units]
+    assert [list(x) for x in bm25.leading([(u.tobytes(), None) for u in units])] == [[*x, -1, -1][:2] for x in heaviest]
+
+
+def test_windows_are_filled_by_the_best_unused_neighbours():
     rng = np.random.default_rng(4)
-    idf, mean = (rng.random(packing.VOCABULARY) * 5).astype(np.float32), 12.0
-    units = [(100 + i, 0, rng.integers(3, 60, rng.integers(4, 20)).astype("<u2")) for i in range(90)]
-    queries = [(sid, room, packing._terms(rng.integers(3, 60, 15), idf)) for sid, room in ((1, 80), (2, 33), (3, 50))]
-    left = spark.createDataFrame([(u, at, x.tobytes()) for u, at, x in units], "uid long, at long, ids binary").repartition(5, "uid")
-    found = packing._candidates(left, [(s, r, t.tobytes()) for s, r, t in queries], idf, mean, 60)
-    got = {(r["sid"], r["uid"]): (r["n"], r["offset"]) for r in packing._awarded(found, 128).collect()}
-    index, lengths, wanted = packing.Shard([u[2] for u in units], idf, mean), np.array([len(u[2]) for u in units]), defaultdict(list)
-    orders = {sid: (packing._leading(scores := index.scores(terms), lengths, room), scores) for sid, room, terms in queries}
-    for sid, (order, scores) in orders.items():
-        for u in order:
-            wanted[u].append((scores[u], -sid))
-    want = {}
-    for sid, room, _ in queries:
-        at = 128 - room
-        for u in orders[sid][0]:
-            if -max(wanted[u])[1] == sid:
-                want[sid, units[u][0]] = (min(lengths[u], 128 - at), at)
-                at += lengths[u]
-    assert got == want
-
-
-def test_twins_of_different_shards_share_a_window(spark):
-    # a document's highest token is its own, so twins lay in different shards where these were sorted by it
+    units = [(i, 0, rng.integers(3, 60, rng.integers(4, 20)).astype("<u2").tobytes(), 0, None) for i in range(90)]
+    ids = [np.frombuffer(u[2], dtype="<u2") for u in units]
+    bm25, used, rest, number = _bm25(rng, ids), set(), None, 0
+    for window in packing._Packer(bm25, 64).take(units):
+        seed, at = rest or (next(i for i in range(90) if i not in used), 0)
+        used.add(seed)
+        scores = [_score(bm25, np.unique(ids[seed]), x) for x in ids]
+        want, room, rest = [(seed, at, min(64, len(ids[seed]) - at))], 64 - len(ids[seed]) + at, None
+        for u in sorted((u for u in range(90) if u not in used), key=lambda u: (-round(scores[u], 9), u)):
+            if room <= 0:
+                break
+            used.add(u)
+            want.append((u, 0, min(room, len(ids[u]))))
+            rest = (u, room) if room < len(ids[u]) else None
+            room -= len(ids[u])
+        assert [(u[0], a, n) for u, a, n in window] == want
+        number += 1
+    assert number > 10
+
+
+def test_neighbours_share_a_window_over_many_shards(spark):
     tokenizer = packing.Tokenizer(tokenizer_definition())
     rng = np.random.default_rng(6)
     words = [t[:-4] for t, i in sorted(tokenizer.own.get_vocab().items(), key=lambda x: x[1]) if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha()]
@@ -99,37 +121,19 @@ def test_twins_of_different_shards_share_a_window(spark):
     rows = [(i, " ".join([*topics[i % 20], words[-1 - 40 * j]]), "a", 0) for j, i in enumerate(rng.permutation(40).tolist())]
     length = max(len(x) // 2 for x in tokenizer.encode([t for _, t, *_ in rows])) + 1
     windows = defaultdict(set)
-    for r in packing.pack(spark.createDataFrame(rows, SCHEMA), tokenizer_definition(), window=2 * length, shard_tokens=5 * length).collect():
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA), tokenizer_definition(), window=2 * length, shard_units=10).collect():
         windows[r["sequence_id"]].add(r["doc_id"])
-    assert sum(any({i, i + 20} <= x for x in windows.values()) for i in range(20)) >= 18
-
-
-def test_rounds_place_every_token_once(spark, monkeypatch):
-    monkeypatch.setattr(packing, "LAST_UNITS", 60)
-    docs = spark.createDataFrame([(i, f"word{i % 9} shared{i % 5} tokens " * (i % 13), "a", 0) for i in range(120)], SCHEMA).repartition(4)
-    by_doc, by_sequence, total = defaultdict(list), defaultdict(list), {}
-    for r in packing.pack(docs, tokenizer_definition(), window=64, shard_tokens=300).collect():
-        by_doc[r["doc_id"]].append((r["start"], r["length"]))
-        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
-        total[r["doc_id"]] = r["doc_tokens"]
-    assert len(by_doc) == 120
-    for parts, size in [(p, total[d]) for d, p in by_doc.items()] + [(p, None) for p in by_sequence.values()]:
-        at = 0
-        for start, n in sorted(parts):
-            assert start == at
-            at += n
-        assert at == size if size is not None else at & (at - 1) == 0
+    assert sum(any({i, i + 20} <= x for x in windows.values()) for i in range(20)) >= 14
 
 
-def test_leading_units_fill_the_room_and_windows_split_by_powers():
+def test_leading_units_fill_the_room():
     rng = np.random.default_rng(2)
-    scores, lengths = rng.random(500), rng.integers(1, 9, 500)
-    order = np.argsort(-scores)
-    for room in (1, 40, 700, 10**6):
-        want = order[: int(np.searchsorted(np.cumsum(lengths[order]), room)) + 1]
-        assert packing._leading(scores, lengths, room).tolist() == want.tolist()
-    assert list(packing._sequences(3, 7, 11, 16)) == [(0, 0, 5, 3), (1, 5, 2, 0)]
-    assert list(packing._sequences(3, 7, 16, 16)) == [(0, 0, 7, 3)]
+    lengths = rng.integers(1, 9, 500)
+    for scores in (rng.random(500), rng.integers(0, 4, 500).astype(float), np.zeros(500)):
+        order = np.argsort(-scores, kind="stable")
+        for room in (1, 40, 700, 10**6):
+            want = order[: int(np.searchsorted(np.cumsum(lengths[order]), room)) + 1]
+            assert packing.leading(scores, lengths, room).tolist() == want.tolist()
 
 
 def test_empty_table_packs_nothing(spark):
