@@ -1,29 +1,20 @@
-"""Session helpers: shared scratch space and tables written there to cut lineage."""
+"""Session helpers of the library, and names that do not clash with a user's columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import release, scratch_path, shared_dir, stored
 
+__all__ = ["free", "release", "scratch_path", "shared_dir", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later jobs and lost executors never recompute it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Each of ``names``, with underscores before it until no column of ``df`` is called so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

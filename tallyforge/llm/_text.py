@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of words that are hashed at once.
+HASH_BYTES = 1 << 21
 
 _U64 = np.uint64
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -70,19 +72,29 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+    """A 64-bit hash of each run of bytes, the runs taken some at a time and a very long one in pieces."""
     lengths = ends - starts
-    powers = np.ones(int(lengths.max()), dtype=np.uint64)
-    if len(powers) > 1:
-        powers[1:] = _WORD_BASE
-        powers = np.multiply.accumulate(powers)
-    total = int(lengths.sum())
-    shift = np.cumsum(lengths) - lengths
-    place = np.arange(total, dtype=np.int64) - np.repeat(shift, lengths)
-    codes = _BYTE_CODES[data[np.repeat(starts, lengths) + place]] * powers[place]
-    return mix64(np.add.reduceat(codes, shift) + lengths.astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
+    sums = np.zeros(len(starts), dtype=np.uint64)
+    powers = np.full(min(int(lengths.max(initial=0)), HASH_BYTES), _WORD_BASE)
+    powers[:1] = 1
+    powers = np.multiply.accumulate(powers)
+    after = np.cumsum(lengths)
+    first = 0
+    while first < len(starts):
+        before = int(after[first] - lengths[first])
+        end = int(np.searchsorted(after, before + HASH_BYTES, side="right"))
+        if end <= first:  # a run longer than that
+            for a in range(int(starts[first]), int(ends[first]), HASH_BYTES):
+                part = _BYTE_CODES[data[a : min(a + HASH_BYTES, int(ends[first]))]]
+                sums[first] += (part * powers[: len(part)]).sum(dtype=np.uint64) * _U64(pow(int(_WORD_BASE), a - int(starts[first]), 2**64))
+            end = first + 1
+        else:
+            size = lengths[first:end]
+            shift = np.cumsum(size) - size
+            place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(shift, size)
+            sums[first:end] = np.add.reduceat(_BYTE_CODES[data[np.repeat(starts[first:end], size) + place]] * powers[place], shift)
+        first = end
+    return mix64(sums + lengths.astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +114,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n: int, k: int) -> tuple[np.n
     bounds = row_bounds(rows, n)
     counts = np.diff(bounds)
     out = np.zeros(len(hashes), dtype=np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(hashes))):
         out[: len(hashes) - j] += hashes[j:] * _SHINGLE[j]
     full = np.arange(len(hashes)) + k <= np.repeat(bounds[1:], counts)
     out = mix64(out + _U64(k))
