@@ -1,16 +1,17 @@
 """WARC archives: a writer with revisit records and a reader that salvages what it can from damaged files.
 
 The writer gives every page a gzip member of its own in files that roll at a fixed size. The reader checks each
-record (member checksum, version line, header end, declared length, record end, block digest). After a failed check it
-searches for the next gzip member, or in plain files the next version line, that passes all checks, goes on from
-there, and logs the bytes between as a quarantined gap.
+record (version line, header end, declared length, record end, block digest). After a failed check it searches for the
+next version line from which a record passes all checks, in plain files as in what a gzip member inflates to, goes on
+from there, and logs the bytes between as a quarantined gap. Of a member that is cut short or fails its checksum the
+records in front of the damage are kept; the search for the next member starts right after its first byte.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,16 +25,17 @@ from ._spark import stored
 
 ROLL_BYTES = 16 << 20
 READ_BYTES = 1 << 18
-HEADER_BYTES = 1 << 20
+#: A record's header, and its block, is a value of Spark, which can be no longer.
+MOST_BYTES = 2**31 - 1
 SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _ID_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 FIELDS = [
-    ("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()),
+    ("kind", pa.string()), ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("inner_start", pa.int64()), ("inner_end", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()),
     ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
 ]
-READ_SCHEMA = "kind string, path string, start long, end long, reason string, record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
+READ_SCHEMA = "kind string, path string, start long, end long, inner_start long, inner_end long, reason string, record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -134,6 +136,7 @@ class _Bytes:
         self.handle, self.size, self.at, self.window = handle, handle.size(), 0, b""
 
     def get(self, start: int, n: int) -> bytes:
+        """``n`` bytes, or fewer where the file ends."""
         n = min(n, self.size - start)
         if n <= 0:
             return b""
@@ -141,29 +144,90 @@ class _Bytes:
             self.at, self.window = start, self.handle.read_at(max(n, READ_BYTES), start)
         return self.window[start - self.at : start - self.at + n]
 
-    def find(self, what: bytes, start: int) -> int:
-        """Where ``what`` next begins, or the file's size."""
-        while start < self.size:
-            part = self.get(start, READ_BYTES)
-            if (found := part.find(what)) >= 0:
-                return start + found
-            start += max(1, len(part) - len(what) + 1)
-        return self.size
+
+class _Inflated:
+    """What the gzip member at ``start`` inflates to, made step by step; bytes before ``floor`` are let go.
+
+    It ends at ``size`` once that is known: at the member's end, or where its bytes stop to be sound (``fault``).
+    """
+
+    def __init__(self, data: _Bytes, start: int):
+        self.data, self.end = data, start  # end: how far the file was read
+        self.machine, self.tail = zlib.decompressobj(31), b""
+        self.at, self.window, self.floor = 0, bytearray(), 0
+        self.size, self.fault = None, None
+
+    def _step(self) -> None:
+        piece = self.tail or self.data.get(self.end, 1 << 14)
+        fresh = not self.tail
+        if not piece:
+            self.fault = "member is cut short"
+        else:
+            before = self.machine.copy()
+            try:
+                self.window += self.machine.decompress(piece, READ_BYTES)
+                self.end += len(piece) if fresh else 0
+                self.tail = self.machine.unconsumed_tail
+            except zlib.error:
+                self.fault = "member checksum or coding fails"
+                for i in range(len(piece)):  # what comes before the damage
+                    try:
+                        self.window += before.decompress(piece[i : i + 1])
+                    except zlib.error:
+                        break
+        if self.fault:
+            self.size = self.at + len(self.window)
+        elif self.machine.eof:
+            self.end -= len(self.machine.unused_data)
+            self.size = self.at + len(self.window)
+        if self.floor - self.at > READ_BYTES:
+            del self.window[: self.floor - self.at]
+            self.at = self.floor
+
+    def get(self, start: int, n: int) -> bytes:
+        while self.size is None and self.at + len(self.window) < start + n:
+            self._step()
+        return bytes(self.window[start - self.at : start - self.at + n])
+
+
+def _find(source, what: bytes, start: int) -> int | None:
+    """Where ``what`` next begins, if anywhere."""
+    while True:
+        part = source.get(start, READ_BYTES)
+        if (found := part.find(what)) >= 0:
+            return start + found
+        if len(part) < READ_BYTES:
+            return None
+        start += len(part) - len(what) + 1
+        if isinstance(source, _Inflated):
+            source.floor = start
 
 
 class Damaged(ValueError):
     pass
 
 
-def _parsed(get, start: int, size: int) -> tuple[dict, bytes, int]:
-    """(headers, block, end) of the record at ``start`` of bytes that ``get`` reads; Damaged if a check fails."""
-    head = get(start, 8192)
+def _verified(digest: str, block: bytes) -> bool | None:
+    """Whether a digest header (algorithm:value, base32 or hex) is the block's; None if it cannot be told."""
+    algorithm, _, value = digest.partition(":")
+    if algorithm.lower() not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    own = hashlib.new(algorithm.lower(), block).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
+def _parsed(source, start: int, sound) -> tuple[dict, bytes, int]:
+    """(headers, block, end) of the record at ``start``; Damaged if a check fails.
+
+    ``sound`` tells whether the bytes passed a checksum of their own, which a record without a digest needs.
+    """
+    head = source.get(start, 4096)
     if not head.startswith(_VERSION):
         raise Damaged("no version line")
     while (stop := head.find(b"\r\n\r\n")) < 0:
-        if len(head) >= min(HEADER_BYTES, size - start):
+        if len(head) > MOST_BYTES or len(more := source.get(start, 2 * len(head))) == len(head):
             raise Damaged("header does not end")
-        head = get(start, min(HEADER_BYTES, 2 * len(head)))
+        head = more
     headers = {}
     for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -174,63 +238,95 @@ def _parsed(get, start: int, size: int) -> tuple[dict, bytes, int]:
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
     at, n = start + stop + 4, int(length)
-    if at + n + 4 > size:
+    if n > MOST_BYTES:
+        raise Damaged("block is longer than a value can be")
+    block = source.get(at, n + 4)
+    if len(block) < n + 4:
         raise Damaged("record is cut short")
-    block = get(at, n)
-    if get(at + n, 4) != b"\r\n\r\n":
+    block, end = block[:n], block[n:]
+    if end != b"\r\n\r\n":
         raise Damaged("record does not end where it says")
-    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind.lower() == "sha1" and digest != sha1_base32(block):
+    good = _verified(headers.get("warc-block-digest", ""), block)
+    if good is False:
         raise Damaged("block digest differs")
+    if good is None and not sound():
+        raise Damaged("no digest, in a damaged member")
     return headers, block, at + n + 4
 
 
-def _member(data: _Bytes, start: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """(records, end) of the gzip member at ``start``."""
-    if data.get(start, 3) != _MEMBER:
-        raise Damaged("no gzip member")
-    inflate, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not inflate.eof:
-            if not (piece := data.get(at, 1 << 16)):
-                raise Damaged("member is cut short")
-            parts.append(inflate.decompress(piece))
-            at += len(piece)
-    except zlib.error as e:
-        raise Damaged("member checksum or coding fails") from e
-    at -= len(inflate.unused_data)
-    whole, found, inner = b"".join(parts), [], 0
-    while inner < len(whole):
-        headers, block, inner = _parsed(lambda s, n: whole[s : s + n], inner, len(whole))
-        found.append((headers, block))
-    return found, at
-
-
-def salvage(handle, zipped: bool) -> Iterator[tuple]:
-    """('record', start, end, headers, block) and ('gap', start, end, reason, None) in the order of the file."""
-    data = _Bytes(handle)
-    mark, at, gap, reason = (_MEMBER if zipped else b"\n" + _VERSION), 0, None, ""
-    while at < data.size:
+def _records(source, sound) -> Iterator[tuple]:
+    """('record', start, end, headers, block) and ('gap', start, end, reason, None) of all bytes of ``source``, in order."""
+    at, gap, reason = 0, None, ""
+    while source.get(at, 1):
         try:
-            if zipped:
-                found, end = _member(data, at)
-            else:
-                headers, block, end = _parsed(data.get, at, data.size)
-                found = [(headers, block)]
+            headers, block, end = _parsed(source, at, sound)
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = data.find(mark, at + 1 if zipped else at)
-            at += 1 if not zipped and at < data.size else 0
+            found = _find(source, _VERSION, at + 1)
+            if found is None:
+                break
+            at = found
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
             gap = None
-        for headers, block in found:
-            yield "record", at, end, headers, block
+        yield "record", at, end, headers, block
         at = end
+        if isinstance(source, _Inflated):
+            source.floor = at
+    if gap is not None:
+        yield "gap", gap, source.size, reason, None
+
+
+def _sound(data: _Bytes, start: int) -> bool:
+    member = _Inflated(data, start)
+    while member.size is None:
+        member._step()
+        member.floor = member.at + len(member.window)
+    return member.fault is None
+
+
+def salvage(handle, zipped: bool) -> Iterator[tuple]:
+    """(kind, start, end, inner_start, inner_end, headers or reason, block) of a file, in its order.
+
+    Kind is 'record' or 'gap'. In a plain file records and gaps, from start to end, tile it. In a gzip file start is that
+    of a member and inner places count what it inflates to: a member's records and inner gaps, which have no end,
+    tile that. Gaps with an end tile the file together with the members that inflate to their ends; the gap of a damaged
+    member reaches to the next place that gives anything, its inner places from its last record to where inflating
+    stopped. Records inside of a damaged record's payload are taken for records.
+    """
+    data = _Bytes(handle)
+    if not zipped:
+        for kind, start, end, what, block in _records(data, lambda: True):
+            yield kind, start, end, None, None, what, block
+        return
+    at, gap = 0, None
+    while at < data.size:
+        if data.get(at, len(_MEMBER)) == _MEMBER:
+            member, rest = _Inflated(data, at), 0
+            for kind, start, end, what, block in _records(member, functools.cache(functools.partial(_sound, data, at))):
+                if kind == "gap" and member.fault and end == member.size:
+                    break
+                if gap is not None:
+                    yield "gap", gap[0], at, *gap[1:], None
+                    gap = None
+                yield kind, at, None, start, end, what, block
+                rest = end
+            if member.fault is None:
+                if gap is not None:
+                    yield "gap", gap[0], at, *gap[1:], None
+                    gap = None
+                at = member.end
+                continue
+            if gap is None:
+                gap = at, rest, member.size, member.fault
+        elif gap is None:
+            gap = at, None, None, "no gzip member"
+        following = _find(data, _MEMBER, at + 1)
+        at = data.size if following is None else following
     if gap is not None:
-        yield "gap", gap, data.size, reason, None
+        yield "gap", gap[0], data.size, *gap[1:], None
 
 
 def _number(value: str | None) -> int | None:
@@ -238,9 +334,9 @@ def _number(value: str | None) -> int | None:
 
 
 def _row(path: str, found: tuple, payloads: bool) -> tuple:
-    kind, start, end, what, block = found
+    kind, start, end, inner_start, inner_end, what, block = found
     if kind == "gap":
-        return kind, path, start, end, what, *[None] * 8
+        return kind, path, start, end, inner_start, inner_end, what, *[None] * 8
     http, split, body = block.partition(b"\r\n\r\n")
     payload = body if split and http.startswith(b"HTTP/") else block
     size, digest = len(payload), sha1_base32(payload)
@@ -248,16 +344,16 @@ def _row(path: str, found: tuple, payloads: bool) -> tuple:
         lengths = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         size = int(lengths[0]) if lengths and lengths[0].isdigit() else None
         digest, payload = what.get("warc-payload-digest", "").rpartition(":")[2] or None, None
-    return (kind, path, start, end, None, what.get("warc-type"), what.get("warc-record-id"), what.get("warc-target-uri"), _number(what.get("x-page-id")), _number(what.get("x-refers-to-page-id")), size, digest, payload if payloads else None)
+    return (kind, path, start, end, inner_start, inner_end, None, what.get("warc-type"), what.get("warc-record-id"), what.get("warc-target-uri"), _number(what.get("x-page-id")), _number(what.get("x-refers-to-page-id")), size, digest, payload if payloads else None)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records and gaps of the archives under ``path``: rows of kind 'record' or 'gap'.
+    """All records and gaps of the archives under ``path``: rows of kind 'record' or 'gap', as :func:`salvage` gives them.
 
-    Files ending in .gz are read by member, others as plain archives. A task holds one record (or member) at a time.
+    Files ending in .gz are read by member, others as plain archives. A task takes as many files as Spark's readers
+    put together and holds one record at a time. An empty file, or a folder without files, gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    parts = max(1, min(10_000, math.ceil((files.agg(F.sum("length")).first()[0] or 0) / ROLL_BYTES)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
     def load(batches):
         for batch in batches:
@@ -273,7 +369,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.repartition(parts, "path").mapInArrow(load, READ_SCHEMA)
+    return files.mapInArrow(load, READ_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
