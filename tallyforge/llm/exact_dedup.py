@@ -1,18 +1,21 @@
 """Exact deduplication against immutable snapshots that static binary fuse filters screen.
 
-Texts are equal when identical after lower-casing A-Z only. A snapshot is a stored table of digest groups with one
-filter per digest shard. A new batch is first grouped by digest on its own; only groups that their shard's filter lets
-through join the snapshot's exact buckets, and every bucket of several rows is compared byte by byte.
+Texts are equal when identical after lower-casing A-Z only. A snapshot is a batch of documents with its digest groups
+and, for each digest shard, a filter; both are written once and never changed. A new batch is first grouped by digest
+on its own; only groups that a snapshot's filters let through join its exact buckets. Within the batch as across
+snapshots, the texts of every bucket of several rows are compared byte by byte before the batch is taken in.
 
 Defined cases: a null text is empty; of equal texts the row with the largest doc_id stays; a row without doc_id stays
 only if no equal row has one; rows repeated with one doc_id share their flag (:func:`keep` leaves one of them); an
-empty table gives no rows; other columns do not matter.
+empty table gives no rows; other columns do not matter, whatever they are called.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import string
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fuse_filter
-from ._spark import stored
+from ._spark import free, stored
 
 KEYS_PER_SHARD = 1 << 16
 #: Rows of one digest are dealt to so many keys where texts are compared.
@@ -40,89 +43,107 @@ def digest(text: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """groups: (digest, keep_id, n); filters: (shard, seed, segment, starts, fingerprints)."""
+    """docs: the batch (doc_id, text); rows: (doc_id, digest); groups: (digest, keep_id, n) of the batch alone; unequal:
+    the digests under which texts differ in the batch, or between it and snapshots before it."""
 
+    docs: DataFrame
+    rows: DataFrame
     groups: DataFrame
-    filters: DataFrame
+    unequal: DataFrame
     shards: int
 
+    @functools.cached_property
+    def filters(self) -> DataFrame:
+        """(shard, seed, segment, starts, fingerprints), built and written when a batch is first screened by them."""
 
-def _shard(shards: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("shard"), "digest"), F.lit(shards)).cast("int")
+        def build(table: pa.Table) -> pa.Table:
+            made = fuse_filter.build(table.column("key").to_numpy().view(np.uint64))
+            return pa.table({"shard": table.column("shard").slice(0, 1).combine_chunks(), "seed": pa.array([str(made.seed)]), "segment": [made.segment], "starts": [made.starts], "fingerprints": pa.array([made.fingerprints.tobytes()], pa.binary())})
 
+        keys = self.groups.select(_shard(self.shards).alias("shard"), F.xxhash64("digest").alias("key"))
+        return stored(keys.groupBy("shard").applyInArrow(build, "shard int, seed string, segment long, starts long, fingerprints binary"), "dedup-filters")
 
-def snapshot(groups: DataFrame) -> Snapshot:
-    """Freezes digest groups: writes them and one filter for each shard of about ``KEYS_PER_SHARD`` digests."""
-    groups = stored(groups, "dedup-groups")
-    shards = max(1, math.ceil(groups.count() / KEYS_PER_SHARD))
 
-    def build(table: pa.Table) -> pa.Table:
-        made = fuse_filter.build(table.column("key").to_numpy().view(np.uint64))
-        return pa.table({"shard": table.column("shard").slice(0, 1).combine_chunks(), "seed": pa.array([str(made.seed)]), "segment": [made.segment], "starts": [made.starts], "fingerprints": pa.array([made.fingerprints.tobytes()], pa.binary())})
-
-    filters = groups.select(_shard(shards).alias("shard"), F.xxhash64("digest").alias("key")).groupBy("shard").applyInArrow(build, "shard int, seed string, segment long, starts long, fingerprints binary")
-    return Snapshot(groups, stored(filters, "dedup-filters"), shards)
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), "digest"), F.lit(shards)).cast("int")
 
 
 def screened(groups: DataFrame, known: Snapshot) -> DataFrame:
-    """``groups`` with ``may_be_known``: False only for digests that are not in the snapshot."""
+    """The ``groups`` whose digests ``known`` may have; those that its filters hold back it has not."""
 
     def screen(left: pa.Table, right: pa.Table) -> pa.Table:
         hit = np.zeros(left.num_rows, dtype=bool)
         for f in right.to_pylist():
             hit |= fuse_filter.FuseFilter(int(f["seed"]), f["segment"], f["starts"], np.frombuffer(f["fingerprints"], dtype=np.uint8)).may_contain(left.column("key").to_numpy().view(np.uint64))
-        return left.select(["digest", "keep_id", "n"]).append_column("may_be_known", pa.array(hit))
+        return left.select(["digest", "keep_id", "n"]).filter(pa.array(hit))
 
     keyed = groups.select("digest", "keep_id", "n", F.xxhash64("digest").alias("key"), _shard(known.shards).alias("shard"))
-    return keyed.groupBy("shard").cogroup(known.filters.groupBy("shard")).applyInArrow(screen, f"{_GROUP}, may_be_known boolean")
-
+    return keyed.groupBy("shard").cogroup(known.filters.groupBy("shard")).applyInArrow(screen, _GROUP)
 
-def ingest(known: Snapshot | None, batch: DataFrame) -> Snapshot:
-    """The next snapshot: ``known`` with a batch of (doc_id, digest) rows."""
-    groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    if known is None:
-        return snapshot(groups)
-    groups = stored(screened(groups, known), "dedup-screened")
-    old = known.groups.select("digest", F.col("keep_id").alias("_keep"), F.col("n").alias("_n"))
-    met = groups.filter("may_be_known").join(old, "digest", "left")
-    met = met.select("digest", F.greatest("keep_id", "_keep").alias("keep_id"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-    rest = known.groups.join(groups.filter("may_be_known").select("digest"), "digest", "left_anti")
-    return snapshot(rest.unionByName(met).unionByName(groups.filter(~F.col("may_be_known")).drop("may_be_known")))
 
-
-def _salted(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _salted(digests: DataFrame) -> DataFrame:
+    return digests.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _salt() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
 
 
-def different(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The digests under which texts differ, from comparing the smallest and largest text of each bucket of several rows."""
-    several = _salted(groups.filter("n > 1").select("digest"))
-    texts = docs.select(digest("text").alias("digest"), normalised("text").alias("_text"), _salt().alias("_salt")).join(several, ["digest", "_salt"])
+def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, _salt, _text) of the rows of ``docs`` that have one of the ``digests``."""
+    return docs.select(digest("text").alias("digest"), normalised("text").alias("_text"), _salt().alias("_salt")).join(_salted(digests), ["digest", "_salt"])
+
+
+def _different(texts: DataFrame) -> DataFrame:
+    """The digests under which texts differ, from the smallest and largest text of each."""
     ends = texts.groupBy("digest", "_salt").agg(F.min("_text").alias("a"), F.max("_text").alias("b"))
     return ends.groupBy("digest").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("digest")
 
 
+def ingest(known: Sequence[Snapshot], docs: DataFrame) -> Snapshot:
+    """The snapshot of a new batch ``docs`` (doc_id, text) behind the ``known`` ones.
+
+    Texts are compared within the batch's groups of several rows, and with each snapshot's for digests that pass its
+    filters and that its buckets have.
+    """
+    docs = docs.select("doc_id", "text")
+    rows = stored(docs.select("doc_id", digest("text").alias("digest")), "dedup-rows")
+    groups = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "dedup-groups")
+    several = groups.filter("n > 1").select("digest")
+    # whole batches whose rows meet: this one's own groups, and for each snapshot the digests that both have
+    compared = None
+    for old in known:
+        met = stored(screened(groups, old).select("digest").join(old.groups.select("digest"), "digest"), "dedup-met")
+        several = several.unionByName(met)
+        theirs = _texts(old.docs, met)
+        compared = theirs if compared is None else compared.unionByName(theirs)
+    own = _texts(docs, several.distinct() if known else several)
+    unequal = stored(_different(own if compared is None else own.unionByName(compared)), "dedup-different")
+    return Snapshot(docs, rows, groups, unequal, max(1, math.ceil(groups.count() / KEYS_PER_SHARD)))
+
+
 def groups_of(docs: DataFrame, batches: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The table is taken in as ``batches`` successive batches, each screened against the snapshot before it.
+    The table is taken in as ``batches`` successive batches, each screened against the snapshots before it.
     """
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.select("doc_id", digest("text").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")), "dedup-rows")
-    known = None
+    known: list[Snapshot] = []
     for b in range(batches):
-        known = ingest(known, rows.filter(F.col("batch") == b).select("doc_id", "digest"))
-    groups = known.groups
-    unequal = stored(different(docs, groups), "dedup-different")
+        known.append(ingest(known, docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)))
+    return merged(known)
+
+
+def merged(known: Sequence[Snapshot]) -> DataFrame:
+    """One row per row of all snapshots: doc_id, keep_id, group_size, kept, text_sha256."""
+    all_of = lambda part: functools.reduce(DataFrame.unionByName, [getattr(s, part) for s in known])
+    rows, docs = all_of("rows"), all_of("docs")
+    groups = all_of("groups").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    unequal = all_of("unequal").distinct()
     clashes = not unequal.isEmpty()
     plain = groups.join(unequal, "digest", "left_anti") if clashes else groups
     single = plain.filter("n = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "n", "digest")
-    several = _salted(plain.filter("n > 1"))
-    found = rows.withColumn("_salt", _salt()).join(several, ["digest", "_salt"]).select("doc_id", "keep_id", "n", "digest")
+    found = rows.withColumn("_salt", _salt()).join(_salted(plain.filter("n > 1")), ["digest", "_salt"]).select("doc_id", "keep_id", "n", "digest")
     found = single.unionByName(found)
     if clashes:  # equal digests of different texts: their rows are grouped by the texts themselves
         texts = docs.select("doc_id", digest("text").alias("digest"), normalised("text").alias("_text")).join(unequal, "digest")
@@ -133,9 +154,10 @@ def groups_of(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one of rows repeated with one doc_id and equal texts."""
-    dropped = groups_of(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    left = docs.withColumn("_digest", digest("text")).join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    id_, sha, own = free(docs, "dropped_id", "dropped_sha", "digest")
+    dropped = groups_of(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    left = docs.withColumn(own, digest("text")).join(dropped, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha)), "left_anti")
+    return left.dropDuplicates(["doc_id", own]).drop(own)
 
 
 ORACLE_SQL = """
