@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 EXACT_LANES, LIKENESS_LANES, RUN = 16, 256, 8
-#: Rows of a range, so that what a task holds of it stays small; more only where there would be over ``MAX_RANGES``.
-ROWS_PER_RANGE, MAX_RANGES = 1024, 200_000
+#: A range of rows has about so many bytes of text; a task goes through it row by row.
+RANGE_BYTES = 32 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**32, RUN, dtype=np.uint32) | np.uint32(1)
 _LOWEST = -(2**63)
 
@@ -85,28 +85,42 @@ def edited(text: str, following: str) -> str:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """Rows in ranges of falling doc_id, one range a partition and sorted; each range ends with a copy of the row after it.
+    """Rows in ranges of falling (doc_id, hash of the text), one range a partition and sorted; each range ends with a copy
+    of the row after it.
 
-    The ranges' ends (two numbers each, of at most ``MAX_RANGES``) are found from the ids alone, so texts move once.
+    The ranges' ends, four numbers for each ``RANGE_BYTES`` of text, are found from ids and hashes alone, so texts move once.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("_id"))
-    ids = rows.select("_id")
-    parts = min(MAX_RANGES, max(1, math.ceil(ids.count() / ROWS_PER_RANGE)))
-    ends = ids.repartitionByRange(parts, F.col("_id").desc()).groupBy(F.spark_partition_id()).agg(F.min("_id").alias("low"), F.max("_id").alias("high")).orderBy(F.desc("high")).collect()
-    lows = np.array([x["low"] for x in ends][::-1], dtype=np.int64)
-    heads = {x["high"]: (i - 1) % len(ends) for i, x in enumerate(ends)}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
+    keys = rows.select("_id", "_hash")
+    parts = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES))
+    first = F.struct("_id", "_hash")
+    ranges = keys.repartitionByRange(parts, F.col("_id").desc(), F.col("_hash").desc()).groupBy(F.spark_partition_id()).agg(F.min(first).alias("low"), F.max(first).alias("high"))
+    ends = sorted((tuple(x["low"]), tuple(x["high"])) for x in ranges.select("low", "high").collect())
     last = max(0, len(ends) - 1)
+    lows, highs = (np.array([x[i] for x in ends], dtype=np.int64).reshape(-1, 2) for i in (0, 1))
+
+    def place(batches):
+        for batch in batches:
+            id_, hash_ = (batch.column(c).to_numpy() for c in ("_id", "_hash"))
+            # the last range whose least key is not above a row's; equal ids are told apart by the hashes
+            at, above = (np.searchsorted(lows[:, 0], id_, side=x) for x in ("left", "right"))
+            for i in np.flatnonzero(above > at):
+                at[i] += np.searchsorted(lows[at[i] : above[i], 1], hash_[i], side="right")
+            at -= 1
+            heads = np.flatnonzero((highs[at] == np.stack((id_, hash_), axis=1)).all(axis=1))
+            yield _placed(batch, last - at, False)
+            if len(heads):  # a range's first row also goes behind the range before it
+                yield _placed(batch.take(pa.array(heads)), (last - at[heads] - 1) % (last + 1), True)
+
+    placed = rows.mapInArrow(place, "_range int, _copy boolean, doc_id long, text string, _id long, _hash long")
+    return placed.repartitionById(last + 1, F.col("_range")).sortWithinPartitions("_copy", F.desc("_id"), F.desc("_hash"), "text")
 
-    @F.arrow_udf("array<int>")
-    def ranges(column: pa.Array) -> pa.Array:
-        found = column.to_numpy(zero_copy_only=False)
-        own = last - (np.searchsorted(lows, found, side="right") - 1)
-        return pa.array([[int(r)] if (before := heads.get(int(i))) is None else [int(r), last + 1 + before] for i, r in zip(found, own, strict=True)], pa.list_(pa.int32()))
 
-    # range numbers beyond the last are those of the copies
-    placed = rows.withColumn("_range", F.explode(ranges("_id"))).withColumn("_copy", F.col("_range") > last)
-    placed = placed.withColumn("_range", F.when(F.col("_copy"), F.col("_range") - (last + 1)).otherwise(F.col("_range")))
-    return placed.repartitionById(last + 1, F.col("_range")).sortWithinPartitions("_range", "_copy", F.desc("_id"), "text")
+def _placed(batch: pa.RecordBatch, ranges: np.ndarray, copy: bool) -> pa.RecordBatch:
+    names = ["doc_id", "text", "_id", "_hash"]
+    columns = [pa.array(ranges.astype(np.int32)), pa.array(np.full(batch.num_rows, copy)), batch.column("doc_id").cast(pa.int64()), *[batch.column(c) for c in names[1:]]]
+    return pa.RecordBatch.from_arrays(columns, ["_range", "_copy", *names])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -114,21 +128,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text takes its new half from the next document by falling doc_id; the last one's next is the first.
     Defined cases: a null text is empty; an empty text's fingerprint is that of one empty paragraph; rows with equal
-    ids follow each other by text; rows without id come last; a single row is its own next; other columns do not matter.
+    ids follow each other by the falling xxhash64 of their texts; rows without id come last; a single row is its own
+    next; an empty table gives no rows; other columns do not matter.
     """
 
     def pairs(batches) -> Iterator[tuple[int | None, str, Fingerprint, str, Fingerprint]]:
-        """Each row with the next one of its range; the copy at a range's end is only ever a next one."""
+        """Each row with the next one of its range; a copy at the range's end is only ever a next one."""
         before = None
         for batch in batches:
-            for doc_id, text, copy, at in zip(*(batch.column(c) for c in ("doc_id", "text", "_copy", "_range")), strict=True):
-                doc_id, text, copy, at = doc_id.as_py(), text.as_py(), copy.as_py(), at.as_py()
-                if before and before[3] and copy and before[4] == at:
-                    continue
+            for doc_id, text, copy in zip(*(batch.column(c) for c in ("doc_id", "text", "_copy")), strict=True):
+                doc_id, text, copy = doc_id.as_py(), text.as_py(), copy.as_py()
+                if before and before[3]:
+                    return
                 mark = Fingerprint.of(text)
-                if before and not before[3]:
+                if before:
                     yield before[0], before[1], before[2], text, mark
-                before = doc_id, text, mark, copy, at
+                before = doc_id, text, mark, copy
 
     def work(batches):
         done = []

@@ -8,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tallyforge.llm import components, exact_dedup, fingerprints, fuse_filter, license_scan, line_dedup, near_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,8 +67,6 @@ def test_exact_groups(docs):
 
 
 def test_equal_digests_of_different_texts_are_told_apart(docs, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(exact_dedup, "digest", lambda text: F.lit("same"))
     rows = exact_dedup.groups_of(docs).collect()
     groups = defaultdict(set)
@@ -143,9 +142,11 @@ def test_components_of_a_long_chain_and_loops(spark):
     assert {r["node"]: r["component"] for r in got} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def test_fingerprints_of_edited_texts(docs):
+@pytest.mark.parametrize("size", [1 << 10, 32 << 20])
+def test_fingerprints_of_edited_texts(docs, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
     rows = texts_of(docs)
-    ordered = sorted(((i, t) for i, t in rows if i is not None), key=lambda x: (-x[0], x[1])) + [x for x in rows if x[0] is None]
+    ordered = [(r["doc_id"], r["text"] or "") for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.desc_nulls_last("doc_id"), F.desc("h")).collect()]
     want = defaultdict(set)
     for k, (i, t) in enumerate(ordered):
         half, following = len(t) // 2, ordered[(k + 1) % len(ordered)][1]
