@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text
-from ._spark import stored
+from ._spark import free, stored
 
 PERCENT = 80
 TABLE = 1 << 18
@@ -31,7 +31,7 @@ TABLE_BLOCKS = 16
 SEEN_LINES = 400_000
 #: A block of a hot token has about so many entries; a meeting of more than ``LARGE_MEETING`` is dealt to blocks anew.
 HOT_ROWS, LARGE_MEETING = 512, 4096
-ROWS_PER_SHARD, LEAST_SHARDS = 1 << 18, 64
+ROWS_PER_SHARD, LEAST_SHARDS = 1 << 17, 8
 PAIRS_AT_ONCE = 1 << 18
 #: Meetings of so many rows are counted by matrices rather than by pairs.
 DENSE_ROWS = 32
@@ -319,7 +319,7 @@ def _searched(dealt: DataFrame, shards: int, percent: int, final: bool) -> DataF
             yield search(now, blobs)
 
     names = [x.split()[0] for x in _OPEN.split(", ")]
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(work, _OPEN)
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(work, _OPEN)
 
 
 def _open(dealt: DataFrame, shards: int, percent: int) -> DataFrame:
@@ -488,9 +488,10 @@ def lines_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefixes = _summed(described.filter("counts IS NOT NULL").select(F.col("line").alias("block"), "counts"), 4)
     lines = described.filter("counts IS NULL").drop("counts")
     sets = lines.filter("tokens IS NOT NULL")
-    shards = max(LEAST_SHARDS, math.ceil(int(prefixes.sum()) / ROWS_PER_SHARD))
     # what a hash class has beyond the usual is taken for that of one token
     blocks = np.maximum(1, -(-(prefixes - 4 * int(prefixes.mean())) // HOT_ROWS))
+    # an entry goes to every meeting of its block
+    shards = max(LEAST_SHARDS, math.ceil(int((prefixes * blocks).sum()) / ROWS_PER_SHARD))
     open_ = _open(_dealt(sets, blocks, shards, percent), shards, percent)
     per_doc = F.lit(2**31).cast("decimal(11,0)")
     place = F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("decimal(20,0)") * per_doc + F.col("line")
@@ -517,12 +518,17 @@ def _id(column: str):
 
 
 def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the lines that go taken out of ``text``, and ``removed_lines``, their number; all rows stay."""
-    gone = lines_of(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.drop("removed_lines").join(gone, F.col("doc_id") == F.col("_doc"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    return joined.withColumn("removed_lines", F.coalesce(F.array_size("_gone"), F.lit(0))).drop("_gone", "_doc")
+    """``docs`` with the lines that go taken out of ``text``, and ``removed_lines``, their number; all rows stay.
+
+    A column named ``removed_lines`` is replaced, any others are kept, whatever they are called.
+    """
+    docs = docs.drop("removed_lines")
+    own, gone = free(docs, "line_doc", "gone")
+    lines = lines_of(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("doc_id", own)
+    joined = docs.join(lines, F.col("doc_id") == F.col(own), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    return joined.withColumn("removed_lines", F.coalesce(F.array_size(gone), F.lit(0))).drop(gone, own)
 
 
 #: Prefixes of 80 percent in the order of (number of lines that have a word, word); a plain join on them is exact.
