@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._spark import stored
+from ._spark import free, stored
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,40 +52,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
 
     Defined cases: a null text is empty (size 0, takes 0); a null source is a source of its own, the last; a null
     doc_id is keyed by its text; repeated rows each count; an empty table gives no rows. Columns of ``docs`` named like
-    a result column are replaced, any others are kept.
+    a result column are replaced, any others are kept, whatever they are called. A bucket holds more rows than
+    ``rows_per_bucket`` only beyond 2**``MAX_BUCKET_BITS`` buckets, or where rows share a key, as rows of one doc_id do.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
+    key, bucket, offset, own, own_bucket, words, before, epochs, cut = free(docs, "key", "bucket", "offset", "own_source", "own_bucket", "words", "before", "epochs", "cut")
     bits = min(MAX_BUCKET_BITS, max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_bucket))))
-    keyed = docs.withColumn("size", word_count("text")).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")))))
-    keyed = keyed.withColumn("_bucket", F.shiftright(F.conv(F.substring("_key", 1, 7), 16, 10).cast("long"), 28 - bits))
-    sums = stored(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "mix-sums")
-    sources = targets(sums.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = docs.withColumn("size", word_count("text")).withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")))))
+    keyed = keyed.withColumn(bucket, F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits))
+    sums = stored(keyed.groupBy("source", bucket).agg(F.sum("size").alias(words)), "mix-sums")
+    sources = targets(sums.groupBy("source").agg(F.sum(words).alias("source_size")), weights, cap)
+    earlier = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sums.withColumn("_offset", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).withColumnRenamed("source", "_source").drop("_words")
-        .join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("_bucket", "_b")
+        sums.withColumn(offset, F.coalesce(F.sum(words).over(earlier), F.lit(0))).withColumnRenamed("source", own).drop(words)
+        .join(sources, F.col(own).eqNullSafe(F.col("source"))).drop("source").withColumnRenamed(bucket, own_bucket)
     )
-    joined = keyed.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).drop("_source", "_b")
-    within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = keyed.join(offsets, F.col("source").eqNullSafe(F.col(own)) & (F.col(bucket) == F.col(own_bucket))).drop(own, own_bucket)
+    within = Window.partitionBy("source", bucket).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor(F.col("target") + 0.5).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    times = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
-        joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("_epochs", epochs)
-        .withColumn("_cut", budget - F.col("_epochs") * F.col("source_size"))
-        .withColumn("taken", F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_cut") - F.col("_before"))))
-        .drop("_key", "_bucket", "_offset", "_before", "_epochs", "_cut")
+        joined.withColumn(before, F.col(offset) + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        .withColumn(epochs, times)
+        .withColumn(cut, budget - F.col(epochs) * F.col("source_size"))
+        .withColumn("taken", F.col(epochs) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col(cut) - F.col(before))))
+        .drop(key, bucket, offset, before, epochs, cut)
     )
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
+def repeated(mixed: DataFrame, epoch: str = "epoch") -> DataFrame:
     """The mix itself: one row per taking of a document, the last one of a source's budget cut after its exact word.
 
-    Takes the result of :func:`mix`; adds ``epoch`` (from 0). A document of which nothing is taken gives no row.
+    Takes the result of :func:`mix`; adds ``epoch`` (from 0), replacing a column of that name. A document of which
+    nothing is taken gives no row.
     """
     epochs = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    rows = mixed.filter(F.col("taken") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    left = F.col("taken") - F.col("epoch") * F.col("size")
+    rows = mixed.drop(epoch).filter(F.col("taken") > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), epochs - 1)))
+    left = F.col("taken") - F.col(epoch) * F.col("size")
     cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), left.cast("int")), "")
     return rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut))
 

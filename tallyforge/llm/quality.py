@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _linear, _text
 
@@ -58,7 +58,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> _
     return _linear.fit(docs, labels, features, BITS, max_rows)
 
 
+def score_column(model: _linear.Model) -> Column:
+    return _linear.score_column(model, features)
+
+
 def classify(docs: DataFrame, model: _linear.Model) -> DataFrame:
     """``docs`` with score and predicted. A null text scores as an empty one; columns so named are replaced."""
-    scored = docs.drop("score", "predicted").withColumn("score", _linear.score_column(model, features))
+    scored = docs.drop("score", "predicted").withColumn("score", score_column(model))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
