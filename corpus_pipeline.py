@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, exact dedup, near dedup, source mixing, packing.
 
 Counted as part of the subpackage ``tallyforge.llm``. Each stage takes (spark, docs, sf_dir); its result is written as
-Parquet and read back as the next stage's ``docs``. All but the last return the columns of ``docs``.
+Parquet and read back as the next stage's ``docs``. All but the last return the columns of ``docs``, whatever they are
+called: stages work on the columns doc_id, text and source under names that clash with no other.
 """
 
 from __future__ import annotations
@@ -10,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm import exact_dedup, mixing, near_dedup, packing, quality
 from tallyforge.llm._linear import in_fold
-from tallyforge.llm._spark import stored
+from tallyforge.llm._spark import free, stored
 from tallyforge.llm.queries import tokenizer_definition
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).filter(~in_fold("doc_id", 3, 1))
-    scored = quality.classify(docs, quality.fit(docs, labels))
-    return scored.filter("predicted = 1").select(docs.columns)
+    return docs.filter(quality.score_column(quality.fit(docs, labels)) >= quality.THRESHOLD)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; the last text of a source's budget ends with its exact word."""
-    return mixing.repeated(mixing.mix(docs)).select(docs.columns)
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed, epoch = free(docs, "others", "epoch")
+    others = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in own]) if own else F.lit(None).cast("int")
+    rows = mixing.repeated(mixing.mix(docs.select("doc_id", "text", "source", others.alias(packed))), epoch)
+    return rows.select([F.col(packed).getField(c).alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
