@@ -81,13 +81,13 @@ def _lock(edges: Column) -> Column:
     return F.aggregate(edges, start, step)
 
 
-def ranked_pairs(ballots: DataFrame, candidates: DataFrame, elections: DataFrame | None = None, tiebreak: Tiebreak = lexicographic, matrix: DataFrame | None = None) -> Result:
+def ranked_pairs(ballots: DataFrame, candidates: DataFrame, elections: DataFrame | None = None, tiebreak: Tiebreak = lexicographic, matrix: DataFrame | None = None, include_matrix: bool = True) -> Result:
     """Ranked pairs. header adds had_condorcet_winner and tiebreak_function_used; more: edges and matrix.
 
     Where a candidate beats all others it wins and no edge is locked; with one candidate alone its count is the ballots
     cast. Else edges are locked strongest first and a candidate that no locked edge beats wins; ``tiebreak`` chooses
     among several. ``tiebreak_applied`` says that an edge was skipped, not that ``tiebreak`` ran. A ``matrix`` from the
-    caller replaces counting; ballots then give the totals only.
+    caller replaces counting; ballots then give the totals only. Without ``include_matrix`` more holds the edges alone.
     """
     matrix = pairwise_matrix(ballots, candidates) if matrix is None else matrix
     margin = margins(matrix)
@@ -116,4 +116,4 @@ def ranked_pairs(ballots: DataFrame, candidates: DataFrame, elections: DataFrame
     edges = folded.select("election_id", F.explode(F.concat(F.transform("locked", lambda e: F.struct(e.alias("e"), F.lit("locked").alias("status"))), F.transform("skipped", lambda e: F.struct(e.alias("e"), F.lit("skipped").alias("status"))))).alias("x"))
     order = Window.partitionBy("election_id").orderBy(F.desc("margin"), F.desc("winning_votes"), "winner", "loser")
     edges = edges.select("election_id", "x.e.*", "x.status").withColumn("seq", F.row_number().over(order))
-    return Result(result, counts, {"edges": edges, "matrix": matrix})
+    return Result(result, counts, {"edges": edges} | ({"matrix": matrix} if include_matrix else {}))

@@ -111,7 +111,7 @@ def form_errors(forms: DataFrame) -> DataFrame:
         ("metric_fields", _any("metrics", lambda m: _blank(m["name"]) | _blank(m["unit"]) | _blank(m["baseline_val"]) | _blank(m["target_val"]) | _blank(m["deadline"]))),
         ("population_positive", F.coalesce(F.col("population_estimate") <= 0, F.lit(False))),
         ("topics_count", _size("topics", 1)),
-        ("topic_ids", _any("topics", lambda t: ~_uuid(t["domain_id"]) | (t["program_id"].isNotNull() & ~_uuid(t["program_id"])))),
+        ("topic_ids", _any("topics", lambda t: ~_uuid(t["domain_id"]) | (t["program_id"].isNotNull() & ~_uuid(t["program_id"])) | t["is_primary"].isNull())),
         ("budget_items_count", _size("budget_items", 1)),
         ("budget_item_fields", _any("budget_items", lambda b: _blank(b["item_name"]) | ~F.coalesce((b["one_time_usd"] >= 0) & (b["annual_usd"] >= 0) & b["confidence"].between(0, 1), F.lit(False)))),
         ("needs_new_authority", F.col("needs_new_authority").isNull()),
@@ -121,19 +121,56 @@ def form_errors(forms: DataFrame) -> DataFrame:
     return forms.withColumn("errors", F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules])))
 
 
+def parsed_int(text: str | Column) -> Column:
+    """The whole number that a form field begins with, null where there is none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
+
+
+def int_or_zero(text: str | Column) -> Column:
+    return F.coalesce(parsed_int(text), F.lit(0))
+
+
+def confidence_or_half(text: str | Column) -> Column:
+    """The number that a form field begins with; one half where there is none, or zero, as the form has it."""
+    text = F.col(text) if isinstance(text, str) else text
+    number = F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
+    return F.when(number != 0, number).otherwise(F.lit(0.5))
+
+
+#: What a form may leave out, beside its author, texts, lists and whether it needs new authority.
+_OPTIONAL = {
+    "implementing_org": "string", "scope_geojson": "string", "population_estimate": "int", "population_source": "string", "funding_notes": "string", "legal_citation": "string",
+    "equity_beneficiaries": "string", "equity_cost_bearers": "string", "safeguards_rollback_trigger": "string", "safeguards_rollback_steps": "string", "sunset_date": "string",
+    "privacy_notes": "string", "retention_days": "int",
+}
+
+
 def form_rows(forms: DataFrame) -> dict[str, DataFrame]:
-    """The table rows that checked forms (with an ``id``) are stored as: the proposal, a draft with summed budgets, and its children."""
+    """The table rows that checked forms (with an ``id``) are stored as: the proposal, a draft with summed budgets, and its children.
+
+    Fields that a form may leave out, and a metric's baseline_year and baseline_source, are null where there is no such
+    column. An empty sunset date is null; actions are numbered from 1 in their order; ids of children follow from the
+    proposal's.
+    """
+    for name, kind in _OPTIONAL.items():
+        if name not in forms.columns:
+            forms = forms.withColumn(name, F.lit(None).cast(kind))
     total = lambda field: F.aggregate("budget_items", F.lit(0).cast("long"), lambda s, b: s + b[field].cast("long")).cast("int")
     key = F.col("id").alias("proposal_id")
     own = lambda table, n: F.sha2(F.concat_ws(":", F.lit(table), F.col("proposal_id"), n.cast("string")), 256)
     proposal = forms.select(
-        "id", "author_id", F.lit("draft").alias("status"), "title", "summary", "problem_plain", "population_estimate", total("one_time_usd").alias("budget_one_time_usd"),
-        total("annual_usd").alias("budget_annual_usd"), "needs_new_authority", F.nullif(F.col("sunset_date"), F.lit("")).cast("date").alias("sunset_date"), "retention_days",
+        "id", "author_id", F.lit("draft").alias("status"), "title", "summary", "problem_plain", "implementing_org", "scope_geojson", "population_estimate", "population_source",
+        total("one_time_usd").alias("budget_one_time_usd"), total("annual_usd").alias("budget_annual_usd"), "funding_notes", "legal_citation", "needs_new_authority", "equity_beneficiaries",
+        "equity_cost_bearers", "safeguards_rollback_trigger", "safeguards_rollback_steps", F.nullif(F.col("sunset_date").cast("string"), F.lit("")).cast("date").alias("sunset_date"), "privacy_notes",
+        "retention_days",
     )
     topics = forms.select(key, F.explode("topics").alias("t")).select("proposal_id", "t.domain_id", "t.program_id", "t.is_primary")
     actions = forms.select(key, F.posexplode("actions").alias("n", "a")).select(own("action", F.col("n")).alias("id"), "proposal_id", (F.col("n") + 1).alias("ordinal"), "a.text")
+    given = {f.name for f in forms.schema["metrics"].dataType.elementType.fields}
+    optional = [(F.col(f"m.{c}") if c in given else F.lit(None)).cast(kind).alias(c) for c, kind in (("baseline_year", "int"), ("baseline_source", "string"))]
     metrics = forms.select(key, F.posexplode("metrics").alias("n", "m")).select(
-        own("metric", F.col("n")).alias("id"), "proposal_id", "m.name", "m.unit", F.col("m.baseline_val").cast("decimal(12,4)").alias("baseline_val"),
+        own("metric", F.col("n")).alias("id"), "proposal_id", "m.name", "m.unit", F.col("m.baseline_val").cast("decimal(12,4)").alias("baseline_val"), *optional,
         F.col("m.target_val").cast("decimal(12,4)").alias("target_val"), F.col("m.deadline").cast("date").alias("deadline"),
     )
     items = forms.select(key, F.posexplode("budget_items").alias("n", "b")).select(own("item", F.col("n")).alias("id"), "proposal_id", "b.item_name", "b.one_time_usd", "b.annual_usd", F.col("b.confidence").cast("decimal(3,2)").alias("confidence"))

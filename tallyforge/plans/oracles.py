@@ -89,6 +89,16 @@ _IRV = f"""{ranked("c_mktsegment")},
           FROM runs r JOIN cast_ b ON b.election_id = r.election_id WHERE NOT r.done GROUP BY r.election_id, r.round_number, r.l, r.gone, r.tied, r.was_tied)))),
   rounds AS (SELECT r.*, t.n_cast FROM runs r JOIN totals t USING (election_id) WHERE round_number > 0)"""
 
+_SET_UPS = """WITH names AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1),
+  k AS (SELECT * FROM (VALUES (0, 'single_choice'), (1, 'approval'), (2, 'ranked_choice'), (3, 'score'), (4, 'quadratic'), (5, 'plurality')) v(k, ballot_type)),
+  set_ups AS (SELECT r_name, ballot_type, CASE WHEN (r_regionkey + k) % 5 = 0 THEN '  ' ELSE '  Election of ' || r_name || chr(9) || ' ' END AS title, r_regionkey * 3 AS min_score, (r_regionkey - 1) * 50 AS credit_budget, r_regionkey <> 4 AS allow,
+    CASE WHEN r_regionkey = 2 THEN list_append(list_slice(names, 1, (r_regionkey + k) % 5), names[1]) ELSE list_slice(names, 1, (r_regionkey + k) % 5) END AS candidates
+    FROM region JOIN names ON n_regionkey = r_regionkey, k)"""
+_UUID = "'00000000-0000-4000-8000-' || lpad({}::VARCHAR, 12, '0')"
+_NUMBERED = "WITH l AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"
+_LOADED = """WITH p AS (SELECT o_orderkey AS id, c_custkey AS author_id, c_name AS handle FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 9 <> 0),
+  l AS (SELECT l_orderkey AS id, l_linenumber % 5 AS d, CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 25 END AS g, l_linenumber = 1 AS own FROM lineitem),
+  t AS (SELECT l.id, string_agg(r_name || ':' || coalesce(n_name, '-') || ':' || own::VARCHAR, ',' ORDER BY d, g NULLS FIRST, own) AS topics FROM l JOIN region ON r_regionkey = d LEFT JOIN nation ON n_nationkey = g GROUP BY 1)"""
 ORACLES = {
     "plurality_counts": f"{_PLURALITY} SELECT election_id, candidate_id, votes FROM counts",
     "plurality_winner": f"""{_PLURALITY}, {_TOP}, heads AS (SELECT election_id, count(*)::BIGINT AS total_ballots, count(*) FILTER (choice IS NULL)::BIGINT AS abstentions FROM ballots GROUP BY 1)
@@ -145,6 +155,50 @@ ORACLES = {
       CASE WHEN o_orderkey % 11 = 0 THEN 'author_id' END], lambda x: x IS NOT NULL), ',') AS errors
       FROM (SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity::INT - 2 < 0) AS bad FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)""",
     "candidate_list_parse": """SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')), lambda x: x <> ''), '|') AS candidates FROM conversations""",
-    "election_payload": """SELECT r_name AS title, '{"election":{"title":"' || r_name || '","description":"Nations of ' || r_name || '"},"ballotType":"ranked","candidates":[' || string_agg('"' || n_name || '"', ',' ORDER BY n_name) || '],"constraints":{"ranks":' || count(*)::VARCHAR || '}}' AS payload,
-      CASE WHEN count(*) < 3 THEN 'three_candidates_to_rank' ELSE '' END AS errors FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "election_payload": f"""{_SET_UPS} SELECT r_name, ballot_type, CASE WHEN ballot_type <> 'plurality' THEN
+      '{{"election":{{"title":"' || trim(title, chr(9) || ' ') || '","description":"About ' || r_name || '"}},"ballotType":"' || ballot_type || '","candidates":[' || coalesce('"' || nullif(array_to_string(candidates, '","'), '') || '"', '') || '],"constraints":{{' ||
+      CASE ballot_type WHEN 'single_choice' THEN '"maxSelections":1' WHEN 'approval' THEN '"minApprovals":0,"maxApprovals":' || len(candidates)::VARCHAR WHEN 'ranked_choice' THEN '"requiresFullRanking":true,"strictOrdering":true'
+        WHEN 'score' THEN '"scoreRange":{{"min":' || min_score::VARCHAR || ',"max":10}},"integerOnly":true,"allowPartialScoring":true' ELSE '"creditBudget":' || credit_budget::VARCHAR || ',"costFunction":"votes^2","allowNegativeVotes":true' END ||
+      ',"allowAbstention":' || allow::VARCHAR || '}}}}' END AS payload FROM set_ups""",
+    "election_configuration": f"""{_SET_UPS} SELECT r_name, ballot_type, array_to_string(list_filter([
+        CASE WHEN trim(title, chr(9) || ' ') = '' THEN 'Election title is required.' END,
+        CASE WHEN len(candidates) < 2 THEN 'At least two candidates are required.' END,
+        CASE WHEN len(list_distinct(candidates)) <> len(candidates) THEN 'Candidate names must be unique.' END,
+        CASE WHEN ballot_type = 'ranked_choice' AND len(candidates) < 3 THEN 'Ranked choice works best with at least three candidates.' END,
+        CASE WHEN ballot_type = 'score' AND min_score = 3 THEN 'Score bounds must be integers.' END,
+        CASE WHEN ballot_type = 'score' AND min_score >= 10 THEN 'Score minimum must be less than score maximum.' END,
+        CASE WHEN ballot_type = 'quadratic' AND credit_budget <= 0 THEN 'Quadratic credit budget must be a positive integer.' END,
+        CASE WHEN ballot_type = 'plurality' THEN 'Unknown ballot type: plurality.' END], lambda x: x IS NOT NULL), ' ') AS errors FROM set_ups""",
+    "ballot_type_catalogue": """SELECT * FROM (VALUES ('single_choice', 'Single Choice', 'Each voter may pick exactly one candidate or abstain.'), ('approval', 'Approval', 'Each voter may approve zero or more candidates.'),
+      ('ranked_choice', 'Ranked Choice', 'Each voter submits a strict, full ranking of all candidates.'), ('score', 'Score', 'Each voter assigns integer scores to candidates on a fixed range.'),
+      ('quadratic', 'Quadratic', 'Each voter allocates votes under a quadratic credit budget.')) t(ballot_type, label, description)""",
+    "proposals_loaded": f"""{_LOADED}, m AS (SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber::VARCHAR || ':' || l_linestatus || ':' || l_quantity::INT::VARCHAR, ',' ORDER BY l_returnflag, l_linenumber, l_linestatus, l_quantity) AS metrics,
+        string_agg(l_linenumber::VARCHAR || ':' || l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) AS actions,
+        string_agg(l_returnflag || ':' || l_linenumber::VARCHAR || ':' || l_quantity::INT::VARCHAR, ',' ORDER BY l_returnflag, l_linenumber, l_quantity) AS budget_items FROM lineitem GROUP BY 1)
+      SELECT p.id, handle, coalesce(topics, '') AS topics, coalesce(metrics, '') AS metrics, coalesce(actions, '') AS actions, coalesce(budget_items, '') AS budget_items FROM p LEFT JOIN t USING (id) LEFT JOIN m USING (id)""",
+    "proposals_listed": f"""{_LOADED} SELECT p.id, p.author_id, coalesce(topics, '') AS topics FROM p LEFT JOIN t USING (id)""",
+    "form_rows_proposal": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'nobody' ELSE {_UUID.format("o_orderkey")} END AS author_id, 'draft' AS status, repeat('x', (o_orderkey % 70)::INT) AS title, 'summary' AS summary, 'problem' AS problem_plain,
+      {', '.join(f"'{c} ' || (o_orderkey % 7)::VARCHAR AS {c}" for c in ('implementing_org', 'scope_geojson', 'population_source', 'funding_notes', 'legal_citation', 'equity_beneficiaries', 'equity_cost_bearers', 'safeguards_rollback_trigger', 'safeguards_rollback_steps', 'privacy_notes'))},
+      CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 100 END::INT AS population_estimate, CASE WHEN n > 0 THEN spent END::INT AS budget_one_time_usd, CASE WHEN n > 0 THEN 0 END::INT AS budget_annual_usd, false AS needs_new_authority,
+      CASE WHEN o_orderkey % 4 = 1 THEN DATE '2031-05-01' END AS sunset_date, 30 AS retention_days
+      FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity::INT - 2) AS spent FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    "form_rows_proposal_topic": f"""SELECT o_orderkey AS proposal_id, {_UUID.format("(o_orderkey + i)")} AS domain_id, CASE WHEN i = 0 THEN {_UUID.format("(o_orderkey * 2)")} END AS program_id, i = 0 AS is_primary FROM orders, (VALUES (0), (1)) v(i)""",
+    "form_rows_proposal_metric": f"""{_NUMBERED} SELECT sha256('metric:' || l_orderkey::VARCHAR || ':' || n::VARCHAR) AS id, l_orderkey AS proposal_id, l_linenumber::VARCHAR AS name, 'count' AS unit, l_linenumber::DOUBLE AS baseline_val,
+      CASE WHEN l_linenumber % 2 = 0 THEN 2000 + l_linenumber END::INT AS baseline_year, 'census ' || l_linenumber::VARCHAR AS baseline_source, l_linenumber::DOUBLE AS target_val, DATE '2030-01-01' AS deadline FROM l""",
+    "form_rows_proposal_action": f"""{_NUMBERED} SELECT sha256('action:' || l_orderkey::VARCHAR || ':' || n::VARCHAR) AS id, l_orderkey AS proposal_id, (n + 1)::INT AS ordinal, l_linenumber::VARCHAR AS text FROM l""",
+    "form_rows_proposal_budget_item": f"""{_NUMBERED} SELECT sha256('item:' || l_orderkey::VARCHAR || ':' || n::VARCHAR) AS id, l_orderkey AS proposal_id, l_linenumber::VARCHAR AS item_name, q - 2 AS one_time_usd, 0 AS annual_usd, 0.5::DOUBLE AS confidence FROM l""",
+    "rows_inserted": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS id, l_orderkey::VARCHAR AS proposal_id, l_returnflag AS item_name, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::INT ELSE 0 END AS one_time_usd, 0 AS annual_usd, 0.5::DOUBLE AS confidence FROM lineitem""",
+    "rows_updated": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 10 = 0) THEN o_custkey END AS author_id, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 'passed' ELSE 'draft' END AS status, o_orderpriority AS title FROM orders""",
+    "rows_deleted": """SELECT * FROM (SELECT 'app_user' AS name, count(*) AS n FROM customer UNION ALL SELECT 'domain', count(*) FROM region UNION ALL SELECT 'program', count(*) FROM nation UNION ALL SELECT 'proposal', count(*) FROM orders WHERE o_orderkey % 7 <> 0
+      UNION ALL SELECT t, (SELECT count(*) FROM lineitem WHERE l_orderkey % 7 <> 0) FROM (VALUES ('proposal_topic'), ('proposal_metric'), ('proposal_action'), ('proposal_budget_item')) v(t))""",
+    "delete_restricted": """SELECT o_custkey AS id, 'proposal' AS child, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 9 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1""",
+    "key_violations": """WITH p AS (SELECT CASE WHEN n_nationkey = 7 THEN 8 ELSE n_nationkey END AS id, n_regionkey FROM nation), u AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 50 <> 1),
+        o AS (SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 25 END AS program_id, l_linenumber % 5 AS domain_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+      SELECT DISTINCT 'program' AS "table", 'domain_id names a missing domain' AS rule, '3' AS key FROM p WHERE n_regionkey = 3
+      UNION ALL SELECT DISTINCT 'proposal', 'author_id names a missing app_user', o_custkey::VARCHAR FROM orders WHERE o_orderkey % 9 <> 0 AND o_custkey NOT IN (SELECT id FROM u)
+      UNION ALL SELECT DISTINCT 'proposal_topic', 'domain_id names a missing domain', '3' FROM o WHERE domain_id = 3
+      UNION ALL SELECT DISTINCT 'proposal_topic', 'program_id names a missing program', program_id::VARCHAR FROM o WHERE program_id IS NOT NULL AND program_id NOT IN (SELECT id FROM p)
+      UNION ALL SELECT 'program', 'id is repeated', id::VARCHAR FROM p GROUP BY id HAVING count(*) > 1""",
+    "input_coercions": """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN q WHEN 3 THEN -q WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE 0 END::INT AS as_int, CASE l_linenumber WHEN 1 THEN q WHEN 3 THEN -q ELSE 0 END::INT AS or_zero,
+      CASE WHEN l_linenumber = 1 THEN q WHEN l_linenumber = 3 THEN ('-' || q::VARCHAR || '.75')::DOUBLE WHEN l_linenumber > 5 THEN ('0.0' || q::VARCHAR)::DOUBLE ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, l_quantity::INT AS q FROM lineitem)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
-from ..operators import condorcet, elections, proposals, tally
+from ..operators import changes, condorcet, elections, proposals, tally
 from ..operators.irv import instant_runoff
 from ..sources import derive
 from ..sources.derive import table
@@ -111,33 +111,150 @@ def _uuid_of(key: Column) -> Column:
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(key.cast("string"), 12, "0"))
 
 
-def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as proposal forms whose actions, metrics and budget items are their lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
     text = F.col("l_linenumber").cast("string")
-    entry = F.struct(
-        "l_linenumber", F.struct(text.alias("text")).alias("action"), F.struct(text.alias("name"), F.lit("count").alias("unit"), text.alias("baseline_val"), text.alias("target_val"), F.lit("2030-01-01").alias("deadline")).alias("metric"),
-        F.struct(text.alias("item_name"), (F.col("q") - 2).alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence")).alias("item"),
+    metric = F.struct(
+        text.alias("name"), F.lit("count").alias("unit"), text.alias("baseline_val"), F.when(F.col("l_linenumber") % 2 == 0, 2000 + F.col("l_linenumber")).alias("baseline_year"),
+        F.concat(F.lit("census "), text).alias("baseline_source"), text.alias("target_val"), F.lit("2030-01-01").alias("deadline"),
     )
+    item = F.struct(text.alias("item_name"), (F.col("q") - 2).alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence"))
+    entry = F.struct("l_linenumber", F.struct(text.alias("text")).alias("action"), metric.alias("metric"), item.alias("item"))
     lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     key = F.col("o_orderkey")
-    forms = table(spark, sf_dir, "orders").select("o_orderkey").join(lists, key == F.col("l_orderkey"), "left").select(
+    note = lambda name: F.concat(F.lit(f"{name} "), (key % 7).cast("string")).alias(name)
+    topics = F.array(*[F.struct(_uuid_of(key + i).alias("domain_id"), (F.lit(None).cast("string") if i else _uuid_of(key * 2)).alias("program_id"), F.lit(i == 0).alias("is_primary")) for i in range(2)])
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(lists, key == F.col("l_orderkey"), "left").select(
         key.alias("id"), F.repeat(F.lit("x"), (key % 70).cast("int")).alias("title"), F.lit("summary").alias("summary"), F.lit("problem").alias("problem_plain"),
-        F.transform("l", lambda x: x["action"]).alias("actions"), F.transform("l", lambda x: x["metric"]).alias("metrics"), F.transform("l", lambda x: x["item"]).alias("budget_items"),
-        F.array(F.struct(_uuid_of(key).alias("domain_id"), F.lit(None).cast("string").alias("program_id"), F.lit(True).alias("is_primary"))).alias("topics"),
+        F.transform("l", lambda x: x["action"]).alias("actions"), F.transform("l", lambda x: x["metric"]).alias("metrics"), F.transform("l", lambda x: x["item"]).alias("budget_items"), topics.alias("topics"),
+        *[note(c) for c in ("implementing_org", "scope_geojson", "population_source", "funding_notes", "legal_citation", "equity_beneficiaries", "equity_cost_bearers")],
+        *[note(c) for c in ("safeguards_rollback_trigger", "safeguards_rollback_steps", "privacy_notes")],
+        F.when(key % 4 == 0, "").when(key % 4 == 1, "2031-05-01").alias("sunset_date"),
         F.when(key % 5 == 0, 0).otherwise(100).alias("population_estimate"), F.lit(False).alias("needs_new_authority"), F.lit(30).alias("retention_days"),
         F.when(key % 11 == 0, F.lit("nobody")).otherwise(_uuid_of(key)).alias("author_id"),
     )
-    return proposals.form_errors(forms).select("id", F.array_join("errors", ",").alias("errors"))
 
 
-def election_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("candidates"))
-    set_up = table(spark, sf_dir, "region").join(names, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        F.col("r_name").alias("title"), F.concat(F.lit("Nations of "), "r_name").alias("description"), F.lit("ranked").alias("ballot_type"), "candidates",
-        F.lit(0).alias("min_score"), F.lit(10).alias("max_score"), F.lit(100).alias("credit_budget"),
+def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposals.form_errors(_forms(spark, sf_dir)).select("id", F.array_join("errors", ",").alias("errors"))
+
+
+def _form_rows(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = proposals.form_rows(_forms(spark, sf_dir))[name]
+        return rows.select(*[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in rows.dtypes])
+
+    return run
+
+
+def _store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Orders as proposals of customers, lines as their topics, metrics, actions and budget items, nations as programs of regions."""
+    lines, number = table(spark, sf_dir, "lineitem").withColumn("proposal_id", F.col("l_orderkey")), F.col("l_linenumber")
+    return {
+        "app_user": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("handle")),
+        "domain": table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(True).alias("active")),
+        "program": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("domain_id"), F.col("n_name").alias("name"), F.lit(True).alias("active")),
+        "proposal": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("author_id"), F.lit("draft").alias("status"), F.col("o_orderpriority").alias("title")),
+        "proposal_topic": lines.select("proposal_id", (number % 5).alias("domain_id"), F.when(number % 3 != 0, F.col("l_suppkey") % 25).alias("program_id"), (number == 1).alias("is_primary")),
+        "proposal_metric": lines.select(
+            number.alias("id"), "proposal_id", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("unit"), F.col("l_quantity").alias("baseline_val"), F.lit(2020).alias("baseline_year"),
+            F.lit("count").alias("baseline_source"), F.col("l_quantity").alias("target_val"), F.lit("2030-01-01").cast("date").alias("deadline"),
+        ),
+        "proposal_action": lines.select(number.alias("id"), "proposal_id", number.alias("ordinal"), F.col("l_linestatus").alias("text")),
+        "proposal_budget_item": lines.select(number.alias("id"), "proposal_id", F.col("l_returnflag").alias("item_name"), F.col("l_quantity").cast("int").alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence")),
+    }
+
+
+def _told_topics() -> Column:
+    return F.array_join(F.transform("topics", lambda t: F.concat_ws(":", t["domain"]["name"], F.coalesce(t["program"]["name"], F.lit("-")), t["is_primary"].cast("string"))), ",").alias("topics")
+
+
+def proposals_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _store(spark, sf_dir)
+    loaded = proposals.proposals_loaded(t["proposal"], t["app_user"], t["proposal_topic"], t["domain"], t["program"], t["proposal_metric"], t["proposal_action"], t["proposal_budget_item"])
+    told = lambda name, each: F.array_join(F.transform(name, each), ",").alias(name)
+    return loaded.select(
+        "id", F.col("author.handle").alias("handle"), _told_topics(), told("metrics", lambda m: F.concat_ws(":", m["name"], m["id"], m["unit"], m["baseline_val"].cast("int"))),
+        told("actions", lambda a: F.concat_ws(":", a["ordinal"], a["text"])), told("budget_items", lambda i: F.concat_ws(":", i["item_name"], i["id"], i["one_time_usd"])),
+    )
+
+
+def proposals_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _store(spark, sf_dir)
+    loaded = proposals.proposals_loaded(t["proposal"], t["app_user"], t["proposal_topic"], t["domain"], t["program"])
+    return loaded.select("id", F.col("author.id").alias("author_id"), _told_topics())
+
+
+def rows_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as new budget items: what they leave out gets its default."""
+    number = F.col("l_linenumber")
+    new = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", number).alias("id"), F.col("l_orderkey").cast("string").alias("proposal_id"), F.col("l_returnflag").alias("item_name"), F.when(number % 2 == 0, F.col("l_quantity").cast("int")).alias("one_time_usd")
+    )
+    return changes.with_defaults("proposal_budget_item", new).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+def rows_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some proposals change their status and lose their author; ids that are not there change nothing."""
+    rows = _store(spark, sf_dir)["proposal"]
+    new = rows.filter("id % 5 = 0").select(F.when(F.col("id") % 10 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.lit("passed").alias("status"), F.lit(None).cast("long").alias("author_id"))
+    return changes.updated(rows, new)
+
+
+def rows_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each table after every seventh proposal is deleted with all that hangs on it."""
+    t = _store(spark, sf_dir)
+    left = changes.deleted(t, "proposal", t["proposal"].filter("id % 7 = 0").select("id"))
+    counts = [left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in sorted(left)]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def delete_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _store(spark, sf_dir)
+    return changes.restricted(t, "app_user", t["app_user"].filter("id % 2 = 0").select("id"))
+
+
+def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that break when regions and customers are missing and two nations share an id."""
+    t = _store(spark, sf_dir)
+    t["domain"], t["app_user"] = t["domain"].filter("id <> 3"), t["app_user"].filter("id % 50 <> 1")
+    t["program"] = t["program"].withColumn("id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")))
+    return changes.violations({n: t[n] for n in ("domain", "app_user", "program", "proposal", "proposal_topic")})
+
+
+def input_coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as typed into a form, some of them no numbers."""
+    quantity, number = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
+    typed = F.when(number == 1, F.concat(quantity, F.lit("abc"))).when(number == 2, "").when(number == 3, F.concat(F.lit("  -"), quantity, F.lit(".75"))).when(number == 4, "none").when(number == 5, F.lit("0")).otherwise(F.concat(F.lit("0.0"), quantity))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", typed.alias("typed"))
+    return rows.select("l_orderkey", "l_linenumber", proposals.parsed_int("typed").alias("as_int"), proposals.int_or_zero("typed").alias("or_zero"), proposals.confidence_or_half("typed").alias("confidence"))
+
+
+def _set_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An election of each ballot type, and of one that is unknown, for every region, with all kinds of faults."""
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    kinds = F.posexplode(F.array(*[F.lit(k) for k in (*elections.BALLOT_TYPES, "plurality")])).alias("k", "ballot_type")
+    rows = table(spark, sf_dir, "region").join(names, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "names", kinds)
+    some, key = F.slice("names", 1, (F.col("r_regionkey") + F.col("k")) % 5), F.col("r_regionkey")
+    return rows.select(
+        F.when((key + F.col("k")) % 5 == 0, "  ").otherwise(F.concat(F.lit("  Election of "), "r_name", F.lit("\t "))).alias("title"), F.concat(F.lit(" About "), "r_name").alias("description"), "ballot_type",
+        F.when(key == 2, F.array_append(some, F.get("names", F.lit(0)))).otherwise(some).alias("candidates"), (key * 3).alias("min_score"), F.lit(10).alias("max_score"), ((key - 1) * 50).alias("credit_budget"),
+        (key != 4).alias("allow_abstention"), "r_name",
     )
-    return elections.payload(elections.configuration_errors(set_up)).select("title", "payload", F.array_join("errors", ",").alias("errors"))
+
+
+def election_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = F.when(F.col("min_score") == 3, 3.5).otherwise(F.col("min_score").cast("double"))
+    told = elections.configuration_errors(_set_ups(spark, sf_dir).withColumn("min_score", halves))
+    return told.select("r_name", "ballot_type", F.array_join("errors", " ").alias("errors"))
+
+
+def election_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elections.payload(_set_ups(spark, sf_dir)).select("r_name", "ballot_type", "payload")
 
 
 def queries() -> dict[str, Query]:
@@ -178,6 +295,17 @@ def queries() -> dict[str, Query]:
         "proposal_validation": proposal_validation,
         "candidate_list_parse": lambda spark, sf_dir: table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(elections.candidate_list("text"), "|").alias("candidates")),
         "election_payload": election_payload,
+        "election_configuration": election_configuration,
+        "ballot_type_catalogue": lambda spark, sf_dir: elections.ballot_types(spark),
+        "proposals_loaded": proposals_loaded,
+        "proposals_listed": proposals_listed,
+        **{f"form_rows_{n}": _form_rows(n) for n in ("proposal", "proposal_topic", "proposal_metric", "proposal_action", "proposal_budget_item")},
+        "rows_inserted": rows_inserted,
+        "rows_updated": rows_updated,
+        "rows_deleted": rows_deleted,
+        "delete_restricted": delete_restricted,
+        "key_violations": key_violations,
+        "input_coercions": input_coercions,
     }
 
 

@@ -1,5 +1,7 @@
 """Schemas of the ballot and proposal frames, as DDL."""
 
+from pyspark.sql.types import StructField, StructType
+
 CANDIDATES = "election_id STRING, candidate_id STRING, name STRING, ord INT"
 ELECTIONS = "election_id STRING"
 SINGLE_CHOICE = "election_id STRING, voter_id STRING, choice STRING"
@@ -42,3 +44,12 @@ FOREIGN_KEYS = (
 UNIQUE_KEYS = (("app_user", ("handle",)), ("domain", ("name",)))
 #: Unique keys that are declared for the model but that stored tables need not meet.
 DECLARED_KEYS = (("proposal_topic", ("proposal_id", "domain_id")), ("proposal_action", ("proposal_id", "ordinal")), ("program", ("domain_id", "name")))
+
+
+def fields(name: str) -> list[StructField]:
+    return StructType.fromDDL(TABLES[name]).fields
+
+
+def create_table(name: str, using: str = "parquet") -> str:
+    """The statement that makes the table ``name`` in Spark's catalogue."""
+    return f"CREATE TABLE IF NOT EXISTS {name} ({TABLES[name]}) USING {using}"
