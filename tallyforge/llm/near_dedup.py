@@ -104,11 +104,13 @@ def _sign(batches, by: Threshold):
 def _beside(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """``pairs`` (a, b) with ``table``'s value of both as x and y.
 
-    A class may be the ``a`` of very many pairs, so these are dealt to ``SALTS`` keys and its value is copied to those in use.
+    A class may be the ``a`` of very many pairs, so these are dealt to ``SALTS`` keys and its value is copied to those in
+    use. By merge joins at every size, as neither side has a bound.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = pairs.select("a", "salt").distinct().join(table.select(F.col(key).alias("a"), F.col(value).alias("x")), "a")
-    return pairs.join(table.select(F.col(key).alias("b"), F.col(value).alias("y")), "b").join(left, ["a", "salt"]).drop("salt")
+    left = pairs.select("a", "salt").distinct().join(table.select(F.col(key).alias("a"), F.col(value).alias("x")).hint("merge"), "a")
+    both = pairs.join(table.select(F.col(key).alias("b"), F.col(value).alias("y")).hint("merge"), "b")
+    return both.join(left.hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame, by: Threshold) -> DataFrame:
@@ -227,12 +229,15 @@ def _across(buckets: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFra
 
     schema = rows.schema
     names = schema.names
-    signatures = reps.select("rep", "signature")
-    wanted = stored(rows.join(signatures, "rep").groupBy("band", "key", "i", "j").applyInArrow(look, schema), "near-wanted")
+    meeting = ["band", "key", "i", "j"]
+    # as many tasks as the session shuffles to: meetings take long for the few bytes that they are
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signatures = reps.select("rep", "signature").hint("merge")
+    wanted = stored(rows.join(signatures, "rep").repartition(tasks, *meeting).groupBy(*meeting).applyInArrow(look, schema), "near-wanted")
     if wanted.isEmpty():
         return wanted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    again = wanted.join(signatures, "rep").join(sets.mapInArrow(halve, "rep long, high binary"), "rep")
-    return again.groupBy("band", "key", "i", "j").applyInArrow(meet, "a long, b long")
+    again = wanted.join(signatures, "rep").join(sets.mapInArrow(halve, "rep long, high binary").hint("merge"), "rep")
+    return again.repartition(tasks, *meeting).groupBy(*meeting).applyInArrow(meet, "a long, b long")
 
 
 def groups_of(docs: DataFrame, percent: int = 85) -> DataFrame:
