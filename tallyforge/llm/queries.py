@@ -98,4 +98,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql()}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql()}
