@@ -10,6 +10,7 @@ occurrence has several. A document and a template that share a band are compared
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -21,13 +22,15 @@ from . import _text
 
 WORDS, PERCENT, ROWS = 5, 80, 2
 MISS = 1e-4
-#: Templates are searched for in blocks of so many, so the index that each task holds is bounded.
-TEMPLATES_AT_ONCE = 1024
+#: Templates are indexed in blocks of so many; a pass over the texts takes so many blocks, so what a task holds is bounded.
+TEMPLATES_AT_ONCE, BLOCKS_AT_ONCE = 1024, 8
+#: Bytes of a library of templates that is read from a table.
+LIBRARY_BYTES = 256 << 20
 STRIP = 2048
 _FILTER_BITS = 20
 _U32, _U64 = np.uint32, np.uint64
 
-# Public licence notices and the opening or characteristic paragraphs of common licences.
+# Public licence notices, the opening or characteristic paragraphs of common licences, and short licences whole.
 TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -42,6 +45,14 @@ TEMPLATES = {
     "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mit-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "isc-whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "0bsd-whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-clause-whole": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause-whole": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "zlib-whole": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0-whole": 'Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "unlicense-whole": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
@@ -192,22 +203,21 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percen
     ``shared`` of the template's ``n_shingles`` distinct shingles, ``percent`` of them or more, lie in the window that
     holds most, the first such if several; ``first_word`` is where that window begins and ``last_word`` where the last
     matching one does, in words; ``windows`` counts those that match. Any number of templates is searched for, in
-    blocks of ``TEMPLATES_AT_ONCE``.
+    blocks of ``TEMPLATES_AT_ONCE``, of which a pass over the texts takes ``BLOCKS_AT_ONCE``.
 
     Defined cases: a null or empty text, or one without words, holds nothing; a text or template of fewer than five
     words is one shingle of them all; templates without words match nothing; rows of one doc_id, or without one, are
     scanned each; an empty table gives no rows; other columns do not matter; whole texts are scanned, in strips.
     """
     templates = list(TEMPLATES.items()) if templates is None else templates
-    parts = [_scan(docs, Index(templates[a : a + TEMPLATES_AT_ONCE], percent)) for a in range(0, max(1, len(templates)), TEMPLATES_AT_ONCE)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    blocks = [templates[a : a + TEMPLATES_AT_ONCE] for a in range(0, max(1, len(templates)), TEMPLATES_AT_ONCE)]
+    passes = [_scan(docs, blocks[a : a + BLOCKS_AT_ONCE], percent) for a in range(0, len(blocks), BLOCKS_AT_ONCE)]
+    return functools.reduce(DataFrame.unionByName, passes)
 
 
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
-    grain = max((c.step for c in index.classes), default=1)
+def _scan(docs: DataFrame, blocks: list[list[tuple[str, str]]], percent: int) -> DataFrame:
+    indexes = [Index(block, percent) for block in blocks]
+    grain = max((c.step for index in indexes for c in index.classes), default=1)
 
     def work(batches):
         for batch in batches:
@@ -222,14 +232,15 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                     continue
                 spread = np.repeat(np.arange(len(size)), np.diff(places))
                 spread = found[np.minimum(bounds[spread] + np.arange(places[-1]) - places[spread], bounds[spread + 1] - 1)]
-                at, template = index.candidates(spread)
-                row = np.searchsorted(places, at, side="right") - 1
-                # a window may begin in a row's last step and reach into the next rows: those begin windows of their own
-                for r, t in np.unique(np.stack((row, template), axis=1), axis=0).tolist():
-                    match = index.verified(found[bounds[r] : bounds[r + 1]], t)
-                    if match:
-                        n = len(index.sets[t])
-                        rows.append((ids[first + r], index.names[t], match[0], n, match[0] / n, match[2], match[1], match[3]))
+                for index in indexes:
+                    at, template = index.candidates(spread)
+                    row = np.searchsorted(places, at, side="right") - 1
+                    # a window may begin in a row's last step and reach into the next rows: those begin windows of their own
+                    for r, t in np.unique(np.stack((row, template), axis=1), axis=0).tolist():
+                        match = index.verified(found[bounds[r] : bounds[r + 1]], t)
+                        if match:
+                            n = len(index.sets[t])
+                            rows.append((ids[first + r], index.names[t], match[0], n, match[0] / n, match[2], match[1], match[3]))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
@@ -239,8 +250,12 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def templates_from(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """A library of templates from a Parquet table (license, text) of a size that a driver may hold, null texts left out."""
-    return [(r["license"], r["text"]) for r in spark.read.parquet(path).filter("text IS NOT NULL").orderBy("license", "text").collect()]
+    """A library of templates from a Parquet table (license, text), null texts left out; an error above ``LIBRARY_BYTES``."""
+    rows = spark.read.parquet(path).filter("text IS NOT NULL").select("license", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > LIBRARY_BYTES:
+        raise ValueError(f"the library has {size} bytes of text, more than {LIBRARY_BYTES}")
+    return [tuple(r) for r in rows.orderBy("license", "text").collect()]
 
 
 def oracle_sql() -> str:
