@@ -86,7 +86,7 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         if end <= first:  # a run longer than that
             for a in range(int(starts[first]), int(ends[first]), HASH_BYTES):
                 part = _BYTE_CODES[data[a : min(a + HASH_BYTES, int(ends[first]))]]
-                sums[first] += (part * powers[: len(part)]).sum(dtype=np.uint64) * _U64(pow(int(_WORD_BASE), a - int(starts[first]), 2**64))
+                sums[first : first + 1] += (part * powers[: len(part)]).sum(dtype=np.uint64, keepdims=True) * _U64(pow(int(_WORD_BASE), a - int(starts[first]), 2**64))
             end = first + 1
         else:
             size = lengths[first:end]
