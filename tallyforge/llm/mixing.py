@@ -42,7 +42,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def sized(docs: DataFrame, key: str, seed: str = "mix") -> DataFrame:
+    """``docs`` with ``size``, the number of words of its text, and a hash-random ``key``, of the doc_id if there is one."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    return docs.withColumn("size", word_count("text")).withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), own)))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", rows_per_bucket: int = ROWS_PER_BUCKET, key: str | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and taken: the words of each document that the mix takes.
 
     Every row gets a hash-random key. A source's rows are ranged by key into buckets (the key's leading bits, so each
@@ -54,12 +60,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     doc_id is keyed by its text; repeated rows each count; an empty table gives no rows. Columns of ``docs`` named like
     a result column are replaced, any others are kept, whatever they are called. A bucket holds more rows than
     ``rows_per_bucket`` only beyond 2**``MAX_BUCKET_BITS`` buckets, or where rows share a key, as rows of one doc_id do.
+
+    Texts are counted twice, for the sums and for the rows. With ``key``, docs are what :func:`sized` gave under that
+    name, without their texts and perhaps stored, and the key is dropped.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    key, bucket, offset, own, own_bucket, words, before, epochs, cut = free(docs, "key", "bucket", "offset", "own_source", "own_bucket", "words", "before", "epochs", "cut")
+    docs = docs.drop("source_size", "target", "taken", *([] if key else ["size"]))
+    if key is None:
+        (key,) = free(docs, "key")
+        docs = sized(docs, key, seed)
+    bucket, offset, own, own_bucket, words, before, epochs, cut = free(docs, "bucket", "offset", "own_source", "own_bucket", "words", "before", "epochs", "cut")
     bits = min(MAX_BUCKET_BITS, max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_bucket))))
-    keyed = docs.withColumn("size", word_count("text")).withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")))))
-    keyed = keyed.withColumn(bucket, F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits))
+    keyed = docs.withColumn(bucket, F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits))
     sums = stored(keyed.groupBy("source", bucket).agg(F.sum("size").alias(words)), "mix-sums")
     sources = targets(sums.groupBy("source").agg(F.sum(words).alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

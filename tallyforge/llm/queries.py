@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, packing, quality, toxicity, warc
 from ._linear import in_fold
-from ._spark import scratch_path
+from ._spark import scratch_path, stored
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,7 +30,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = stored(mixing.sized(docs, "key").drop("text"), "mix-sizes")
+    return mixing.mix(sizes, key="key").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
