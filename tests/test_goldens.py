@@ -129,7 +129,9 @@ def test_quadratic(spark):
     _check(tally.quadratic(ballots, candidates, elections), budgets)
 
 
-def test_instant_runoff(spark):
+@pytest.mark.parametrize("folded", [2000, 2, -1])
+def test_instant_runoff(spark, monkeypatch, folded):
+    monkeypatch.setattr(irv, "FOLDED", folded)
     table = {
         "first round": ("abc", ["abc", "acb", "abc", "bac"], ["a"], {"a": 3, "b": 1, "c": 0}, {"winning_round": 1}),
         "two rounds": ("abc", ["abc", "acb", "bac", "bca", "cba"], ["b"], {"a": 2, "b": 3}, {"winning_round": 2, "tiebreak_applied": False}),
