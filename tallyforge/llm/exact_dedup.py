@@ -28,6 +28,8 @@ from ._spark import free, stored
 KEYS_PER_SHARD = 1 << 16
 #: Rows of one digest are dealt to so many keys where texts are compared.
 SALTS = 16
+#: Bits of the marks that say map-side which texts are not looked for, 8 MB at most; where they fill up, fewer are told.
+MARK_BITS = 26
 _GROUP = "digest string, keep_id long, n long"
 
 
@@ -38,7 +40,8 @@ def normalised(text: str | Column) -> Column:
 
 
 def digest(text: str | Column) -> Column:
-    return F.sha2(normalised(text).cast("binary"), 256)
+    # coalesced, as Spark would else work it out once more to drop nulls in front of a join
+    return F.coalesce(F.sha2(normalised(text).cast("binary"), 256), F.lit(""))
 
 
 @dataclass(frozen=True)
@@ -90,8 +93,18 @@ def _salt() -> Column:
 
 
 def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """(digest, _salt, _text) of the rows of ``docs`` that have one of the ``digests``."""
-    return docs.select(digest("text").alias("digest"), normalised("text").alias("_text"), _salt().alias("_salt")).join(_salted(digests), ["digest", "_salt"])
+    """(digest, _salt, _text) of the rows of ``docs`` that have one of the ``digests``.
+
+    The digests' marks, a bit at the place that a digest hashes to, go to all tasks, so that most other texts stay where
+    they are; what is left meets the digests themselves, by merge joins at every size.
+    """
+    place = F.xxhash64(F.lit("mark"), "digest").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    marks = digests.select(place.alias("_place")).groupBy(F.expr("bitmap_bucket_number(_place)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_place))").alias("_bits"))
+    rows = docs.select(digest("text").alias("digest"), "text", _salt().alias("_salt")).withColumn("_place", place)
+    at = F.expr("bitmap_bit_position(_place)")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(F.broadcast(marks), F.expr("bitmap_bucket_number(_place)") == F.col("_part")).filter(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return marked.select("digest", "_salt", normalised("text").alias("_text")).join(_salted(digests).hint("merge"), ["digest", "_salt"])
 
 
 def _different(texts: DataFrame) -> DataFrame:
@@ -113,7 +126,7 @@ def ingest(known: Sequence[Snapshot], docs: DataFrame) -> Snapshot:
     # whole batches whose rows meet: this one's own groups, and for each snapshot the digests that both have
     compared = None
     for old in known:
-        met = stored(screened(groups, old).select("digest").join(old.groups.select("digest"), "digest"), "dedup-met")
+        met = stored(screened(groups, old).select("digest").join(old.groups.select("digest").hint("merge"), "digest"), "dedup-met")
         several = several.unionByName(met)
         theirs = _texts(old.docs, met)
         compared = theirs if compared is None else compared.unionByName(theirs)
@@ -143,7 +156,7 @@ def merged(known: Sequence[Snapshot]) -> DataFrame:
     clashes = not unequal.isEmpty()
     plain = groups.join(unequal, "digest", "left_anti") if clashes else groups
     single = plain.filter("n = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "n", "digest")
-    found = rows.withColumn("_salt", _salt()).join(_salted(plain.filter("n > 1")), ["digest", "_salt"]).select("doc_id", "keep_id", "n", "digest")
+    found = rows.withColumn("_salt", _salt()).join(_salted(plain.filter("n > 1")).hint("merge"), ["digest", "_salt"]).select("doc_id", "keep_id", "n", "digest")
     found = single.unionByName(found)
     if clashes:  # equal digests of different texts: their rows are grouped by the texts themselves
         texts = docs.select("doc_id", digest("text").alias("digest"), normalised("text").alias("_text")).join(unequal, "digest")
