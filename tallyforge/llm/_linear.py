@@ -46,17 +46,27 @@ class FollowTheLeader:
         return shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
     def learn(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
-        w = self.weights(at)
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = np.copysign(np.maximum(np.abs(z) - self.l1, 0.0), -z) / ((self.beta + root) / self.alpha + self.l2)
         p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
         g = (p - y) * x
-        n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-        self.n[at] = n + g * g
+        n += g * g
+        self.n[at] = n
+        self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
+
 
+def train(rows: list[tuple[int, np.ndarray]], bits: int, scale: Callable[[list], np.ndarray] | None, epochs: int, alpha: float, beta: float, l1: float, l2: float, least_rows: int = 1) -> Model:
+    """Fits (label, features) rows. ``scale`` gives each feature's value from the rows; 1 without it.
 
-def train(rows: list[tuple[int, np.ndarray]], bits: int, scale: Callable[[list], np.ndarray] | None, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> Model:
-    """Fits (label, features) rows. ``scale`` gives each feature's value from the rows; 1 without it."""
+    Features of fewer than ``least_rows`` rows are left out.
+    """
     size = 1 << bits
+    if least_rows > 1:
+        seen = np.zeros(size, dtype=np.int32)
+        for _, x in rows:
+            seen[x] += 1
+        rows = [(y, x[seen[x] >= least_rows]) for y, x in rows]
     values = scale(rows) if scale else np.ones(size)
     learner = FollowTheLeader(size, alpha, beta, l1, l2)
     order = np.random.Generator(np.random.PCG64(7))
@@ -74,7 +84,7 @@ def in_fold(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: Features, bits: int, max_rows: int, scale=None, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, features: Features, bits: int, max_rows: int, scale=None, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, least_rows: int = 1) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
     Learns from at most ``max_rows`` labelled documents, those whose ids hash lowest: a bounded sample of ids, so it
@@ -94,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: Features, bits: int, max_r
 
     def learn(batches):
         rows = [(int(y), np.frombuffer(x, dtype=np.int32)) for b in batches for y, x in zip(b.column("label").to_pylist(), b.column("x").to_pylist(), strict=True)]
-        model = train(rows, bits, scale, epochs, alpha, beta, l1, l2)
+        model = train(rows, bits, scale, epochs, alpha, beta, l1, l2, least_rows)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
     gathered = chosen.mapInArrow(extract, "doc_id long, label int, x binary").repartition(1).sortWithinPartitions("doc_id", "x")
