@@ -172,6 +172,13 @@ ORACLES = {
     "ballot_type_catalogue": """SELECT * FROM (VALUES ('single_choice', 'Single Choice', 'Each voter may pick exactly one candidate or abstain.'), ('approval', 'Approval', 'Each voter may approve zero or more candidates.'),
       ('ranked_choice', 'Ranked Choice', 'Each voter submits a strict, full ranking of all candidates.'), ('score', 'Score', 'Each voter assigns integer scores to candidates on a fixed range.'),
       ('quadratic', 'Quadratic', 'Each voter allocates votes under a quadratic credit budget.')) t(ballot_type, label, description)""",
+    "approval_counts": f"""{APPROVAL} SELECT voter_id, len(approvals)::INT AS n FROM ballots""",
+    "single_choices": f"""{SINGLE} SELECT election_id, voter_id, choice FROM ballots""",
+    "quadratic_votes_for": f"""{QUADRATIC} SELECT voter_id, coalesce(sum(v) FILTER (id = 'error' AND NOT abstains), 0)::INT AS votes, coalesce(sum(v * v) FILTER (id = 'error' AND NOT abstains), 0)::BIGINT AS cost FROM ballots GROUP BY 1""",
+    "ranked_unknown_ids": f"""{ranked("c_nationkey")} SELECT DISTINCT election_id, id AS candidate_id FROM (SELECT election_id, unnest(ranking) AS id FROM ballots) WHERE id IN ('4-NOT SPECIFIED', '5-LOW')""",
+    "point_lookup": "SELECT c_custkey AS id, c_name AS handle FROM customer WHERE c_custkey = 7",
+    "programs_of_domain": "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2",
+    "programs_with_domain": "SELECT n_nationkey AS id, n_name AS name, r_name AS domain FROM nation LEFT JOIN region ON r_regionkey = n_regionkey",
     "proposals_loaded": f"""{_LOADED}, m AS (SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber::VARCHAR || ':' || l_linestatus || ':' || l_quantity::INT::VARCHAR, ',' ORDER BY l_returnflag, l_linenumber, l_linestatus, l_quantity) AS metrics,
         string_agg(l_linenumber::VARCHAR || ':' || l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) AS actions,
         string_agg(l_returnflag || ':' || l_linenumber::VARCHAR || ':' || l_quantity::INT::VARCHAR, ',' ORDER BY l_returnflag, l_linenumber, l_quantity) AS budget_items FROM lineitem GROUP BY 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
 from ..operators import changes, condorcet, elections, proposals, tally
-from ..operators.irv import instant_runoff
+from ..operators.irv import instant_runoff, unknown_ids
 from ..sources import derive
 from ..sources.derive import table
 from .oracles import ORACLES
@@ -247,6 +247,11 @@ def _set_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unknown(ballots: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What ballots rank beyond the first three candidates."""
+    return unknown_ids(ballots, candidates.filter("ord < 3"))
+
+
 def election_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = F.when(F.col("min_score") == 3, 3.5).otherwise(F.col("min_score").cast("double"))
     told = elections.configuration_errors(_set_ups(spark, sf_dir).withColumn("min_score", halves))
@@ -297,6 +302,13 @@ def queries() -> dict[str, Query]:
         "election_payload": election_payload,
         "election_configuration": election_configuration,
         "ballot_type_catalogue": lambda spark, sf_dir: elections.ballot_types(spark),
+        "approval_counts": _ballots(derive.approval, lambda b: b.select("election_id", *B.approval("voter_id", "approvals")).select("voter_id", B.approval_count().alias("n"))),
+        "single_choices": _ballots(derive.single_choice, lambda b: b.select("election_id", *B.single_choice("voter_id", "choice"))),
+        "quadratic_votes_for": _ballots(derive.quadratic, lambda b: b.select("voter_id", B.votes_for("allocations", F.lit("error")).alias("votes"), B.cost_of_votes(B.votes_for("allocations", F.lit("error"))).alias("cost"))),
+        "ranked_unknown_ids": lambda spark, sf_dir: _unknown(*derive.ranked(spark, sf_dir)),
+        "point_lookup": lambda spark, sf_dir: proposals.by_id(_store(spark, sf_dir)["app_user"], "id", 7),
+        "programs_of_domain": lambda spark, sf_dir: proposals.programs_of(_store(spark, sf_dir)["program"], 2).select("id", "name"),
+        "programs_with_domain": lambda spark, sf_dir: proposals.programs_with_domain(*(_store(spark, sf_dir)[n] for n in ("program", "domain"))).select("id", "name", F.col("domain.name").alias("domain")),
         "proposals_loaded": proposals_loaded,
         "proposals_listed": proposals_listed,
         **{f"form_rows_{n}": _form_rows(n) for n in ("proposal", "proposal_topic", "proposal_metric", "proposal_action", "proposal_budget_item")},
