@@ -36,9 +36,9 @@ VOCABULARY = 1 << 16
 #: A shard of the index ends at so many tokens or units, which bounds its memory.
 SHARD_TOKENS, SHARD_UNITS = 1 << 23, 1 << 12
 #: Partitions of units: one for each shard, and beyond so many partitions several shards in turn.
-MAX_PARTITIONS = 20_000
+MAX_PARTITIONS = 10_000
 #: Units for each partition from which the partitions' borders are estimated; borders only place units.
-BORDER_UNITS = 64
+BORDER_UNITS = 16
 K1, B = 1.2, 0.75
 CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
