@@ -51,32 +51,24 @@ def anagram_key(letters: Column) -> Column:
     return F.aggregate(letters, F.lit(0).cast("long"), lambda s, c: (s + _value(c)) % _MODULUS)
 
 
-def _rows(words: DataFrame) -> DataFrame:
-    """(key, role, word, n): role 0 rows meet each other (exchanges), 1 (longer) and 2 (shorter) meet (a letter more).
+#: Rows of exchanges meet each other, those of a longer word and a shorter one meet where the edit may lie in the same half.
+_EXCHANGE, _LONGER, _SHORTER = 0, 1, 3
 
-    Of the letters of a half each distinct one gives one row. A letter taken out of a run of equal ones counts as the
-    run's first, so that a pair meets under one key alone.
-    """
-    base = words.select("word", "n", F.split("word", "").alias("l")).withColumn("l", F.filter("l", lambda c: c != ""))
-    size = F.size("l")
-    base = base.withColumn("size", size).withColumn("key", anagram_key(F.col("l")))
+
+def _rows(words: DataFrame) -> DataFrame:
+    """(key, role, word, n): of the letters of a half each distinct one gives a row; the key has the other half's letters
+    in order and the sum of all letters but that one. ``role`` tells halves apart for words of different lengths."""
+    base = words.select("word", "n", F.filter(F.split("word", ""), lambda c: c != "").alias("l"))
+    base = base.withColumn("size", F.size("l")).withColumn("sum", anagram_key(F.col("l")))
     parts = []
-    for role, length in ((0, F.col("size")), (1, F.col("size") - 1), (2, F.col("size"))):
+    for role in (_EXCHANGE, _LONGER, _SHORTER):
+        length = F.col("size") - 1 if role == _LONGER else F.col("size")  # of the shorter word, which halves are taken of
         half = (length / 2).cast("int")
-        for side in ("front", "back"):
-            if side == "front":  # the front half is alike, the edit lies behind it
-                alike, edited = F.substring("word", F.lit(1), half), F.slice("l", half + 1, F.col("size"))
-                before = F.get("l", half - 1)
-            else:
-                alike, edited = F.expr("right(word, size - %s)" % {0: "int(size / 2)", 1: "int((size - 1) / 2) - 1", 2: "int(size / 2)"}[role]), F.slice("l", F.lit(1), half)
-                before = F.lit("")
-            row = base.select("word", "n", F.lit(role).alias("role"), F.xxhash64(F.lit(role > 0), F.lit(side), length, alike).alias("alike"), "key", edited.alias("edited"), before.alias("before"))
-            if role == 2:
-                row = row.withColumn("left", F.col("key"))
-            else:
-                firsts = F.filter("edited", lambda c, i: c != F.when(i == 0, F.col("before")).otherwise(F.get("edited", i - 1))) if role else F.col("edited")
-                row = row.withColumn("c", F.explode(F.array_distinct(firsts))).withColumn("left", F.pmod(F.col("key") - _value(F.col("c")), F.lit(_MODULUS)))
-            parts.append(row.select(F.xxhash64("alike", "left").alias("key"), "role", "word", "n"))
+        for back, alike, edited in ((0, F.substring("word", F.lit(1), half), F.slice("l", half + 1, F.col("size"))), (1, F.substring("word", F.col("size") - (length - half) + 1, length), F.slice("l", F.lit(1), half))):
+            row = base.select("word", "n", F.lit(role + back * (role != _EXCHANGE)).alias("role"), F.xxhash64(F.lit(role == _EXCHANGE), F.lit(back), length, alike).alias("alike"), "sum", edited.alias("edited"))
+            if role != _SHORTER:
+                row = row.withColumn("c", F.explode(F.array_distinct("edited"))).withColumn("sum", F.pmod(F.col("sum") - _value(F.col("c")), F.lit(_MODULUS)))
+            parts.append(row.select(F.xxhash64("alike", "sum").alias("key"), "role", "word", "n"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -84,12 +76,19 @@ def _rows(words: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): both directions of every pair of words one inserted, deleted or replaced letter apart."""
+    """(word, n, other, other_n): both directions of every pair of words one inserted, deleted or replaced letter apart.
+
+    Each pair meets once: two words of one length differ in one half, and of a longer and a shorter word the back halves
+    count only if the front ones differ.
+    """
     rows = _rows(words)
     a, b = (rows.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("role", "word", "n")]) for x in "ab")
-    meet = ((F.col("a_role") == 0) & (F.col("b_role") == 0) & (F.col("a_word") < F.col("b_word"))) | ((F.col("a_role") == 1) & (F.col("b_role") == 2))
-    met = a.join(b, "key").filter(meet).filter(F.levenshtein("a_word", "b_word", 1) == 1)
-    both = F.array(F.struct(F.col("a_word").alias("word"), F.col("a_n").alias("n"), F.col("b_word").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b_word").alias("word"), F.col("b_n").alias("n"), F.col("a_word").alias("other"), F.col("a_n").alias("other_n")))
+    front = ((F.length("a_word") - 1) / 2).cast("int")
+    apart = F.substring("a_word", F.lit(1), front) != F.substring("b_word", F.lit(1), front)
+    exchange = (F.col("a_role") == _EXCHANGE) & (F.col("b_role") == _EXCHANGE) & (F.col("a_word") < F.col("b_word"))
+    longer = ((F.col("a_role") == _LONGER) & (F.col("b_role") == _SHORTER)) | ((F.col("a_role") == _LONGER + 1) & (F.col("b_role") == _SHORTER + 1) & apart)
+    met = a.join(b, "key").filter(exchange | longer).filter(F.levenshtein("a_word", "b_word", 1) == 1)
+    both = F.array(*[F.struct(*[F.col(f"{x}_{c}").alias(n) for x, names in ((p, ("word", "n")), (q, ("other", "other_n"))) for c, n in zip(("word", "n"), names, strict=True)]) for p, q in ("ab", "ba")])
     return met.select(F.explode(both).alias("p")).select("p.*")
 
 
