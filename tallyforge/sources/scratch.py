@@ -32,11 +32,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later jobs and lost executors never recompute it."""
+#: Whether Spark deletes a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later jobs and lost executors never recompute it.
+
+    With ``tidy`` the shuffle files of the job go as soon as it has written, and not when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        if tidy:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
