@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, packing, quality, spelling, toxicity, warc
+from . import exact_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, packing, quality, spelling, substring_dedup, toxicity, warc, whitening
 from ._linear import in_fold
 from ._spark import scratch_path, stored
 
@@ -76,6 +76,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(_read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
@@ -98,10 +106,12 @@ def queries():
         "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_whitening": op12_whitening,
         "op13_spelling": op13_spelling,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql(), "op13_spelling": spelling.ORACLE_SQL}
+    return {"op2_mix_sources": mixing.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql(), "op11_substring_dedup": substring_dedup.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
