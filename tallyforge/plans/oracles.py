@@ -99,6 +99,30 @@ _NUMBERED = "WITH l AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTI
 _LOADED = """WITH p AS (SELECT o_orderkey AS id, c_custkey AS author_id, c_name AS handle FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 9 <> 0),
   l AS (SELECT l_orderkey AS id, l_linenumber % 5 AS d, CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 25 END AS g, l_linenumber = 1 AS own FROM lineitem),
   t AS (SELECT l.id, string_agg(r_name || ':' || coalesce(n_name, '-') || ':' || own::VARCHAR, ',' ORDER BY d, g NULLS FIRST, own) AS topics FROM l JOIN region ON r_regionkey = d LEFT JOIN nation ON n_nationkey = g GROUP BY 1)"""
+_HELD = """WITH RECURSIVE said AS (SELECT o_orderpriority AS topic, o_custkey AS voter, o_orderdate AS given_at, CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 0 WHEN o_orderkey % 10 = 3 THEN o_custkey + 1 - 2 * (o_custkey % 2)
+    WHEN o_orderkey % 3 = 1 THEN o_custkey - 1 ELSE o_custkey // 3 END AS delegate FROM orders),
+  held AS (SELECT topic, voter, delegate, given_at FROM (SELECT *, row_number() OVER (PARTITION BY topic, voter ORDER BY given_at DESC, delegate DESC NULLS LAST) AS k FROM said) WHERE k = 1 AND delegate <> voter)"""
+_CHAINS = f"""{_HELD},
+  walk AS (SELECT topic, voter, delegate AS at_, 1::BIGINT AS depth, [voter] AS seen, false AS loop FROM held UNION ALL
+    SELECT w.topic, w.voter, h.delegate, w.depth + 1, list_append(w.seen, w.at_), list_contains(list_append(w.seen, w.at_), h.delegate) FROM walk w JOIN held h ON h.topic = w.topic AND h.voter = w.at_ WHERE NOT w.loop),
+  chains AS (SELECT topic, voter, CASE WHEN NOT loop THEN at_ END AS final, CASE WHEN NOT loop THEN depth END AS depth, loop AND at_ = voter AS in_cycle, loop AS to_cycle
+    FROM walk w WHERE loop OR NOT EXISTS (SELECT 1 FROM held h WHERE h.topic = w.topic AND h.voter = w.at_)),
+  voters AS (SELECT p.topic, c_custkey AS voter, c_custkey % 9 <> 4 AS casts FROM customer, (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS topic) p),
+  got AS (SELECT topic, final AS voter, count(*) AS n FROM chains WHERE final IS NOT NULL GROUP BY 1, 2),
+  power AS (SELECT v.topic, v.voter, CASE WHEN v.casts AND c.voter IS NULL THEN 1 ELSE 0 END::BIGINT AS own, CASE WHEN v.casts AND c.voter IS NULL THEN coalesce(g.n, 0) ELSE 0 END::BIGINT AS received,
+    CASE WHEN c.voter IS NOT NULL AND NOT coalesce(e.casts, false) THEN 1 ELSE 0 END::BIGINT AS lost
+    FROM voters v LEFT JOIN chains c USING (topic, voter) LEFT JOIN got g USING (topic, voter) LEFT JOIN voters e ON e.topic = c.topic AND e.voter = c.final)"""
+_CAPPED = f"""{_HELD}, given AS (SELECT topic, voter, delegate, given_at, 1000000::BIGINT >> least(greatest(date_diff('day', given_at::DATE, DATE '2001-01-01'), 0) // 700, 62)::INT AS units FROM held),
+  run AS (
+    SELECT 0 AS r, true AS offer, topic, voter, delegate AS at_, given_at, units, [delegate] AS seen FROM given WHERE units > 0
+    UNION ALL
+    SELECT x.r + 1, k.offer, x.topic, x.voter, CASE WHEN k.offer THEN g.delegate ELSE x.at_ END, x.given_at, CASE WHEN NOT x.offer THEN x.units WHEN k.offer THEN x.units - x.fits ELSE x.fits END::BIGINT, CASE WHEN k.offer THEN list_append(x.seen, g.delegate) ELSE x.seen END
+    FROM (SELECT *, greatest(0, least(units, 20000000 - coalesce(sum(units) FILTER (WHERE NOT offer) OVER (PARTITION BY topic, at_), 0)
+        - coalesce(sum(units) FILTER (WHERE offer) OVER (PARTITION BY topic, at_ ORDER BY given_at NULLS FIRST, voter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS fits,
+        count(*) FILTER (WHERE offer) OVER () AS left_ FROM run) x
+      JOIN (VALUES (true), (false)) k(offer) ON x.offer OR NOT k.offer LEFT JOIN given g ON g.topic = x.topic AND g.voter = x.at_
+    WHERE x.left_ > 0 AND CASE WHEN NOT x.offer THEN true WHEN k.offer THEN x.units > x.fits AND g.delegate IS NOT NULL AND g.delegate <> x.voter AND NOT list_contains(x.seen, g.delegate) ELSE x.fits > 0 END),
+  accepted AS (SELECT topic, at_ AS delegate, voter, units FROM run WHERE NOT offer AND r = (SELECT max(r) FROM run))"""
 ORACLES = {
     "plurality_counts": f"{_PLURALITY} SELECT election_id, candidate_id, votes FROM counts",
     "plurality_winner": f"""{_PLURALITY}, {_TOP}, heads AS (SELECT election_id, count(*)::BIGINT AS total_ballots, count(*) FILTER (choice IS NULL)::BIGINT AS abstentions FROM ballots GROUP BY 1)
@@ -208,4 +232,13 @@ ORACLES = {
       UNION ALL SELECT 'program', 'id is repeated', id::VARCHAR FROM p GROUP BY id HAVING count(*) > 1""",
     "input_coercions": """SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN q WHEN 3 THEN -q WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE 0 END::INT AS as_int, CASE l_linenumber WHEN 1 THEN q WHEN 3 THEN -q ELSE 0 END::INT AS or_zero,
       CASE WHEN l_linenumber = 1 THEN q WHEN l_linenumber = 3 THEN ('-' || q::VARCHAR || '.75')::DOUBLE WHEN l_linenumber > 5 THEN ('0.0' || q::VARCHAR)::DOUBLE ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, l_quantity::INT AS q FROM lineitem)""",
+    "delegation_latest": f"{_HELD} SELECT topic, voter, delegate, given_at FROM held",
+    "delegation_resolved": f"{_CHAINS} SELECT topic, voter, final, depth, in_cycle, to_cycle FROM chains",
+    "delegation_power": f"{_CHAINS} SELECT topic, voter, own, received, lost FROM power",
+    "delegation_capped": f"""{_CAPPED} SELECT topic, delegate, voter, units FROM accepted UNION ALL
+      SELECT topic, NULL, voter, (1000000 - coalesce((SELECT sum(units) FROM accepted a WHERE a.topic = g.topic AND a.voter = g.voter), 0))::BIGINT FROM given g""",
+    "power_concentration": f"""{_CHAINS}, x AS (SELECT topic, own + received AS x, row_number() OVER (PARTITION BY topic ORDER BY own + received) AS rank, row_number() OVER (PARTITION BY topic ORDER BY own + received DESC) AS down,
+        sum(own + received) OVER (PARTITION BY topic ORDER BY own + received DESC ROWS UNBOUNDED PRECEDING) AS top, sum(own + received) OVER (PARTITION BY topic) AS total, count(*) OVER (PARTITION BY topic) AS n FROM power)
+      SELECT topic, n::BIGINT AS holders, total::BIGINT AS total, round(2 * sum(rank * x)::DOUBLE / (n * total)::DOUBLE - (n + 1)::DOUBLE / n, 9) AS gini, round(sum(x * x)::DOUBLE / (total::DOUBLE * total::DOUBLE), 9) AS herfindahl,
+        min(down) FILTER (2 * top >= total)::BIGINT AS half_holders FROM x GROUP BY topic, n, total""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
-from ..operators import changes, condorcet, elections, proposals, tally
+from ..operators import changes, condorcet, delegation, elections, proposals, tally
 from ..operators.irv import instant_runoff, unknown_ids
 from ..sources import derive
 from ..sources.derive import table
@@ -262,6 +262,26 @@ def election_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elections.payload(_set_ups(spark, sf_dir)).select("r_name", "ballot_type", "payload")
 
 
+def delegation_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delegation.resolved(delegation.latest(derive.delegations(spark, sf_dir)))
+
+
+def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delegation.power(delegation_resolved(spark, sf_dir), derive.topic_voters(spark, sf_dir))
+
+
+def delegation_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes that lose half their weight each 700 days before 2001; no delegate takes more than twenty whole votes."""
+    held = delegation.latest(derive.delegations(spark, sf_dir))
+    age = F.datediff(F.lit("2001-01-01").cast("date"), F.col("given_at").cast("date"))
+    accepted, kept = delegation.capped(held, 20 * delegation.UNIT, delegation.halved(age, 700))
+    return accepted.unionByName(kept.select("topic", F.lit(None).cast("long").alias("delegate"), "voter", "units"))
+
+
+def power_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(delegation.concentration(_power(spark, sf_dir).withColumn("power", F.col("own") + F.col("received"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "plurality_counts": _tallied(derive.single_choice, tally.plurality, "counts"),
@@ -318,6 +338,11 @@ def queries() -> dict[str, Query]:
         "delete_restricted": delete_restricted,
         "key_violations": key_violations,
         "input_coercions": input_coercions,
+        "delegation_latest": lambda spark, sf_dir: delegation.latest(derive.delegations(spark, sf_dir)),
+        "delegation_resolved": delegation_resolved,
+        "delegation_power": _power,
+        "delegation_capped": delegation_capped,
+        "power_concentration": power_concentration,
     }
 
 

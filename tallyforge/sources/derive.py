@@ -62,3 +62,21 @@ def quadratic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("user_id") % 13 != 0, F.col("m")).alias("allocations"), F.when(F.col("user_id") % 7 == 0, 60).otherwise(100).alias("credit_budget"),
     )
     return ballots, _candidates(ballots.select("election_id").distinct(), ("click", "error", "purchase", "signup"))
+
+
+def delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements (topic, voter, delegate, given_at): each order is one of its customer on the topic of its priority.
+
+    Most name a customer of a third of the number, so that chains are trees; others a neighbour, which makes long chains
+    and cycles, customer 0, who becomes a hub, or nobody, which withdraws.
+    """
+    key, voter = F.col("o_orderkey"), F.col("o_custkey")
+    named = F.when(key % 6 == 0, F.lit(None).cast("long")).when(key % 10 == 1, F.lit(0).cast("long")).when(key % 10 == 3, voter + 1 - 2 * (voter % 2)).when(key % 3 == 1, voter - 1)
+    delegate = F.when(key % 6 == 0, named).otherwise(F.coalesce(named, F.floor(voter / 3)))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic"), voter.alias("voter"), delegate.alias("delegate"), F.col("o_orderdate").alias("given_at"))
+
+
+def topic_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic, voter, casts): every customer for every priority; some cast no ballot."""
+    topics = F.explode(F.array(*[F.lit(p) for p in PRIORITIES])).alias("topic")
+    return table(spark, sf_dir, "customer").select(topics, F.col("c_custkey").alias("voter"), (F.col("c_custkey") % 9 != 4).alias("casts"))
