@@ -217,11 +217,12 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     each such window, bit o for the one that starts o words before it."""
     anchors = stored(_anchors_of(texts), "substring-anchors", tidy=True)
     each = anchors.select("key", F.posexplode("anchors").alias("i", "h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # stored, so that a frequent prefix is split: a join deals out skewed keys anew only where both sides are shuffled for it
+    counts = stored(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "substring-prefixes", tidy=True)
     met = each.join(counts.hint("merge"), "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("n") > GROUP).alias("big")))).alias("listed"))
     suffixes = stored(_suffixes(texts, stored(met, "substring-met", tidy=True)), "substring-suffixes", tidy=True)
     single = suffixes.filter("more IS NOT NULL").select("prefix", "more", "key", "at")
-    twice = single.groupBy("prefix", "more").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "more")
+    twice = stored(single.groupBy("prefix", "more").agg(F.count("*").alias("n")).filter("n > 1").select("prefix", "more"), "substring-twice", tidy=True)
     single = single.join(twice.hint("merge"), ["prefix", "more"]).select("key", "at", F.lit(1).cast("long").alias("windows"))
     found = _group_windows(suffixes.filter("more IS NULL")).unionByName(single)
     return stored(found.groupBy("key").agg(F.collect_list(F.struct("at", "windows")).alias("windows")), "substring-windows", tidy=True)
