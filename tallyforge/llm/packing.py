@@ -5,7 +5,8 @@ unit is known to the index by its whole document, whatever part of it is left, a
 documents. Units are ordered over the cluster by the two tokens that weigh most in them, so that those which share
 their most telling tokens lie together, and consecutive runs of up to ``SHARD_UNITS`` units are the shards of the
 inverted index. A task holds one shard at a time and packs it: the next unused unit is the seed, and the unused units
-of the shard follow by their BM25 score against it until the window is full. The unit that does not fit is cut, and
+of the shard follow by their BM25 score against it until the window is full. Copies, units of one document
+or of equal texts, do not share a window while any other unit is left in the shard. The unit that does not fit is cut, and
 its rest is the next seed, so only the end of a partition can leave a window open; that one is cut into sequences of
 powers of two, which need no padding.
 
@@ -35,10 +36,10 @@ END = 2
 VOCABULARY = 1 << 16
 #: A shard of the index ends at so many tokens or units, which bounds its memory.
 SHARD_TOKENS, SHARD_UNITS = 1 << 23, 1 << 12
-#: Partitions of units: one for each shard, and beyond so many partitions several shards in turn.
-MAX_PARTITIONS = 10_000
+#: Partitions of units: one for each shard, and beyond so many partitions (half a billion units) several shards in turn.
+MAX_PARTITIONS = 1 << 17
 #: Units for each partition from which the partitions' borders are estimated; borders only place units.
-BORDER_UNITS = 16
+BORDER_UNITS = 8
 K1, B = 1.2, 0.75
 CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
@@ -360,6 +361,11 @@ class _Packer:
         self.open: list[tuple] = []  # (unit, from, length) of the open window
         self.room, self.seed_terms = window, None
 
+    def _blocked(self, copies: list[np.ndarray]) -> np.ndarray:
+        """Which units of a shard are copies of what the open window holds; ``copies``: labels by document and text, and which have an id."""
+        ids, texts = zip(*(_labels(unit) for unit, _, _ in self.open), strict=True)
+        return (np.isin(copies[0], [x for x in ids if x is not None]) & copies[2]) | np.isin(copies[1], texts)
+
     def _place(self, unit: tuple, at: int) -> int:
         """Puts what fits of ``unit`` (doc_id, start, ids, doc_tokens, profile) from ``at`` on; returns where it stops."""
         n = min(self.room, len(unit[2]) // 2 - at)
@@ -371,6 +377,8 @@ class _Packer:
         shard, terms = Shard.of([(u[2], u[4]) for u in units], self.bm25)
         sizes = np.array([len(u[2]) // 2 for u in units], dtype=np.int64)
         used, pointer, rest = np.zeros(len(units), dtype=bool), 0, None
+        labels = [_labels(u) for u in units]
+        copies = [np.array([x or 0 for x, _ in labels], dtype=np.int64), np.array([x for _, x in labels], dtype=np.int64), np.array([x is not None for x, _ in labels])]
         indexed = np.arange(len(units))  # the units that the index still holds
         while True:
             if not self.open:
@@ -385,13 +393,25 @@ class _Packer:
                 self.seed_terms = terms[seed]
                 self._place(units[seed], at)
             if self.room:
-                free = ~used[indexed]
-                left = indexed[free]
-                for u in left[leading(shard.scores(self.seed_terms)[free], sizes[left], self.room)].tolist():
-                    used[u] = True
-                    if (end := self._place(units[u], 0)) < sizes[u]:
-                        rest = (u, end)
-                if 2 * len(left) < len(indexed):
+                scores, blocked = shard.scores(self.seed_terms), self._blocked(copies)
+                while self.room:
+                    free = ~used[indexed] & ~blocked[indexed]
+                    if not free.any():  # only copies are left
+                        free = ~used[indexed]
+                        blocked[:] = False
+                    left = indexed[free]
+                    if not len(left):
+                        break
+                    for u in left[leading(scores[free], sizes[left], self.room)].tolist():
+                        if blocked[u]:  # a copy of one placed just now
+                            continue
+                        used[u] = True
+                        if (end := self._place(units[u], 0)) < sizes[u]:
+                            rest = (u, end)
+                        if not self.room:
+                            break
+                        blocked |= (copies[2] & copies[2][u] & (copies[0] == copies[0][u])) | (copies[1] == copies[1][u])
+                if 2 * int((~used[indexed]).sum()) < len(indexed):
                     shard, indexed = shard.only(~used[indexed]), indexed[~used[indexed]]
             if self.room:
                 return
@@ -413,6 +433,11 @@ class _Packer:
             yield own
 
 
+def _labels(unit: tuple) -> tuple[int | None, int]:
+    """What tells a unit's copies: its document's id, if it has one, and a hash of its text's tokens."""
+    return unit[0], hash((unit[2], unit[3], unit[4]))
+
+
 def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
     at, seed = 0, parts[0][0][0]
     for unit, first, n in parts:
@@ -448,7 +473,7 @@ def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
     hashed = units.withColumn("mixed", F.xxhash64(F.monotonically_increasing_id()))
     borders: list[tuple] = []
     if parts > 1:
-        sampled = hashed.sample(min(1.0, 2 * BORDER_UNITS * parts / count), seed=7).limit(4 * BORDER_UNITS * parts)
+        sampled = hashed.select("ids", "profile", "mixed").sample(min(1.0, 2 * BORDER_UNITS * parts / count), seed=7)
 
         def keys(batches):
             for batch in batches:
