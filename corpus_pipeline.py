@@ -41,9 +41,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the training sequences, neighbours by BM25 side by side."""
+    """Pieces of the training sequences with their token ids, neighbours by BM25 side by side, a document's repeats apart."""
     pieces = packing.pack(docs, tokenizer_definition())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "seed_doc_id")
+    return pieces.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "seed_doc_id")
 
 
 STAGES = [
