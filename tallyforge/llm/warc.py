@@ -10,6 +10,7 @@ records in front of the damage are kept; the search for the next member starts r
 from __future__ import annotations
 
 import base64
+import copy
 import functools
 import hashlib
 import uuid
@@ -25,6 +26,8 @@ from ._spark import stored
 
 ROLL_BYTES = 16 << 20
 READ_BYTES = 1 << 18
+#: A header or block of at most so many bytes is held while it is checked; a longer one is first read through as a stream.
+HELD_BYTES = 8 << 20
 #: A record's header, and its block, is a value of Spark, which can be no longer.
 MOST_BYTES = 2**31 - 1
 SALTS = 16
@@ -134,6 +137,20 @@ class _Bytes:
 
     def __init__(self, handle):
         self.handle, self.size, self.at, self.window = handle, handle.size(), 0, b""
+        self.stop, self.total = None, self.size
+
+    def ahead(self) -> _Bytes:
+        """The same bytes, to read farther on without moving this window."""
+        return _Bytes(self.handle)
+
+    def ending(self, start: int) -> bytes:
+        """The four bytes from ``start`` on, without moving the window."""
+        if self.at <= start and start + 4 <= self.at + len(self.window):
+            return self.get(start, 4)
+        return self.handle.read_at(max(0, min(4, self.size - start)), start) if start < self.size else b""
+
+    def let_go(self, start: int) -> None:
+        """Nothing is held before the window in any case."""
 
     def get(self, start: int, n: int) -> bytes:
         """``n`` bytes, or fewer where the file ends."""
@@ -156,6 +173,19 @@ class _Inflated:
         self.machine, self.tail = zlib.decompressobj(31), b""
         self.at, self.window, self.floor = 0, bytearray(), 0
         self.size, self.fault = None, None
+        self.stop, self.total = None, None  # where a header ended last, and the size once a reader farther on has found it
+
+    def ahead(self) -> _Inflated:
+        """The same bytes, to inflate farther on while this window stays."""
+        other = copy.copy(self)
+        other.data, other.machine, other.window = _Bytes(self.data.handle), self.machine.copy(), bytearray(self.window)
+        return other
+
+    def ending(self, start: int) -> bytes:
+        return self.get(start, 4)
+
+    def let_go(self, start: int) -> None:
+        self.floor = start
 
     def _step(self) -> None:
         piece = self.tail or self.data.get(self.end, 1 << 14)
@@ -192,64 +222,108 @@ class _Inflated:
 
 def _find(source, what: bytes, start: int) -> int | None:
     """Where ``what`` next begins, if anywhere."""
+    size = 1 << 10
     while True:
-        part = source.get(start, READ_BYTES)
+        part = source.get(start, size)
         if (found := part.find(what)) >= 0:
             return start + found
-        if len(part) < READ_BYTES:
+        if len(part) < size:
             return None
-        start += len(part) - len(what) + 1
-        if isinstance(source, _Inflated):
-            source.floor = start
+        start, size = start + len(part) - len(what) + 1, min(4 * size, READ_BYTES)
+        source.let_go(start)
 
 
 class Damaged(ValueError):
     pass
 
 
-def _verified(digest: str, block: bytes) -> bool | None:
-    """Whether a digest header (algorithm:value, base32 or hex) is the block's; None if it cannot be told."""
-    algorithm, _, value = digest.partition(":")
+def _digest(header: str):
+    """(a new hash, its value as the header algorithm:value has it, base32 or hex); None if it cannot be told."""
+    algorithm, _, value = header.partition(":")
     if algorithm.lower() not in ("sha1", "sha256", "sha512", "md5"):
         return None
-    own = hashlib.new(algorithm.lower(), block).digest()
-    return value.strip().rstrip("=").upper() in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+    return hashlib.new(algorithm.lower()), value.strip().rstrip("=").upper()
+
+
+def _header_end(source, start: int) -> int | None:
+    """Where the header that begins at ``start`` ends, if anywhere; a place once found serves every start before it."""
+    if source.stop and source.stop[0] <= start and (source.stop[1] is None or start <= source.stop[1]):
+        return source.stop[1]
+    size, end = 1 << 10, b"\r\n\r\n"
+    while (found := (head := source.get(start, size)).find(end)) < 0 and len(head) == size and size < HELD_BYTES:
+        size *= 2
+    stop = start + found if found >= 0 else None
+    if stop is None and len(head) == size:
+        stop = _find(source.ahead(), end, start + size - len(end) + 1)
+    source.stop = start, stop
+    return stop
+
+
+def _streamed(source, at: int, n: int, digest: str) -> None:
+    """Damaged if a long block fails its checks, of which no more than a piece is held."""
+    ahead, left, told = source.ahead(), n, _digest(digest)
+    while left:
+        piece = ahead.get(at + n - left, min(left, READ_BYTES))
+        if not piece:
+            source.total = ahead.size
+            raise Damaged("record is cut short")
+        if told:
+            told[0].update(piece)
+        left -= len(piece)
+        ahead.let_go(at + n - left)
+    _ended(ahead.get(at + n, 4))
+    if told and told[1] not in _forms(told[0]):
+        raise Damaged("block digest differs")
+
+
+def _ended(end: bytes) -> None:
+    if len(end) < 4:
+        raise Damaged("record is cut short")
+    if end != b"\r\n\r\n":
+        raise Damaged("record does not end where it says")
+
+
+def _forms(made) -> tuple[str, str]:
+    return base64.b32encode(made.digest()).decode().rstrip("="), made.hexdigest().upper()
 
 
 def _parsed(source, start: int, sound) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``start``; Damaged if a check fails.
 
-    ``sound`` tells whether the bytes passed a checksum of their own, which a record without a digest needs.
+    A claimed length is believed only as far as the record's last four bytes, and, where it is long, its digest, bear it
+    out; the block is held afterwards. ``sound`` tells whether the bytes passed a checksum of their own, which a record
+    without a digest needs.
     """
-    head = source.get(start, 4096)
-    if not head.startswith(_VERSION):
+    if not source.get(start, len(_VERSION)) == _VERSION:
         raise Damaged("no version line")
-    while (stop := head.find(b"\r\n\r\n")) < 0:
-        if len(head) > MOST_BYTES or len(more := source.get(start, 2 * len(head))) == len(head):
-            raise Damaged("header does not end")
-        head = more
+    stop = _header_end(source, start)
+    if stop is None or stop - start > MOST_BYTES:
+        raise Damaged("header does not end")
     headers = {}
-    for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in source.get(start, stop - start).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line without a colon")
         headers[name.strip().lower()] = value.strip()
-    length = headers.get("content-length", "")
+    length, digest = headers.get("content-length", ""), headers.get("warc-block-digest", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
-    at, n = start + stop + 4, int(length)
+    at, n = stop + 4, int(length)
     if n > MOST_BYTES:
         raise Damaged("block is longer than a value can be")
-    block = source.get(at, n + 4)
-    if len(block) < n + 4:
+    if source.total is not None and at + n + 4 > source.total:
         raise Damaged("record is cut short")
-    block, end = block[:n], block[n:]
-    if end != b"\r\n\r\n":
-        raise Damaged("record does not end where it says")
-    good = _verified(headers.get("warc-block-digest", ""), block)
-    if good is False:
-        raise Damaged("block digest differs")
-    if good is None and not sound():
+    if n > HELD_BYTES:
+        _streamed(source, at, n, digest)
+    else:
+        _ended(source.ending(at + n))
+    block = source.get(at, n)
+    told = _digest(digest)
+    if told and n <= HELD_BYTES:
+        told[0].update(block)
+        if told[1] not in _forms(told[0]):
+            raise Damaged("block digest differs")
+    if not told and not sound():
         raise Damaged("no digest, in a damaged member")
     return headers, block, at + n + 4
 
@@ -273,8 +347,7 @@ def _records(source, sound) -> Iterator[tuple]:
             gap = None
         yield "record", at, end, headers, block
         at = end
-        if isinstance(source, _Inflated):
-            source.floor = at
+        source.let_go(at)
     if gap is not None:
         yield "gap", gap, source.size, reason, None
 

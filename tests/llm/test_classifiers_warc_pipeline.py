@@ -4,8 +4,11 @@ import base64
 import gzip
 import hashlib
 import io
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import _linear, quality, queries, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 @pytest.mark.parametrize(("module", "good", "bad"), [(quality, "plain words follow one another in this text", "BUY BUY BUY now now now"), (toxicity, "you are a worthless fool", "a calm and friendly remark")])
@@ -189,6 +193,34 @@ def test_a_member_that_inflates_to_very_much_is_not_held():
     assert warc._find(member, b"WARC/1.", 0) is None and member.size == 1 << 27 and len(member.window) < 1 << 22
 
 
+def test_a_long_claim_is_checked_before_it_is_held():
+    good = [warc.record(i, f"http://h/{i}", b"abc" * i, None) for i in range(3)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    parts = [packer.compress(b"".join(good) + b"WARC/1.1\r\nContent-Length: 900000000\r\n\r\n")]
+    parts += [packer.compress(bytes(1_000_000)) for _ in range(300)]
+    data = b"".join([*parts, packer.compress(good[0]), packer.flush()])
+    code = f"import resource, sys, pyarrow as pa; from tallyforge.llm import warc; print([x[0] for x in warc.salvage(pa.BufferReader(sys.stdin.buffer.read()), True)], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)"
+    told = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, check=True, cwd=ROOT).stdout.decode().strip().rsplit(" ", 1)
+    assert told[0] == "['record', 'record', 'record', 'gap', 'record']"
+    assert int(told[1]) < 300  # MB; the member inflates to 300 MB
+
+
+def test_false_claims_take_linear_time_and_long_blocks_are_recovered(monkeypatch):
+    held = []
+    monkeypatch.setattr(warc._Bytes, "get", lambda self, start, n, f=warc._Bytes.get: held.append(n) or f(self, start, n))
+    line = b"WARC/1.1\r\nContent-Length: 1000000\r\nX-Filler: " + b"y" * 150 + b"\r\n\r\n"
+    got = [x[0] for x in warc.salvage(pa.BufferReader(line * 10_000), False)]
+    assert got == ["gap"]
+    assert sum(held) < 40 * len(line) * 10_000
+    monkeypatch.setattr(warc, "HELD_BYTES", 1 << 12)
+    pages = [warc.record(i, "u" * (9_000 * i), bytes([65 + i]) * 20_000 * i, None) for i in range(4)]
+    broken = pages[3].replace(b"DDDD", b"DDXD", 1)
+    for zipped in (False, True):
+        data = b"".join([pages[0], pages[1], broken, pages[2], pages[3]])
+        data = gzip.compress(data) if zipped else data
+        assert [x[0] for x in warc.salvage(pa.BufferReader(data), zipped)] == ["record", "record", "gap", "record", "record"]
+
+
 def test_a_page_with_a_very_long_url_is_read_back(spark, tmp_path):
     url = "data:," + "u" * 3_000_000
     warc.write(spark.createDataFrame([(1, url, "x")], "page_id long, url string, html string"), f"file://{tmp_path}/long")
