@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 EXACT_LANES, LIKENESS_LANES, RUN = 16, 256, 8
-#: A range of rows has about so many bytes of text; a task goes through it row by row.
-RANGE_BYTES = 32 << 20
+#: A range of rows has about so many bytes of text, less where the session has more cores than ranges and more beyond
+#: ``MOST_RANGES``; a task goes through it row by row.
+RANGE_BYTES, LEAST_BYTES, MOST_RANGES = 32 << 20, 1 << 18, 1 << 16
+#: Ranges by number of rows, of which those by bytes are made up.
+FINE = 4
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**32, RUN, dtype=np.uint32) | np.uint32(1)
 _LOWEST = -(2**63)
 
@@ -84,23 +87,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """Rows in ranges of falling (doc_id, hash of the text), one range a partition and sorted; each range ends with a copy
-    of the row after it.
+def _range_ends(docs: DataFrame) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """The least and greatest (id, hash) of ranges of about equal bytes, in order: four numbers for each range.
 
-    The ranges' ends, four numbers for each ``RANGE_BYTES`` of text, are found from ids and hashes alone, so texts move once.
+    They are found from ids, hashes and lengths alone: ranges of equal numbers of rows, ``FINE`` for each wanted, are put
+    together until they have their bytes.
     """
+    rows = docs.select("_id", "_hash", F.octet_length("text").cast("long").alias("_bytes"))
+    total = rows.agg(F.sum("_bytes")).first()[0] or 0
+    parts = max(1, min(MOST_RANGES, max(math.ceil(total / RANGE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_BYTES))))
+    first = F.struct("_id", "_hash")
+    fine = rows.repartitionByRange(FINE * parts, F.col("_id").desc(), F.col("_hash").desc()).groupBy(F.spark_partition_id()).agg(F.min(first).alias("low"), F.max(first).alias("high"), F.sum("_bytes").alias("n"))
+    ends: list[tuple[tuple[int, int], tuple[int, int]]] = []
+    filled = total
+    for low, high, n in sorted((tuple(x["low"]), tuple(x["high"]), x["n"]) for x in fine.select("low", "high", "n").collect()):
+        if ends and filled + n / 2 <= total / parts:
+            ends[-1], filled = (ends[-1][0], high), filled + n
+        else:
+            ends.append((low, high))
+            filled = n
+    return ends
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Rows in ranges of falling (doc_id, hash of the text), one range a partition and sorted; each range ends with a copy
+    of the row after it. Texts move once."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
-    keys = rows.select("_id", "_hash")
-    parts = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES))
-    first = F.struct("_id", "_hash")
-    ranges = keys.repartitionByRange(parts, F.col("_id").desc(), F.col("_hash").desc()).groupBy(F.spark_partition_id()).agg(F.min(first).alias("low"), F.max(first).alias("high"))
-    ends = sorted((tuple(x["low"]), tuple(x["high"])) for x in ranges.select("low", "high").collect())
+    ends = _range_ends(rows)
     last = max(0, len(ends) - 1)
-    lows, highs = (np.array([x[i] for x in ends], dtype=np.int64).reshape(-1, 2) for i in (0, 1))
+    shared = rows.sparkSession.sparkContext.broadcast([np.array([x[i] for x in ends], dtype=np.int64).reshape(-1, 2) for i in (0, 1)])
 
     def place(batches):
+        lows, highs = shared.value
         for batch in batches:
             id_, hash_ = (batch.column(c).to_numpy() for c in ("_id", "_hash"))
             # the last range whose least key is not above a row's; equal ids are told apart by the hashes
