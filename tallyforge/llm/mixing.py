@@ -13,7 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Between a word's last character and the white space after it.
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 ROWS_PER_BUCKET = 512
-MAX_BUCKET_BITS = 28
+#: Hex digits of the key that buckets are made of, and so the most bits of a bucket's number: 17 trillion buckets.
+KEY_DIGITS = 11
 
 
 def word_count(text: str | Column) -> Column:
@@ -53,13 +54,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
 
     Every row gets a hash-random key. A source's rows are ranged by key into buckets (the key's leading bits, so each
     holds about ``rows_per_bucket`` rows of even the largest source), sums by bucket give each bucket's offset, and a
-    window within the bucket gives each row's prefix sum: no task holds a whole source. A source is taken whole
+    window within the bucket gives each row's prefix sum: no task holds a whole source. Offsets are formed in two levels,
+    by the leading half of a bucket's bits and within each, so that no task holds all buckets of a source either. A source is taken whole
     floor(budget / size) times; the rest of the budget is cut at its exact word along the key's order.
 
     Defined cases: a null text is empty (size 0, takes 0); a null source is a source of its own, the last; a null
     doc_id is keyed by its text; repeated rows each count; an empty table gives no rows. Columns of ``docs`` named like
     a result column are replaced, any others are kept, whatever they are called. A bucket holds more rows than
-    ``rows_per_bucket`` only beyond 2**``MAX_BUCKET_BITS`` buckets, or where rows share a key, as rows of one doc_id do.
+    ``rows_per_bucket`` only where rows share a key, as rows of one doc_id do.
 
     Texts are counted twice, for the sums and for the rows. With ``key``, docs are what :func:`sized` gave under that
     name, without their texts and perhaps stored, and the key is dropped.
@@ -69,14 +71,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
         (key,) = free(docs, "key")
         docs = sized(docs, key, seed)
     bucket, offset, own, own_bucket, words, before, epochs, cut = free(docs, "bucket", "offset", "own_source", "own_bucket", "words", "before", "epochs", "cut")
-    bits = min(MAX_BUCKET_BITS, max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_bucket))))
-    keyed = docs.withColumn(bucket, F.shiftright(F.conv(F.substring(key, 1, 7), 16, 10).cast("long"), 28 - bits))
-    sums = stored(keyed.groupBy("source", bucket).agg(F.sum("size").alias(words)), "mix-sums")
-    sources = targets(sums.groupBy("source").agg(F.sum(words).alias("source_size")), weights, cap)
-    earlier = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bits = min(4 * KEY_DIGITS, max(0, math.ceil(math.log2(max(1, docs.count()) / rows_per_bucket))))
+    keyed = docs.withColumn(bucket, F.shiftright(F.conv(F.substring(key, 1, KEY_DIGITS), 16, 10).cast("long"), 4 * KEY_DIGITS - bits))
+    sums = keyed.groupBy("source", bucket).agg(F.sum("size").alias(words)).withColumn("lead", F.shiftright(bucket, bits - bits // 2))
+    sums = stored(sums, "mix-sums")
+    leads = stored(sums.groupBy("source", "lead").agg(F.sum(words).alias(words)), "mix-leads")
+    sources = targets(leads.groupBy("source").agg(F.sum(words).alias("source_size")), weights, cap)
+    earlier = lambda group, by: F.coalesce(F.sum(words).over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    leads = leads.select(F.col("source").alias("_source"), F.col("lead").alias("_lead"), earlier(["source"], "lead").alias("_before"))
+    within_lead = sums.select(F.col("source").alias(own), "lead", F.col(bucket).alias(own_bucket), earlier(["source", "lead"], bucket).alias("_within"))
     offsets = (
-        sums.withColumn(offset, F.coalesce(F.sum(words).over(earlier), F.lit(0))).withColumnRenamed("source", own).drop(words)
-        .join(sources, F.col(own).eqNullSafe(F.col("source"))).drop("source").withColumnRenamed(bucket, own_bucket)
+        within_lead.join(leads, F.col(own).eqNullSafe(F.col("_source")) & (F.col("lead") == F.col("_lead"))).withColumn(offset, F.col("_before") + F.col("_within"))
+        .select(own, own_bucket, offset).join(sources, F.col(own).eqNullSafe(F.col("source"))).drop("source")
     )
     joined = keyed.join(offsets, F.col("source").eqNullSafe(F.col(own)) & (F.col(bucket) == F.col(own_bucket))).drop(own, own_bucket)
     within = Window.partitionBy("source", bucket).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
