@@ -70,18 +70,18 @@ def unknown_ids(ballots: DataFrame, candidates: DataFrame) -> DataFrame:
     return ranked.join(candidates, ["election_id", "candidate_id"], "left_anti")
 
 
-def instant_runoff(ballots: DataFrame, candidates: DataFrame, elections: DataFrame | None = None, tiebreak: Tiebreak = lexicographic, strict: bool = False) -> Result:
+def instant_runoff(ballots: DataFrame, candidates: DataFrame, elections: DataFrame | None = None, tiebreak: Tiebreak = lexicographic, strict: bool = False, weight: str | None = None) -> Result:
     """Instant runoff. header adds total_exhausted and winning_round; counts are the last round's; more: rounds, round_counts.
 
     A ballot counts for its first choice still in. More than half of a round's active ballots win. Else all at the
     fewest votes go at once; if that is everybody, ``tiebreak`` names the winner and the others go; when one is left
     it is counted once more and wins with any number. Ids that are no candidates are passed over; ``strict`` raises
-    an error for them instead.
+    an error for them instead. ``weight`` is a column of whole numbers that ballots count; totals stay numbers of ballots.
     """
     if strict and not unknown_ids(ballots, candidates).isEmpty():
         raise KeyError("a ballot ranks an id that is not a candidate")
     ids = candidates.groupBy("election_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "candidate_id"))), lambda x: x["candidate_id"]).alias("left"))
-    votes = stored(profiles(ballots), "irv-profiles")
+    votes = stored(profiles(ballots, weight), "irv-profiles")
     cast = votes.groupBy("election_id").agg(F.sum("weight").alias("cast"), F.count("*").alias("rankings"))
     state = ids.join(cast, "election_id", "left").select("election_id", "left", F.coalesce("cast", F.lit(0).cast("long")).alias("cast"), F.coalesce("rankings", F.lit(0)).alias("rankings"), F.lit(False).alias("last"), F.lit(False).alias("tied"))
     state = stored(state, "irv-state")
