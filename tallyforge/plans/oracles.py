@@ -123,6 +123,11 @@ _CAPPED = f"""{_HELD}, given AS (SELECT topic, voter, delegate, given_at, 100000
       JOIN (VALUES (true), (false)) k(offer) ON x.offer OR NOT k.offer LEFT JOIN given g ON g.topic = x.topic AND g.voter = x.at_
     WHERE x.left_ > 0 AND CASE WHEN NOT x.offer THEN true WHEN k.offer THEN x.units > x.fits AND g.delegate IS NOT NULL AND g.delegate <> x.voter AND NOT list_contains(x.seen, g.delegate) ELSE x.fits > 0 END),
   accepted AS (SELECT topic, at_ AS delegate, voter, units FROM run WHERE NOT offer AND r = (SELECT max(r) FROM run))"""
+_WEIGHT = "(voter_id::BIGINT % 3 + 1)"
+_NEAR = """WITH v AS (SELECT c_custkey AS voter, c_mktsegment AS choice, ((c_custkey * 7919) % 18001) / 100 - 90 AS lat, ((c_custkey * 104729) % 36000) / 100 - 180 AS lon, (c_custkey % 11) / 10 AS exposure, greatest(c_acctbal, 0) / 10000 AS stake FROM customer),
+  s AS (SELECT s_suppkey AS site, ((s_suppkey * 3571) % 18001) / 100 - 90 AS lat, ((s_suppkey * 15485863) % 36000) / 100 - 180 AS lon, 1000 + (s_suppkey % 97) * 5000 AS population FROM supplier),
+  d AS (SELECT site, voter, choice, exposure, stake, population, 2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(s.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - v.lon) / 2), 2), 1))) AS km FROM v, s),
+  near AS (SELECT site, voter, choice, km, floor(1000000 * (1 - km / 1500) * ((1 + exposure + stake) / 3) / (1 + log10(1 + population)))::BIGINT AS weight FROM d WHERE km <= 1500)"""
 ORACLES = {
     "plurality_counts": f"{_PLURALITY} SELECT election_id, candidate_id, votes FROM counts",
     "plurality_winner": f"""{_PLURALITY}, {_TOP}, heads AS (SELECT election_id, count(*)::BIGINT AS total_ballots, count(*) FILTER (choice IS NULL)::BIGINT AS abstentions FROM ballots GROUP BY 1)
@@ -241,4 +246,21 @@ ORACLES = {
         sum(own + received) OVER (PARTITION BY topic ORDER BY own + received DESC ROWS UNBOUNDED PRECEDING) AS top, sum(own + received) OVER (PARTITION BY topic) AS total, count(*) OVER (PARTITION BY topic) AS n FROM power)
       SELECT topic, n::BIGINT AS holders, total::BIGINT AS total, round(2 * sum(rank * x)::DOUBLE / (n * total)::DOUBLE - (n + 1)::DOUBLE / n, 9) AS gini, round(sum(x * x)::DOUBLE / (total::DOUBLE * total::DOUBLE), 9) AS herfindahl,
         min(down) FILTER (2 * top >= total)::BIGINT AS half_holders FROM x GROUP BY topic, n, total""",
+    "weighted_plurality": _PLURALITY.replace("count(*) AS votes", f"sum{_WEIGHT} AS votes") + " SELECT election_id, candidate_id, votes FROM counts",
+    "weighted_approval": _APPROVED.replace("unnest(approvals) AS id FROM", "voter_id, unnest(approvals) AS id FROM").replace("count(*) AS votes", f"sum{_WEIGHT} AS votes") + " SELECT election_id, candidate_id, votes FROM counts",
+    "weighted_approval_header": _APPROVED.replace("unnest(approvals) AS id FROM", "voter_id, unnest(approvals) AS id FROM").replace("count(*) AS votes", f"sum{_WEIGHT} AS votes") + f""", {_TOP},
+      w AS (SELECT election_id, sum{_WEIGHT}::BIGINT AS total_weight, (sum{_WEIGHT} FILTER (len(approvals) = 0))::BIGINT AS abstained_weight FROM ballots GROUP BY 1)
+      SELECT election_id, winner AS winners, total_ballots, abstentions, tiebreak_applied, total_weight, abstained_weight,
+      round((SELECT sum(votes) FROM counts c WHERE c.election_id = h.election_id)::DOUBLE / (total_weight - abstained_weight), 9) AS avg_approvals_per_ballot FROM heads h JOIN won USING (election_id) JOIN w USING (election_id)""",
+    "weighted_score": _SCORED.replace("sum(s) AS votes", f"sum(s * {_WEIGHT}) AS votes") + " SELECT election_id, candidate_id, votes FROM counts",
+    "weighted_borda": _BORDA.replace("placed AS (SELECT election_id,", "placed AS (SELECT election_id, voter_id,").replace("sum(4 - pos)", f"sum((4 - pos) * {_WEIGHT})") + " SELECT election_id, candidate_id, votes FROM counts",
+    "weighted_quadratic": _QUADRATIC.replace("sum(v) AS votes", f"sum(v * {_WEIGHT}) AS votes") + " SELECT election_id, candidate_id, votes FROM counts",
+    "weighted_matrix": _PAIRWISE.replace("count(*) AS votes FROM placed x", f"sum{_WEIGHT.replace('voter_id', 'x.voter_id')} AS votes FROM placed x") + " SELECT election_id, a, b, votes FROM matrix",
+    "weighted_runoff": _IRV.replace("cast_ AS (SELECT election_id, ranking FROM ballots WHERE len(ranking) > 0)", f"cast_ AS (SELECT election_id, ranking FROM (SELECT *, unnest(range({_WEIGHT})) FROM ballots) WHERE len(ranking) > 0)") + " SELECT election_id, round_number, unnest(l) AS candidate_id, unnest(n) AS votes FROM rounds",
+    "jurisdiction_weights": f"{_NEAR} SELECT site, voter, round(km, 6) AS distance_km, weight FROM near WHERE weight > 0",
+    "jurisdiction_tally": f"""{_NEAR}, w AS (SELECT * FROM near WHERE weight > 0), c AS (SELECT site, choice FROM (SELECT DISTINCT site FROM w), (SELECT DISTINCT choice FROM v))
+      SELECT site::VARCHAR AS election_id, choice AS candidate_id, coalesce(sum(weight), 0)::BIGINT AS votes FROM c LEFT JOIN w USING (site, choice) GROUP BY 1, 2""",
+    "median_choice": """WITH b AS (SELECT year(l_shipdate)::VARCHAR AS election_id, CASE WHEN l_orderkey % 13 <> 0 THEN round(l_extendedprice * (1 - l_discount), 2) END AS v, l_quantity::BIGINT AS w FROM lineitem),
+      r AS (SELECT election_id, v, sum(w) OVER (PARTITION BY election_id ORDER BY v) AS upto, sum(w) OVER (PARTITION BY election_id) AS total FROM b WHERE v IS NOT NULL AND w > 0)
+      SELECT election_id, min(v) FILTER (2 * upto >= total) AS median, any_value(total)::BIGINT AS total_weight FROM r GROUP BY 1""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
-from ..operators import changes, condorcet, delegation, elections, proposals, tally
+from ..operators import changes, condorcet, delegation, elections, jurisdiction, median, proposals, tally
 from ..operators.irv import instant_runoff, unknown_ids
 from ..sources import derive
 from ..sources.derive import table
@@ -278,6 +278,45 @@ def delegation_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.unionByName(kept.select("topic", F.lit(None).cast("long").alias("delegate"), "voter", "units"))
 
 
+def _weighted_counts(derived, method) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return method(*derive.weighted(derived, spark, sf_dir), weight="weight").counts.select("election_id", "candidate_id", "votes")
+
+    return run
+
+
+def weighted_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return condorcet.pairwise_matrix(*derive.weighted(derive.ranked, spark, sf_dir), weight="weight")
+
+
+def weighted_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(tally.approval(*derive.weighted(derive.approval, spark, sf_dir), weight="weight").header)
+
+
+def weighted_runoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ballots, candidates = derive.weighted(derive.ranked, spark, sf_dir, by="c_mktsegment")
+    return instant_runoff(ballots, candidates, weight="weight").more["round_counts"]
+
+
+def jurisdiction_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = jurisdiction.weighted_voters(derive.located_voters(spark, sf_dir), derive.sites(spark, sf_dir), 1500.0)
+    return told.withColumn("distance_km", F.round("distance_km", 6))
+
+
+def jurisdiction_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An election at each site: customers near it vote for their market segment, with their weight there."""
+    weights = jurisdiction.weighted_voters(derive.located_voters(spark, sf_dir), derive.sites(spark, sf_dir), 1500.0)
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("voter"), F.col("c_mktsegment").alias("choice"))
+    ballots = weights.join(segments, "voter").select(F.col("site").cast("string").alias("election_id"), F.col("voter").cast("string").alias("voter_id"), "choice", "weight")
+    candidates = segments.select("choice").distinct().select(F.col("choice").alias("candidate_id"), F.lit(0).alias("ord"))
+    candidates = ballots.select("election_id", F.lit(0).alias("ord")).distinct().join(candidates, "ord")
+    return tally.plurality(ballots, candidates, weight="weight").counts.select("election_id", "candidate_id", "votes")
+
+
+def median_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return median.weighted_median(derive.values(spark, sf_dir), weight="weight")
+
+
 def power_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(delegation.concentration(_power(spark, sf_dir).withColumn("power", F.col("own") + F.col("received"))))
 
@@ -343,6 +382,17 @@ def queries() -> dict[str, Query]:
         "delegation_power": _power,
         "delegation_capped": delegation_capped,
         "power_concentration": power_concentration,
+        "weighted_plurality": _weighted_counts(derive.single_choice, tally.plurality),
+        "weighted_approval": _weighted_counts(derive.approval, tally.approval),
+        "weighted_approval_header": weighted_header,
+        "weighted_score": _weighted_counts(derive.score, tally.score),
+        "weighted_borda": _weighted_counts(derive.ranked, tally.borda),
+        "weighted_quadratic": _weighted_counts(derive.quadratic, tally.quadratic),
+        "weighted_matrix": weighted_matrix,
+        "weighted_runoff": weighted_runoff,
+        "jurisdiction_weights": jurisdiction_weights,
+        "jurisdiction_tally": jurisdiction_tally,
+        "median_choice": median_choice,
     }
 
 

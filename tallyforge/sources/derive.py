@@ -80,3 +80,29 @@ def topic_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, voter, casts): every customer for every priority; some cast no ballot."""
     topics = F.explode(F.array(*[F.lit(p) for p in PRIORITIES])).alias("topic")
     return table(spark, sf_dir, "customer").select(topics, F.col("c_custkey").alias("voter"), (F.col("c_custkey") % 9 != 4).alias("casts"))
+
+
+def weighted(derived, spark: SparkSession, sf_dir: str, **named) -> tuple[DataFrame, DataFrame]:
+    """Ballots and candidates of one of the functions above, with a weight of 1, 2 or 3 by the voter's number."""
+    ballots, candidates = derived(spark, sf_dir, **named)
+    return ballots.withColumn("weight", F.col("voter_id").cast("long") % 3 + 1), candidates
+
+
+def located_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as voters spread over the globe: (voter, lat, lon, exposure, stake)."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("voter"), (((key * 7919) % 18001) / 100 - 90).alias("lat"), (((key * 104729) % 36000) / 100 - 180).alias("lon"), ((key % 11) / 10).alias("exposure"), (F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 10000).alias("stake")
+    )
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sites: (site, lat, lon, population)."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(key.alias("site"), (((key * 3571) % 18001) / 100 - 90).alias("lat"), (((key * 15485863) % 36000) / 100 - 180).alias("lon"), (1000 + (key % 97) * 5000).alias("population"))
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ballots along a line: a line item's discounted price for its ship mode's year, weighed by its quantity; some name none."""
+    price = F.when(F.col("l_orderkey") % 13 != 0, F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))
+    return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("string").alias("election_id"), price.alias("value"), F.col("l_quantity").cast("long").alias("weight"))
