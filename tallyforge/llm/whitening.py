@@ -22,8 +22,8 @@ from ._spark import stored
 
 #: How vectors become whole numbers, and the most components (fixed values).
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
-#: Singular values below so many times the largest are noise of a smaller rank.
-_RANK = 1e-9
+#: Eigenvalues of a d x d Gramian up to d times this share of the largest are rounding of a smaller rank.
+_RANK = 2.0**-50
 
 
 def whole_numbers(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -78,7 +78,7 @@ def whiten(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding"
     Defined cases: rows whose vector is null or has a null or non-finite entry are dropped, as are those with an entry too
     large for a 64-bit whole number and those whose length is not the commonest one (of equally common ones the longest);
     repeated rows each have their result and count once in the fit list; a null key stays; components without variance
-    (fewer distinct vectors or dimensions than ``components``) are left out, so that one distinct vector, vectors without
+    (fewer distinct vectors or dimensions than ``components``, or d * 2^-50 of the largest and less) are left out, so that one distinct vector, vectors without
     entries and an empty table give no rows; a deviation that a long cannot hold is null; other columns do not matter.
     """
     rows = whole_numbers(embeddings.select(F.col(key).alias("_key"), F.col(vector).alias("_vector")), "_vector")
@@ -139,5 +139,5 @@ def _components(fit: DataFrame, n: int, sums: list[int], d: int, components: int
     centred = fit.select("x").mapInArrow(centre, "y array<double>").select(array_to_vector("y").alias("y"))
     found = RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "y")).computeSVD(d, computeU=False)
     s, v = np.array(found.s.toArray()), found.V.toArray()
-    kept = min(components, int((s > _RANK * s[0]).sum()) if len(s) and s[0] > 0 else 0)
+    kept = min(components, int((s * s > d * _RANK * s[0] * s[0]).sum()) if len(s) and s[0] > 0 else 0)
     return v[:, :kept], s[:kept] ** 2 / n

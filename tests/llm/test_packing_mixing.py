@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -180,3 +180,10 @@ def test_mix_meets_its_targets_and_cuts_exactly(spark):
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r["taken"] for r in mixing.mix(spark.createDataFrame([(1, None, None, 0), (2, " ", "x", 0)], SCHEMA)).collect()} == {0}
+
+
+def test_copies_of_a_document_do_not_share_a_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    rows = packing.pack(docs.unionByName(docs), tokenizer_definition()).select("doc_id", "start", "sequence_id").collect()
+    windows = Counter((r["doc_id"], r["sequence_id"]) for r in rows if r["start"] == 0)
+    assert sum(windows.values()) == 2 * docs.count() and sum(n > 1 for n in windows.values()) <= 2

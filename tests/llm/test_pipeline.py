@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -101,6 +102,7 @@ def test_packing_takes_each_token_once(stages):
         want[r["doc_id"]] += len(own.encode(r["text"] or "", add_special_tokens=False).ids) + 1
     got, sequences = Counter(), defaultdict(list)
     for r in after:
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
         got[r["doc_id"]] += r["length"]
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     assert got == want
