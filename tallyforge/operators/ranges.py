@@ -25,3 +25,21 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str | Column], va
     return summed.select(
         *rows.columns, *[(F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"_b{i}")).cast("long" if kinds[v] in ("int", "bigint") else kinds[v]).alias(name) for i, (name, v) in enumerate(values.items())]
     )
+
+
+def carried(rows: DataFrame, keys: list[str], order: list[Column], value: str, name: str, largest: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the last ``value`` that is not null (or, if ``largest``, the greatest) of the group's rows before each.
+
+    As in :func:`running_sums` a group of any size lies in many ranges: what a range ends with is carried to those after
+    it, over one row a range. ``order`` must be total within a group for repeatable results.
+    """
+    take = F.max if largest else (lambda c: F.last(c, ignorenulls=True))
+    cut = stored(rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "carried", tidy=True)
+    within = Window.partitionBy("_range", *keys).orderBy(*order)
+    told = cut.withColumn("_within", take(value).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = cut.withColumn("_end", take(value).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_left", F.lead(F.lit(1)).over(within))
+    ends = ends.filter("_left IS NULL").select("_range", *keys, "_end")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_range", *keys, take("_end").over(earlier).alias("_before"))
+    both = F.greatest("_within", "_before") if largest else F.coalesce("_within", "_before")
+    return told.join(ends, ["_range", *keys]).select(*rows.columns, both.alias(name))

@@ -128,6 +128,15 @@ _NEAR = """WITH v AS (SELECT c_custkey AS voter, c_mktsegment AS choice, ((c_cus
   s AS (SELECT s_suppkey AS site, ((s_suppkey * 3571) % 18001) / 100 - 90 AS lat, ((s_suppkey * 15485863) % 36000) / 100 - 180 AS lon, 1000 + (s_suppkey % 97) * 5000 AS population FROM supplier),
   d AS (SELECT site, voter, choice, exposure, stake, population, 2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(s.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - v.lon) / 2), 2), 1))) AS km FROM v, s),
   near AS (SELECT site, voter, choice, km, floor(1000000 * (1 - km / 1500) * ((1 + exposure + stake) / 3) / (1 + log10(1 + population)))::BIGINT AS weight FROM d WHERE km <= 1500)"""
+_FILED = """WITH r AS (SELECT DISTINCT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at, domain_id, program_id FROM orders LEFT JOIN (
+  SELECT l_orderkey, (l_linenumber % 5)::INT AS domain_id, CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 25 END AS program_id FROM lineitem WHERE l_orderkey % 10 <> 3) ON l_orderkey = o_orderkey)"""
+_STATUS = """WITH moments AS (SELECT o_custkey AS proposal, o_orderdate AS at_, max(o_orderkey % 6)::INT AS place FROM orders GROUP BY 1, 2),
+  told AS (SELECT *, lag(place) OVER (PARTITION BY proposal ORDER BY at_) AS before FROM moments),
+  spans AS (SELECT proposal, ['draft', 'submitted', 'voting', 'passed', 'enacted', 'repealed'][place + 1] AS status, at_ AS since, lead(at_) OVER (PARTITION BY proposal ORDER BY at_) AS until FROM told WHERE before IS DISTINCT FROM place)"""
+_BOUNDED = f"""{SINGLE}, once AS (SELECT election_id, user_id::VARCHAR AS voter_id, min(choice) AS choice FROM ballots JOIN events ON event_id::VARCHAR = voter_id JOIN candidates USING (election_id) WHERE choice = candidate_id GROUP BY 1, 2),
+  kept AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY voter_id ORDER BY md5(voter_id || ':' || election_id), election_id) <= 3)"""
+_UNIFORM = "((('0x' || substr(md5('{}:not a secret here:' || election_id || ':' || candidate_id), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+
 ORACLES = {
     "plurality_counts": f"{_PLURALITY} SELECT election_id, candidate_id, votes FROM counts",
     "plurality_winner": f"""{_PLURALITY}, {_TOP}, heads AS (SELECT election_id, count(*)::BIGINT AS total_ballots, count(*) FILTER (choice IS NULL)::BIGINT AS abstentions FROM ballots GROUP BY 1)
@@ -263,4 +272,22 @@ ORACLES = {
     "median_choice": """WITH b AS (SELECT year(l_shipdate)::VARCHAR AS election_id, CASE WHEN l_orderkey % 13 <> 0 THEN round(l_extendedprice * (1 - l_discount), 2) END AS v, l_quantity::BIGINT AS w FROM lineitem),
       r AS (SELECT election_id, v, sum(w) OVER (PARTITION BY election_id ORDER BY v) AS upto, sum(w) OVER (PARTITION BY election_id) AS total FROM b WHERE v IS NOT NULL AND w > 0)
       SELECT election_id, min(v) FILTER (2 * upto >= total) AS median, any_value(total)::BIGINT AS total_weight FROM r GROUP BY 1""",
+    "proposal_facets": f"""{_FILED} SELECT domain_id, program_id, status, grouping(domain_id, program_id, status)::BIGINT AS level, count(DISTINCT id) AS n FROM r GROUP BY CUBE (domain_id, program_id, status)""",
+    "proposals_page": f"""{_FILED} SELECT DISTINCT id, status, created_at FROM r WHERE domain_id = 3 AND status = 'O' AND created_at < '1997-01-01' ORDER BY created_at DESC, id DESC LIMIT 50""",
+    "proposal_verifiability": """SELECT o_orderkey AS id, ((CASE WHEN n > 0 THEN 100 * filled // n ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 THEN 100 ELSE 0 END + CASE WHEN costed > 0 THEN 100 ELSE 0 END) // 3)::INT AS score
+      FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber % 2 = 0) AS filled, count(*) FILTER (l_quantity::INT >= 2) AS costed FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    "status_intervals": f"{_STATUS} SELECT proposal, status, since, until FROM spans",
+    "votes_by_status": f"""{_STATUS}, v AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_partkey END AS proposal, l_suppkey AS voter, l_shipdate AS at_ FROM lineitem)
+      SELECT v.proposal, status, count(*) AS votes, count(DISTINCT voter) AS voters FROM v LEFT JOIN spans s ON s.proposal = v.proposal AND s.since <= v.at_ AND (s.until > v.at_ OR s.until IS NULL) GROUP BY 1, 2""",
+    "policy_rates": """WITH o AS (SELECT o_custkey, min(o_orderdate) FILTER (o_orderkey % 6 = 1) AS s, min(o_orderdate) FILTER (o_orderkey % 6 = 3) AS p, min(o_orderdate) FILTER (o_orderkey % 6 = 4) AS e, max(o_orderdate) FILTER (o_orderkey % 6 = 5) AS r FROM orders GROUP BY 1),
+        c AS (SELECT year(s)::INT AS year, count(*) AS proposals, count(*) FILTER (p >= s) AS passed, count(*) FILTER (e >= s) AS enacted, count(*) FILTER (e >= s AND r > e) AS reversed, sum(date_diff('day', s::DATE, e::DATE)) FILTER (e >= s) AS days FROM o WHERE s IS NOT NULL GROUP BY 1)
+      SELECT year, proposals, passed, enacted, reversed, round(passed / proposals, 9) AS pass_through, CASE WHEN enacted > 0 THEN round(days / enacted, 9) END AS days_to_policy, CASE WHEN enacted > 0 THEN round(reversed / enacted, 9) END AS reversal_rate FROM c""",
+    "bounded_tally": f"{_BOUNDED} SELECT election_id, choice AS candidate_id, count(*) AS votes FROM kept GROUP BY 1, 2",
+    "private_tally": f"""{_BOUNDED}, n AS (SELECT election_id, candidate_id, (SELECT count(*) FROM kept k WHERE k.election_id = c.election_id AND choice = candidate_id) +
+        floor(ln({_UNIFORM.format("up")}) * -3.0)::BIGINT - floor(ln({_UNIFORM.format("down")}) * -3.0)::BIGINT AS n FROM candidates c) SELECT election_id, candidate_id, CASE WHEN n >= 5 THEN n END::BIGINT AS votes FROM n""",
+    "privacy_ledger": """SELECT o_custkey AS data, o_orderkey AS release, e AS epsilon, sum(e) OVER w AS spent, sum(e) OVER w <= 2 AS allowed FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE AS e FROM orders)
+      WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""",
+    "option_menu": """WITH o AS (SELECT p_brand AS brand, p_partkey AS id, floor(p_retailprice / 10)::BIGINT AS cost, p_size AS benefit FROM part),
+        f AS (SELECT *, NOT EXISTS (FROM o q WHERE q.brand = o.brand AND q.cost <= o.cost AND q.benefit >= o.benefit AND (q.cost < o.cost OR q.benefit > o.benefit)) AS on_frontier FROM o)
+      SELECT brand, id, cost, benefit, on_frontier FROM f WHERE on_frontier OR id = (SELECT min(id) FROM o q WHERE q.brand = f.brand)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
-from ..operators import changes, condorcet, delegation, elections, jurisdiction, median, proposals, tally
+from ..operators import changes, condorcet, delegation, elections, frontier, jurisdiction, lifecycle, listing, median, privacy, proposals, tally
 from ..operators.irv import instant_runoff, unknown_ids
 from ..sources import derive
 from ..sources.derive import table
@@ -321,6 +321,54 @@ def power_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(delegation.concentration(_power(spark, sf_dir).withColumn("power", F.col("own") + F.col("received"))))
 
 
+def proposal_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.facets(listing.listed(*derive.filed(spark, sf_dir)))
+
+
+def proposals_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 newest open proposals of a domain from before 1997."""
+    return listing.page(listing.listed(*derive.filed(spark, sf_dir)), 50, (F.lit("1997-01-01").cast("timestamp"), 0), domain_id=3, status="O")
+
+
+def proposal_verifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = _forms(spark, sf_dir).withColumn("scope_geojson", F.when(F.col("id") % 3 != 0, F.col("scope_geojson")).otherwise("  "))
+    return forms.select("id", listing.verifiability(F.col("metrics"), F.col("scope_geojson"), F.col("budget_items")).alias("score"))
+
+
+def policy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(lifecycle.rates(derive.histories(spark, sf_dir)))
+
+
+def _event_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each week an election; an event is a ballot of its user, who has many in most weeks."""
+    ballots, candidates = derive.single_choice(spark, sf_dir)
+    users = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("voter_id"), F.col("user_id").cast("string").alias("user"))
+    ballots = ballots.join(users, "voter_id").select("election_id", F.col("user").alias("voter_id"), "choice")
+    return ballots.join(candidates.select("election_id", F.col("candidate_id").alias("choice")), ["election_id", "choice"]), candidates
+
+
+def bounded_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = privacy.bounded(_event_votes(spark, sf_dir)[0], 3)
+    return kept.groupBy("election_id", F.col("choice").alias("candidate_id")).agg(F.count("*").alias("votes"))
+
+
+def private_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.private_tally(*_event_votes(spark, sf_dir), epsilon=1.0, most=3, seed="not a secret here", least=5)
+
+
+def privacy_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as releases of that customer's data, a quarter of the budget of 2 or half of one each."""
+    releases = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("data"), F.col("o_orderkey").alias("release"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, 0.5).otherwise(0.25).alias("epsilon"))
+    return privacy.spent(releases, 2.0).drop("at")
+
+
+def option_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each brand the options on the frontier of cost and size, and the first part as the status quo."""
+    rows = derive.options(spark, sf_dir)
+    first = rows.groupBy("brand").agg(F.min_by(F.struct("id", "cost", "benefit"), "id").alias("o")).select("brand", "o.*")
+    return frontier.menu(rows, ["brand"], first)
+
+
 def queries() -> dict[str, Query]:
     return {
         "plurality_counts": _tallied(derive.single_choice, tally.plurality, "counts"),
@@ -393,6 +441,16 @@ def queries() -> dict[str, Query]:
         "jurisdiction_weights": jurisdiction_weights,
         "jurisdiction_tally": jurisdiction_tally,
         "median_choice": median_choice,
+        "proposal_facets": proposal_facets,
+        "proposals_page": proposals_page,
+        "proposal_verifiability": proposal_verifiability,
+        "status_intervals": lambda spark, sf_dir: lifecycle.intervals(derive.histories(spark, sf_dir)),
+        "votes_by_status": lambda spark, sf_dir: lifecycle.turnout(derive.proposal_votes(spark, sf_dir), derive.histories(spark, sf_dir)),
+        "policy_rates": policy_rates,
+        "bounded_tally": bounded_tally,
+        "private_tally": private_tally,
+        "privacy_ledger": privacy_ledger,
+        "option_menu": option_menu,
     }
 
 

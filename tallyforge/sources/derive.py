@@ -106,3 +106,28 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ballots along a line: a line item's discounted price for its ship mode's year, weighed by its quantity; some name none."""
     price = F.when(F.col("l_orderkey") % 13 != 0, F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))
     return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("string").alias("election_id"), price.alias("value"), F.col("l_quantity").cast("long").alias("weight"))
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status changes (proposal, at, status): the orders of a customer, one of six statuses by the order's number."""
+    status = F.element_at(F.array(*[F.lit(s) for s in ("draft", "submitted", "voting", "passed", "enacted", "repealed")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("proposal"), F.col("o_orderdate").alias("at"), status.alias("status"))
+
+
+def proposal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes (proposal, voter, at): line items; a third of all are on one proposal."""
+    proposal = F.when(F.col("l_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("l_partkey"))
+    return table(spark, sf_dir, "lineitem").select(proposal.alias("proposal"), F.col("l_suppkey").alias("voter"), F.col("l_shipdate").alias("at"))
+
+
+def filed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Proposals (id, status, created_at) and topics (proposal_id, domain_id, program_id): orders and their lines; some have no topic."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    number = F.col("l_linenumber")
+    topics = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 <> 3").select(F.col("l_orderkey").alias("proposal_id"), (number % 5).alias("domain_id"), F.when(number % 3 != 0, F.col("l_suppkey") % 25).alias("program_id"))
+    return orders, topics
+
+
+def options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options (brand, id, cost, benefit): parts by their price, in tens, and size."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.floor(F.col("p_retailprice") / 10).alias("cost"), F.col("p_size").alias("benefit"))
