@@ -63,10 +63,13 @@ def resolved(delegations: DataFrame, hub: int = HUB) -> DataFrame:
     open_ = stored(delegations.select("topic", "voter", F.col("delegate").alias("at"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("ended")), "delegations", tidy=True)
     ended: list[DataFrame] = []
     steps, every = 1, open_.count()
+    pointed = lambda rows: rows.select("topic", "at").distinct().count()
     while steps <= every and not open_.isEmpty():  # after more steps than there are delegations what is open runs in a cycle
         now = stored(_round(open_, reduce(DataFrame.unionByName, [open_, *ended]), hub), "delegations", tidy=True)
         ended.append(now.filter("ended"))
-        open_, steps = now.filter(~F.col("ended")), 2 * steps
+        before, open_, steps = open_, now.filter(~F.col("ended")), 2 * steps
+        if ended[-1].isEmpty() and pointed(before) == pointed(open_):
+            break
     on = open_.select("topic", F.col("at").alias("voter")).distinct().withColumn("on", F.lit(True))
     looped = open_.join(on, ["topic", "voter"], "left")
     none, yes = F.lit(None), F.lit(True)

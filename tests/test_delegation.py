@@ -143,3 +143,19 @@ def test_running_sums_over_many_ranges(spark):
         want[i] = seen[k]
         seen[k] += v
     assert got == want
+
+
+def test_long_ways_into_cycles_and_random_graphs(spark):
+    rng = random.Random(6)
+    graphs = {"way": {**{i: i + 1 for i in range(70)}, 70: 68, 200: 30}, "ring": {i: (i + 1) % 33 for i in range(33)}, "chain": {i: i + 1 for i in range(40)}}
+    graphs |= {f"r{k}": {i: d for i in range(60) if (d := rng.randrange(70)) != i and rng.random() < 0.9} for k in range(12)}
+    rows = [(t, v, d) for t, g in graphs.items() for v, d in g.items()]
+    frame = spark.createDataFrame(rows, "topic string, voter long, delegate long")
+    got = {(r["topic"], r["voter"]): (r["final"], r["depth"], r["in_cycle"], r["to_cycle"]) for r in delegation.resolved(frame).collect()}
+    for (topic, voter), told in got.items():
+        g, at, seen = graphs[topic], voter, []
+        while at in g and at not in seen:
+            seen.append(at)
+            at = g[at]
+        assert told == ((None, None, at == voter or at in seen and seen.index(at) == 0, True) if at in seen else (at, len(seen), False, False))
+    assert len(got) == len(rows)
