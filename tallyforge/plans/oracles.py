@@ -207,7 +207,7 @@ ORACLES = {
         CASE WHEN ballot_type = 'score' AND min_score >= 10 THEN 'Score minimum must be less than score maximum.' END,
         CASE WHEN ballot_type = 'quadratic' AND credit_budget <= 0 THEN 'Quadratic credit budget must be a positive integer.' END,
         CASE WHEN ballot_type = 'plurality' THEN 'Unknown ballot type: plurality.' END], lambda x: x IS NOT NULL), ' ') AS errors FROM set_ups""",
-    "ballot_type_catalogue": """SELECT * FROM (VALUES ('single_choice', 'Single Choice', 'Each voter may pick exactly one candidate or abstain.'), ('approval', 'Approval', 'Each voter may approve zero or more candidates.'),
+    "ballot_type_catalogue": f"""{_SET_UPS} SELECT *, (SELECT count(*) FROM set_ups s WHERE s.ballot_type = t.ballot_type) AS elections FROM (VALUES ('single_choice', 'Single Choice', 'Each voter may pick exactly one candidate or abstain.'), ('approval', 'Approval', 'Each voter may approve zero or more candidates.'),
       ('ranked_choice', 'Ranked Choice', 'Each voter submits a strict, full ranking of all candidates.'), ('score', 'Score', 'Each voter assigns integer scores to candidates on a fixed range.'),
       ('quadratic', 'Quadratic', 'Each voter allocates votes under a quadratic credit budget.')) t(ballot_type, label, description)""",
     "approval_counts": f"""{APPROVAL} SELECT voter_id, len(approvals)::INT AS n FROM ballots""",

@@ -262,6 +262,12 @@ def election_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elections.payload(_set_ups(spark, sf_dir)).select("r_name", "ballot_type", "payload")
 
 
+def ballot_type_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's ballot types, and how many elections of each are set up; types it does not know are left out."""
+    counts = _set_ups(spark, sf_dir).groupBy("ballot_type").agg(F.count("*").alias("elections"))
+    return elections.ballot_types(spark).join(counts, "ballot_type", "left").withColumn("elections", F.coalesce("elections", F.lit(0)).cast("long"))
+
+
 def delegation_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delegation.resolved(delegation.latest(derive.delegations(spark, sf_dir)))
 
@@ -408,7 +414,7 @@ def queries() -> dict[str, Query]:
         "candidate_list_parse": lambda spark, sf_dir: table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(elections.candidate_list("text"), "|").alias("candidates")),
         "election_payload": election_payload,
         "election_configuration": election_configuration,
-        "ballot_type_catalogue": lambda spark, sf_dir: elections.ballot_types(spark),
+        "ballot_type_catalogue": ballot_type_catalogue,
         "approval_counts": _ballots(derive.approval, lambda b: b.select("election_id", *B.approval("voter_id", "approvals")).select("voter_id", B.approval_count().alias("n"))),
         "single_choices": _ballots(derive.single_choice, lambda b: b.select("election_id", *B.single_choice("voter_id", "choice"))),
         "quadratic_votes_for": _ballots(derive.quadratic, lambda b: b.select("voter_id", B.votes_for("allocations", F.lit("error")).alias("votes"), B.cost_of_votes(B.votes_for("allocations", F.lit("error"))).alias("cost"))),
