@@ -290,4 +290,17 @@ ORACLES = {
     "option_menu": """WITH o AS (SELECT p_brand AS brand, p_partkey AS id, floor(p_retailprice / 10)::BIGINT AS cost, p_size AS benefit FROM part),
         f AS (SELECT *, NOT EXISTS (FROM o q WHERE q.brand = o.brand AND q.cost <= o.cost AND q.benefit >= o.benefit AND (q.cost < o.cost OR q.benefit > o.benefit)) AS on_frontier FROM o)
       SELECT brand, id, cost, benefit, on_frontier FROM f WHERE on_frontier OR id = (SELECT min(id) FROM o q WHERE q.brand = f.brand)""",
+    "proposal_rules": """WITH l AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber = 1) AS one, count(*) FILTER (l_linenumber = 2) AS two, count(*) FILTER (l_quantity::INT - 2 < 0) AS bad FROM lineitem GROUP BY 1),
+        f AS (SELECT o_orderkey AS k, coalesce(n, 0) AS n, coalesce(one, 0) AS one, coalesce(two, 0) AS two, coalesce(bad, 0) AS bad FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+      SELECT k AS id, array_to_string(list_filter([CASE WHEN k % 70 NOT BETWEEN 1 AND 60 THEN 'title_length' END, CASE WHEN k % 300 NOT BETWEEN 1 AND 280 THEN 'summary_length' END, CASE WHEN k % 17 IN (0, 16) THEN 'problem_length' END,
+        CASE WHEN n NOT BETWEEN 3 AND 7 THEN 'actions_count' END, CASE WHEN one > 0 AND k % 6 = 0 THEN 'action_text' END, CASE WHEN n < 1 THEN 'metrics_count' END, CASE WHEN two > 0 AND k % 7 BETWEEN 1 AND 5 THEN 'metric_fields' END,
+        CASE WHEN k % 13 = 0 THEN 'population_positive' END, CASE WHEN k % 8 = 0 THEN 'topics_count' END, CASE WHEN k % 8 IN (1, 2, 3) THEN 'topic_ids' END, CASE WHEN n < 1 THEN 'budget_items_count' END,
+        CASE WHEN bad > 0 OR (one > 0 AND k % 12 IN (1, 2, 3, 4)) THEN 'budget_item_fields' END, CASE WHEN k % 9 = 4 THEN 'needs_new_authority' END, CASE WHEN k % 10 IN (3, 4) THEN 'retention_positive' END,
+        CASE WHEN k % 11 IN (0, 1) THEN 'author_id' END], lambda x: x IS NOT NULL), ',') AS errors FROM f""",
+    "similar_proposals": """WITH RECURSIVE d AS (SELECT vec_id, draft, embedding FROM embeddings, range(5) r(draft) WHERE draft < 3 OR (draft = 3 AND vec_id % 10 = 0) OR (draft = 4 AND vec_id % 25 = 0)),
+        v AS MATERIALIZED (SELECT vec_id * 5 + draft AS id, list_transform(embedding, lambda x, i: (CASE WHEN draft = 4 THEN 0 ELSE floor(x::DOUBLE * 1000)::BIGINT + CASE WHEN draft < 3 THEN draft * 15 * ((vec_id * 31 + draft * 17 + i * 7 + vec_id % 3 * (i - 1)) % 5 - 2) ELSE 0 END END)::DOUBLE) AS x FROM d),
+        n AS MATERIALIZED (SELECT id, x, list_dot_product(x, x) AS s FROM v),
+        e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND a.s > 0 AND b.s > 0 AND list_dot_product(a.x, b.x) >= 0.95::DOUBLE * sqrt(a.s * b.s)),
+        r(id, near) AS (SELECT id, id FROM v UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.near)
+      SELECT id, min(near) AS group_id, id = min(near) AS kept FROM r GROUP BY id""",
 }

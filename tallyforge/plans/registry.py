@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ballots as B
-from ..operators import changes, condorcet, delegation, elections, frontier, jurisdiction, lifecycle, listing, median, privacy, proposals, tally
+from ..operators import changes, condorcet, delegation, elections, frontier, jurisdiction, lifecycle, listing, median, privacy, proposals, similar, tally
 from ..operators.irv import instant_runoff, unknown_ids
 from ..sources import derive
 from ..sources.derive import table
@@ -140,6 +140,31 @@ def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposals.form_errors(_forms(spark, sf_dir)).select("id", F.array_join("errors", ",").alias("errors"))
 
 
+def proposal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of which some break each part of each rule."""
+    key = F.col("id")
+    forms = _forms(spark, sf_dir)
+
+    def spoilt(entries: str, field: str, at: str, when: Column, value) -> Column:
+        """The list with one field of the entry named ``at`` replaced on some forms."""
+        name = {"actions": "text", "metrics": "name", "budget_items": "item_name"}[entries]
+        return F.transform(entries, lambda x: F.when(when & (x[name] == at), x.withField(field, F.lit(value))).otherwise(x))
+
+    for entries, field, at, when, value in [
+        ("actions", "text", "1", key % 6 == 0, ""),
+        *[("metrics", f, "2", key % 7 == i + 1, "") for i, f in enumerate(("unit", "baseline_val", "target_val", "deadline", "name"))],
+        ("budget_items", "annual_usd", "1", key % 12 == 1, -1), ("budget_items", "confidence", "1", key % 12 == 2, 1.5), ("budget_items", "confidence", "1", key % 12 == 3, None), ("budget_items", "item_name", "1", key % 12 == 4, ""),
+    ]:
+        forms = forms.withColumn(entries, spoilt(entries, field, at, when, value))
+    topic = lambda t: F.when(key % 8 == 1, t.withField("domain_id", F.lit("x"))).when(key % 8 == 2, t.withField("program_id", F.lit("p"))).when(key % 8 == 3, t.withField("is_primary", F.lit(None).cast("boolean"))).otherwise(t)
+    forms = forms.withColumns({
+        "topics": F.when(key % 8 != 0, F.transform("topics", topic)), "summary": F.repeat(F.lit("s"), (key % 300).cast("int")), "problem_plain": F.repeat(F.lit("p"), (key % 17 * 100).cast("int")),
+        "needs_new_authority": F.when(key % 9 != 4, F.lit(True)), "retention_days": F.when(key % 10 == 3, 0).when(key % 10 == 4, -5).when(key % 10 != 5, 30),
+        "population_estimate": F.when(key % 13 == 0, -1).when(key % 13 != 1, 100), "author_id": F.when(key % 11 != 1, F.col("author_id")),
+    })
+    return proposals.form_errors(forms).select("id", F.array_join("errors", ",").alias("errors"))
+
+
 def _form_rows(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = proposals.form_rows(_forms(spark, sf_dir))[name]
@@ -375,6 +400,10 @@ def option_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.menu(rows, ["brand"], first)
 
 
+def similar_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_groups(derive.draft_vectors(spark, sf_dir), threshold=0.95)
+
+
 def queries() -> dict[str, Query]:
     return {
         "plurality_counts": _tallied(derive.single_choice, tally.plurality, "counts"),
@@ -457,6 +486,8 @@ def queries() -> dict[str, Query]:
         "private_tally": private_tally,
         "privacy_ledger": privacy_ledger,
         "option_menu": option_menu,
+        "proposal_rules": proposal_rules,
+        "similar_proposals": similar_proposals,
     }
 
 

@@ -131,3 +131,12 @@ def filed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options (brand, id, cost, benefit): parts by their price, in tens, and size."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.floor(F.col("p_retailprice") / 10).alias("cost"), F.col("p_size").alias("benefit"))
+
+
+def draft_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of proposals and their drafts (id, vector), in whole numbers: two reworded ones, a copy of every tenth, a zero one of every 25th."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("draft"), F.col("embedding").alias("e"))
+    rows = rows.filter("draft < 3 OR draft = 3 AND vec_id % 10 = 0 OR draft = 4 AND vec_id % 25 = 0")
+    moved = lambda x, i: F.floor(x * 1000) + F.when(F.col("draft") < 3, F.col("draft") * 15 * ((F.col("vec_id") * 31 + F.col("draft") * 17 + (i + 1) * 7 + F.col("vec_id") % 3 * i) % 5 - 2)).otherwise(0)
+    vector = F.transform("e", lambda x, i: F.when(F.col("draft") < 4, moved(x, i)).otherwise(0).cast("double"))
+    return rows.select((F.col("vec_id") * 5 + F.col("draft")).alias("id"), vector.alias("vector"))
