@@ -147,6 +147,21 @@ def test_sites_meet_their_voters_at_poles_and_the_date_line(spark):
         jurisdiction.within(v, s, 0)
 
 
+def test_choices_are_summed_where_pairs_are_made(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jurisdiction, "CROWD", 7)
+    v = spark.createDataFrame([(i, float(rng.normal(48, 3)), float(rng.normal(2, 3)), 0.1 * (i % 9), None if i % 5 == 0 else 0.5, None if i % 11 == 0 else "abc"[i % 3]) for i in range(200)], "voter long, lat double, lon double, exposure double, stake double, choice string")
+    s = spark.createDataFrame([(i, float(rng.uniform(40, 90)), float(rng.uniform(-20, 20)), None if i == 3 else 100 * i) for i in range(30)] + [(99, -50.0, 2.0, 10)], "site long, lat double, lon double, population long")
+    pairs = v.join(s.select("site", F.col("lat").alias("y"), F.col("lon").alias("x"), "population")).withColumn("d", jurisdiction.distance_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")))
+    pairs = pairs.withColumn("w", jurisdiction.weight(F.col("d"), F.col("exposure"), F.col("stake"), F.col("population"), 900.0)).filter("w > 0")
+    assert {tuple(r) for r in pairs.select("site", "voter", "d", "w").collect()} == {tuple(r) for r in jurisdiction.weighted_voters(v, s, 900.0).collect()}
+    want = {tuple(r) for r in pairs.groupBy("site", "choice").agg(F.sum("w")).collect()}
+    summed = jurisdiction.weighted_choices(v, s, 900.0)
+    assert {tuple(r) for r in summed.collect()} == want and len(want) > 30
+    plan = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ASIN") == 2  # of a site's circle, and one distance for a pair
+
+
 def test_medians_of_skewed_elections(spark):
     rng = np.random.default_rng(4)
     rows = [("hot", float(x), int(w)) for x, w in zip(rng.lognormal(0, 3, 4000).round(3), rng.integers(1, 9, 4000), strict=True)]
