@@ -6,6 +6,8 @@ a power of two, and a text is looked at through windows of one and a half times
 of a quarter. For each class the number of bands of two minima is the least at which a window that
 holds ``PERCENT`` of a template's shingles shares a band with it but for a chance of ``MISS``; the windows overlap, so an
 occurrence has several. A document and a template that share a band are compared exactly over all of its windows.
+Minima are only taken of stretches that hold a shingle of some template: where there is none, no band of a window is a
+template's but by a collision of hashes, which the comparison would turn down.
 """
 
 from __future__ import annotations
@@ -126,6 +128,14 @@ class Index:
             self.keys[c.most], self.owners[c.most] = keys[order], owners[order]
             self.filters[c.most] = np.zeros(1 << _FILTER_BITS, dtype=bool)
             self.filters[c.most][keys >> _U32(32 - _FILTER_BITS)] = True
+        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, _U64)
+        self.known = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.known[self.all >> _U64(64 - _FILTER_BITS)] = True
+
+    def held(self, shingles: np.ndarray) -> np.ndarray:
+        """Where the shingles are those of a template."""
+        at = np.flatnonzero(self.known[shingles >> _U64(64 - _FILTER_BITS)])
+        return at[self.all[np.minimum(np.searchsorted(self.all, shingles[at]), len(self.all) - 1)] == shingles[at]]
 
     def hashed(self, shingles: np.ndarray) -> np.ndarray:
         """A row of hashes for each shingle."""
@@ -143,7 +153,10 @@ class Index:
         at, found = [], []
         last = self.classes[-1].width if self.classes else 0
         strip = max(STRIP, self.classes[-1].step) if self.classes else STRIP
+        held = self.held(shingles)
         for a in range(0, len(shingles), strip):
+            if np.searchsorted(held, a) == np.searchsorted(held, a + strip + last):
+                continue
             minima, step = self.hashed(shingles[a : a + strip + last]), 1
             for c in self.classes:
                 while step < c.step:
@@ -225,16 +238,17 @@ def _scan(docs: DataFrame, blocks: list[list[tuple[str, str]]], percent: int) ->
             rows: list[tuple] = []
             for first, end, data, offsets in _text.chunks(batch.column("text")):
                 found, bounds = _shingles(data, offsets)
-                # rows start at multiples of the longest step; what fills the gaps is the row's last shingle again
-                size = np.diff(bounds)
-                places = np.append(0, np.cumsum(-(-size // grain) * grain))
-                if not places[-1]:
+                # rows that hold a shingle of a template start at multiples of the longest step; what fills the gaps is the row's last shingle again
+                some = np.unique(np.concatenate([np.searchsorted(bounds, index.held(found), side="right") - 1 for index in indexes]))
+                if not len(some):
                     continue
-                spread = np.repeat(np.arange(len(size)), np.diff(places))
-                spread = found[np.minimum(bounds[spread] + np.arange(places[-1]) - places[spread], bounds[spread + 1] - 1)]
+                size = np.diff(bounds)[some]
+                places = np.append(0, np.cumsum(-(-size // grain) * grain))
+                row = np.repeat(np.arange(len(some)), np.diff(places))
+                spread = found[np.minimum(bounds[some][row] + np.arange(places[-1]) - places[row], bounds[some + 1][row] - 1)]
                 for index in indexes:
                     at, template = index.candidates(spread)
-                    row = np.searchsorted(places, at, side="right") - 1
+                    row = some[np.searchsorted(places, at, side="right") - 1]
                     # a window may begin in a row's last step and reach into the next rows: those begin windows of their own
                     for r, t in np.unique(np.stack((row, template), axis=1), axis=0).tolist():
                         match = index.verified(found[bounds[r] : bounds[r + 1]], t)

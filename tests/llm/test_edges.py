@@ -253,6 +253,26 @@ def test_templates_are_read_from_a_table_in_blocks(spark, tmp_path, monkeypatch)
         license_scan.templates_from(spark, f"{tmp_path}/t")
 
 
+def test_minima_are_only_taken_where_a_template_may_be(spark, monkeypatch):
+    index = license_scan.Index(list(license_scan.TEMPLATES.items()))
+    taken = []
+    hashed = license_scan.Index.hashed
+    monkeypatch.setattr(license_scan.Index, "hashed", lambda self, shingles: taken.append(len(shingles)) or hashed(self, shingles))
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    text = " ".join(rng.choice(words, 40_000))
+    own = " ".join(license_scan.TEMPLATES["zlib-whole"].split()[:-3])
+    for before, after in (("", text), (text, ""), (text, text)):
+        raw = np.frombuffer(f"{before} {own} {after}".encode(), dtype=np.uint8)
+        found, _ = license_scan._shingles(raw, np.array([0, len(raw)]))
+        taken.clear()
+        _, template = index.candidates(found)
+        assert index.names.index("zlib-whole") in template and 0 < sum(taken) < 10_000
+    taken.clear()
+    at, template = index.candidates(license_scan._shingles(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]))[0])
+    assert not len(at) and not len(template) and not taken
+
+
 def test_whole_licences_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(license_scan.TEMPLATES.values())), "doc_id long, text string")
     found = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
