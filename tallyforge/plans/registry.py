@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import ballots as B
 from ..operators import changes, condorcet, delegation, elections, frontier, jurisdiction, lifecycle, listing, median, privacy, proposals, similar, tally
 from ..operators.irv import instant_runoff, unknown_ids
+from ..operators.spread import spread
 from ..sources import derive
 from ..sources.derive import table
 from ..sources.scratch import stored
@@ -115,20 +116,21 @@ def _uuid_of(key: Column) -> Column:
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as proposal forms whose actions, metrics and budget items are their lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
-    text = F.col("l_linenumber").cast("string")
-    metric = F.struct(
-        text.alias("name"), F.lit("count").alias("unit"), text.alias("baseline_val"), F.when(F.col("l_linenumber") % 2 == 0, 2000 + F.col("l_linenumber")).alias("baseline_year"),
-        F.concat(F.lit("census "), text).alias("baseline_source"), text.alias("target_val"), F.lit("2030-01-01").alias("deadline"),
+    # a line is gathered as its two numbers; its texts are made of the list
+    n = lines.count()
+    lists = spread(lines, n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))).alias("l"))
+    text = lambda x: x["l_linenumber"].cast("string")
+    metric = lambda x: F.struct(
+        text(x).alias("name"), F.lit("count").alias("unit"), text(x).alias("baseline_val"), F.when(x["l_linenumber"] % 2 == 0, 2000 + x["l_linenumber"]).alias("baseline_year"),
+        F.concat(F.lit("census "), text(x)).alias("baseline_source"), text(x).alias("target_val"), F.lit("2030-01-01").alias("deadline"),
     )
-    item = F.struct(text.alias("item_name"), (F.col("q") - 2).alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence"))
-    entry = F.struct("l_linenumber", F.struct(text.alias("text")).alias("action"), metric.alias("metric"), item.alias("item"))
-    lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    item = lambda x: F.struct(text(x).alias("item_name"), (x["q"] - 2).alias("one_time_usd"), F.lit(0).alias("annual_usd"), F.lit(0.5).alias("confidence"))
     key = F.col("o_orderkey")
     note = lambda name: F.concat(F.lit(f"{name} "), (key % 7).cast("string")).alias(name)
     topics = F.array(*[F.struct(_uuid_of(key + i).alias("domain_id"), (F.lit(None).cast("string") if i else _uuid_of(key * 2)).alias("program_id"), F.lit(i == 0).alias("is_primary")) for i in range(2)])
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(lists, key == F.col("l_orderkey"), "left").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), n, "o_orderkey").join(lists, key == F.col("l_orderkey"), "left").select(
         key.alias("id"), F.repeat(F.lit("x"), (key % 70).cast("int")).alias("title"), F.lit("summary").alias("summary"), F.lit("problem").alias("problem_plain"),
-        F.transform("l", lambda x: x["action"]).alias("actions"), F.transform("l", lambda x: x["metric"]).alias("metrics"), F.transform("l", lambda x: x["item"]).alias("budget_items"), topics.alias("topics"),
+        F.transform("l", lambda x: F.struct(text(x).alias("text"))).alias("actions"), F.transform("l", metric).alias("metrics"), F.transform("l", item).alias("budget_items"), topics.alias("topics"),
         *[note(c) for c in ("implementing_org", "scope_geojson", "population_source", "funding_notes", "legal_citation", "equity_beneficiaries", "equity_cost_bearers")],
         *[note(c) for c in ("safeguards_rollback_trigger", "safeguards_rollback_steps", "privacy_notes")],
         F.when(key % 4 == 0, "").when(key % 4 == 1, "2031-05-01").alias("sunset_date"),

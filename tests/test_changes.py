@@ -123,3 +123,16 @@ def test_stored_tables_can_be_released(spark):
     assert kept.count() == 3
     path = scratch.scratch_path(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and spark.conf.get("spark.app.id") in path
+
+
+def test_forms_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    from tallyforge.operators import spread
+    from tallyforge.plans import registry
+
+    spark.range(400).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1200).selectExpr("id % 300 AS l_orderkey", "int(id div 300) AS l_linenumber", "double(id % 50) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(spread, "ROWS_AT_ONCE", 100)
+    rows = registry.queries()["form_rows_proposal_action"](spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 12 and rows.count() == 1200
+    listed = rows.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("l"))
+    assert {tuple(map(tuple, r["l"])) for r in listed.collect()} == {((1, "0"), (2, "1"), (3, "2"), (4, "3"))}
