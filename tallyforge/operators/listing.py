@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .spread import spread
+
 #: What a metric needs to count as filled in.
 METRIC_PARTS = ("name", "unit", "baseline_val", "baseline_year", "baseline_source", "target_val", "deadline")
 
 
 def listed(proposals: DataFrame, topics: DataFrame) -> DataFrame:
     """(id, status, created_at, domain_id, program_id): a row for each topic of a proposal, one with nulls if it has none."""
-    on = topics.select(F.col("proposal_id").alias("id"), "domain_id", "program_id").distinct()
-    return proposals.select("id", "status", "created_at").join(on, "id", "left")
+    number = topics.count()
+    on = spread(topics.select(F.col("proposal_id").alias("id"), "domain_id", "program_id"), number, "id").distinct()
+    return spread(proposals.select("id", "status", "created_at"), number, "id").join(on, "id", "left")
 
 
 def facets(rows: DataFrame) -> DataFrame:
     """(domain_id, program_id, status, level, n): how many proposals every combination of filters leaves, in one pass.
 
     A filter that is not set is null; ``level`` has a bit for each (4 domain, 2 program, 1 status), so that it differs
-    from topics without a program. A proposal of several topics counts once in each number. Counts are of pairs of a
-    combination and a proposal that are deduplicated before the shuffle and after it, so that no combination is held.
+    from topics without a program. A proposal of several topics counts once in each number. The rows of a proposal meet
+    once, in as many tasks as their number asks for, and its combinations are told apart there, so that only partial
+    counts move afterwards. Null ids count nowhere.
     """
-    return rows.cube("domain_id", "program_id", "status").agg(F.grouping_id().cast("long").alias("level"), F.count_distinct("id").alias("n"))
+    filters, kinds = ["domain_id", "program_id", "status"], dict(rows.dtypes)
+    left = lambda level: [F.lit(None).cast(kinds[c]).alias(c) if level >> (2 - i) & 1 else F.col(c) for i, c in enumerate(filters)]
+    every = F.explode(F.array(*[F.struct(*left(level), F.lit(level).cast("long").alias("level")) for level in range(8)])).alias("c")
+    met = spread(rows.select("id", *filters), 8 * rows.count(), "id")
+    return met.select("id", every).select("id", "c.*").distinct().groupBy(*filters, "level").agg(F.count("id").alias("n"))
 
 
 def page(rows: DataFrame, size: int, after: tuple | None = None, domain_id=None, program_id=None, status=None) -> DataFrame:

@@ -11,5 +11,8 @@ ROWS_AT_ONCE = 400_000
 
 
 def spread(rows: DataFrame, number: int, *keys: str) -> DataFrame:
-    """``rows`` by ``keys`` over as many tasks as ``number`` rows ask for; Spark's own number of shuffle partitions at least."""
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(number / ROWS_AT_ONCE)), *keys)
+    """``rows`` by ``keys`` over as many tasks as ``number`` rows ask for, and more than Spark's own number of shuffle partitions.
+
+    Spark would leave out a shuffle into as many partitions as the one before, and then put partitions together by their bytes.
+    """
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, math.ceil(number / ROWS_AT_ONCE)), *keys)

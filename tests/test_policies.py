@@ -128,6 +128,19 @@ def test_frontiers_equal_all_pairs(spark, parts):
     assert ("g", 9001, False) in menu and {m for m in menu if m[0] == "h"} == {("h", 9002, True)}
 
 
+def test_facets_tell_proposals_apart_where_they_meet(spark, monkeypatch):
+    from tallyforge.operators import spread
+
+    monkeypatch.setattr(spread, "ROWS_AT_ONCE", 500)
+    cells = [(None if i % 41 == 0 else i % 97, None if i % 5 == 0 else i % 7, None if i % 3 == 0 else i % 4, "abc"[i % 3] if i % 13 else None) for i in range(600)]
+    rows = spark.createDataFrame(cells, "id long, domain_id int, program_id long, status string")
+    found = listing.facets(rows)
+    want = rows.cube("domain_id", "program_id", "status").agg(F.grouping_id().cast("long").alias("level"), F.count_distinct("id").alias("n"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(id#" in plan and ", 10), REPARTITION_BY_NUM" in plan
+
+
 def test_sites_meet_their_voters_at_poles_and_the_date_line(spark):
     rng = np.random.default_rng(2)
     place = lambda n, start: [(start + i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), strict=True))]
