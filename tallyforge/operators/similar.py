@@ -15,6 +15,9 @@ from .graph import components
 THRESHOLD = 0.95
 #: The chance that a pair right at the threshold shares no bucket; pairs nearer than that are missed less often.
 MISS = 1e-4
+#: Hyperplanes of a key beyond the logarithm of the number of vectors: a vector then shares a bucket by chance in one of so
+#: many bands, as a power of two. Each asks for some more bands, but what only chance brings together moves most often.
+SPARE_BITS = 4
 #: A key with more rows than this is spread over several tasks; at most MAX_HUBS keys are, so that they can be sent to all.
 HUB = 50_000
 MAX_HUBS = 20_000
@@ -63,10 +66,14 @@ def _keys(bits: int, bands: int, seed: int):
     return run
 
 
-def _joined(rows: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``other``, which has ``on`` at most once; keys that very many rows have are spread over tasks."""
+def _joined(rows: DataFrame, other: DataFrame, on: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``other``, which has ``on`` at most once; keys that very many rows have are spread over tasks.
+
+    ``sizes`` (``on``, n), if it is known how many rows each key has, saves counting them once more.
+    """
     size = max(HUB, math.ceil(rows.count() / MAX_HUBS))
-    hubs = F.broadcast(rows.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > size).select(on, F.ceil(F.col("_n") / size).cast("int").alias("_salts")))
+    counts = rows.groupBy(on).agg(F.count("*").alias("_n")) if sizes is None else sizes.select(on, F.col("n").alias("_n"))
+    hubs = F.broadcast(counts.filter(F.col("_n") > size).select(on, F.ceil(F.col("_n") / size).cast("int").alias("_salts")))
     zero = F.lit(0).cast("long")
     left = rows.join(hubs, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")), zero)).drop("_salts")
     right = other.join(hubs, on, "left").withColumn("_salt", F.explode(F.sequence(zero, F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("long")))).drop("_salts")
@@ -90,7 +97,7 @@ def similar_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float
 
     Two are linked if their cosine is at least ``threshold``, which the full vectors decide; vectors of different lengths
     never are. Equal vectors are put together first. Candidates share all ``bits`` (about the logarithm of the number of
-    different vectors) in one of as many bands as the threshold and ``miss`` ask for. In a bucket all are compared with
+    different vectors, and some more) in one of as many bands as the threshold and ``miss`` ask for. In a bucket all are compared with
     its smallest id; once the links found so are groups, whoever is not of the bucket's largest group is compared with
     those of other groups, a block of rows at a time. So a large group of near copies takes time linear in its size, and
     no pair of a bucket is left out that could join two groups.
@@ -111,13 +118,13 @@ def similar_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float
     members = stored(salted.join(parts.select("v", "_salt").join(reps.hint("merge"), "v").hint("merge"), ["v", "_salt"]).select("id", "rep"), "similar-members", tidy=True)
     texts = stored(reps.select("rep", "v", dot("v", "v").alias("square")), "similar-vectors", tidy=True)
 
-    bits = bits or max(8, min(60, math.ceil(math.log2(max(2, texts.count())))))
+    bits = bits or max(8, min(60, math.ceil(math.log2(max(2, texts.count()))) + SPARE_BITS))
     bands = bands_for(threshold, bits, miss)
     keys = texts.select("rep", "v").mapInArrow(_keys(bits, bands, seed), f"rep {kind}, dims int, keys array<bigint>")
     at = keys.select("rep", "dims", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("dims", "band", "key").alias("bucket"))
     at = stored(at, "similar-buckets", tidy=True)
     firsts = stored(at.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1"), "similar-firsts", tidy=True)
-    shared = stored(_joined(at, firsts, "bucket"), "similar-shared", tidy=True)
+    shared = stored(_joined(at, firsts.select("bucket", "first"), "bucket", sizes=firsts), "similar-shared", tidy=True)
     stars = stored(shared.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "similar-pairs", tidy=True)
     linked = _confirmed(stars, texts, threshold)
 
@@ -126,8 +133,8 @@ def similar_groups(vectors: DataFrame, threshold: float = THRESHOLD, miss: float
     placed = stored(placed, "similar-placed", tidy=True)
     sizes = placed.groupBy("bucket", "grp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = mixed.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = stored(_joined(placed, stored(mixed, "similar-mixed", tidy=True), "bucket"), "similar-open", tidy=True)
+    mixed = stored(mixed.select("bucket", "main", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "similar-mixed", tidy=True)
+    open_ = stored(_joined(placed, mixed.drop("n"), "bucket", sizes=mixed), "similar-open", tidy=True)
     asks = open_.filter("grp <> main").select("bucket", F.col("rep").alias("a"), F.col("grp").alias("_ga"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     told = open_.select("bucket", F.col("rep").alias("b"), F.col("grp").alias("_gb"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
     pairs = asks.join(told.hint("merge"), ["bucket", "block"]).filter("_ga <> _gb")

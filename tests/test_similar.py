@@ -95,3 +95,15 @@ def test_bands_keep_the_promised_chance():
             assert (1 - same**bits) ** bands <= 1e-3 < (1 - same**bits) ** (bands - 1)
     with pytest.raises(ValueError):
         similar.bands_for(1.0, 8)
+
+
+def test_keys_have_spare_bits_and_known_sizes_are_not_counted_again(spark, monkeypatch):
+    taken = []
+    keys = similar._keys
+    monkeypatch.setattr(similar, "_keys", lambda bits, bands, seed: taken.append((bits, bands)) or keys(bits, bands, seed))
+    vectors = spark.createDataFrame([(i, [float(i % 37 + 1), float(i % 11), float(i % 5)]) for i in range(1024)], "id long, vector array<double>")
+    similar.similar_groups(vectors)
+    assert taken == [(10 + similar.SPARE_BITS, similar.bands_for(0.95, 10 + similar.SPARE_BITS))]
+    rows, other = vectors.selectExpr("id % 9 AS k", "id"), spark.range(9).selectExpr("id AS k", "id * 2 AS twice")
+    sizes = rows.groupBy("k").agg({"*": "count"}).toDF("k", "n")
+    assert sorted(similar._joined(rows, other, "k", sizes=sizes).collect()) == sorted(similar._joined(rows, other, "k").collect())
