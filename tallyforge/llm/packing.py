@@ -43,9 +43,21 @@ BORDER_UNITS = 8
 K1, B = 1.2, 0.75
 CACHED_WORDS = 450_000
 PART_BYTES = 4 << 20
+#: Units or whole windows that a task holds as rows at once, beside its shard.
+ROWS_HELD = 1024
 _tokenizers: dict = {}
 
 
+def _give_back(tokenizers: bool = False) -> None:
+    """What a Python worker has no use for goes back to the system, as it lives on after its task.
+
+    Arrow's pool keeps what it freed; ``tokenizers`` with their known words are needed by no step but their own.
+    """
+    if tokenizers:
+        _tokenizers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Tokenizer:
     """Token ids of texts as little-endian 16-bit numbers.
 
@@ -191,32 +203,34 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
 
 
-def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
+def _tokenise(batches: Iterator[pa.RecordBatch], definition: str, window: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 'whole' (a full window), 'unit' (what is left) and 'counts' (a partition's document counts by token).
 
     A unit that is not its whole document carries the counts of that document's tokens as its profile.
     """
+    tokenizer = Tokenizer.shared(definition)
+    counts = np.zeros(VOCABULARY, dtype=np.int64)
+    end = np.array([END], dtype="<u2").tobytes()
+    for batch in batches:
+        for part in _in_parts(batch):
+            rows, coded = [], [ids + end for ids in tokenizer.encode(part.column("text").to_pylist())]
+            unit, token, times = _profiles([(ids, None) for ids in coded])
+            counts += np.bincount(token, minlength=VOCABULARY)
+            for i, (doc_id, ids) in enumerate(zip(part.column("doc_id").to_pylist(), coded, strict=True)):
+                n = len(ids) // 2
+                cut = n - n % window
+                rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, None, "whole") for s in range(0, cut, window)]
+                if cut < n:
+                    own = slice(*np.searchsorted(unit, (i, i + 1))) if cut else None
+                    rows.append((doc_id, cut, ids[2 * cut :], n, _packed(token[own], times[own]) if cut else None, "unit"))
+            yield _batch(rows, _UNIT)
+            del rows, coded, unit, token, times
+            _give_back()
+    yield _batch([(None, None, counts.tobytes(), None, None, "counts")], _UNIT)
 
-    def work(batches):
-        tokenizer = Tokenizer.shared(definition)
-        counts = np.zeros(VOCABULARY, dtype=np.int64)
-        end = np.array([END], dtype="<u2").tobytes()
-        for batch in batches:
-            for part in _in_parts(batch):
-                rows, coded = [], [ids + end for ids in tokenizer.encode(part.column("text").to_pylist())]
-                unit, token, times = _profiles([(ids, None) for ids in coded])
-                counts += np.bincount(token, minlength=VOCABULARY)
-                for i, (doc_id, ids) in enumerate(zip(part.column("doc_id").to_pylist(), coded, strict=True)):
-                    n = len(ids) // 2
-                    cut = n - n % window
-                    rows += [(doc_id, s, ids[2 * s : 2 * (s + window)], n, None, "whole") for s in range(0, cut, window)]
-                    if cut < n:
-                        own = slice(*np.searchsorted(unit, (i, i + 1))) if cut else None
-                        rows.append((doc_id, cut, ids[2 * cut :], n, _packed(token[own], times[own]) if cut else None, "unit"))
-                yield _batch(rows, _UNIT)
-        yield _batch([(None, None, counts.tobytes(), None, None, "counts")], _UNIT)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _UNIT)
+
+def _tokenised(docs: DataFrame, definition: str, window: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _tokenise(batches, definition, window), _UNIT)
 
 
 def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -234,6 +248,7 @@ def _statistics(tokenised: DataFrame) -> Bm25:
     """Weights from all documents; at most one number per token of the vocabulary is gathered."""
 
     def spread(batches):
+        _give_back(tokenizers=True)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
                 counts = np.frombuffer(ids, dtype=np.int64)
@@ -445,6 +460,15 @@ def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
         at += n
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of whole windows, some rows at a time: a batch of 10,000 has 160 MB of them."""
+    _give_back(tokenizers=True)
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_HELD):
+            some = (batch.column(c).slice(i, ROWS_HELD).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "sequence_id"))
+            yield _batch([(doc_id, start, len(ids) // 2, _wide(ids), doc_tokens, sequence_id, 0, doc_id) for doc_id, start, ids, doc_tokens, sequence_id in zip(*some, strict=True)], _PIECE)
+
+
 def _wide(ids: bytes) -> bytes:
     return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
 
@@ -452,12 +476,13 @@ def _wide(ids: bytes) -> bytes:
 def _shards(batches, shard_tokens: int, shard_units: int) -> Iterator[list[tuple]]:
     units, tokens = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "profile")), strict=True):
-            units.append(row)
-            tokens += len(row[2]) // 2
-            if tokens >= shard_tokens or len(units) == shard_units:
-                yield units
-                units, tokens = [], 0
+        for i in range(0, batch.num_rows, ROWS_HELD):
+            for row in zip(*(batch.column(c).slice(i, ROWS_HELD).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "profile")), strict=True):
+                units.append(row)
+                tokens += len(row[2]) // 2
+                if tokens >= shard_tokens or len(units) == shard_units:
+                    yield units
+                    units, tokens = [], 0
     if units:
         yield units
 
@@ -476,6 +501,7 @@ def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
         sampled = hashed.select("ids", "profile", "mixed").sample(min(1.0, 2 * BORDER_UNITS * parts / count), seed=7)
 
         def keys(batches):
+            _give_back(tokenizers=True)
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     some = batch.slice(i, 256)
@@ -486,6 +512,7 @@ def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
         borders = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
 
     def place(batches):
+        _give_back(tokenizers=True)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
@@ -511,6 +538,7 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
     bm25 = _statistics(tokenised)
 
     def fill(batches):
+        _give_back(tokenizers=True)
         packer, number, base = _Packer(bm25, window), 0, TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         full = (parts for units in _shards(batches, shard_tokens, shard_units) for parts in packer.take(units))
@@ -523,12 +551,6 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
         if rows:
             yield _batch(rows, _PIECE)
 
-    def widen(batches):
-        for batch in batches:
-            rows = [(doc_id, start, len(ids) // 2, _wide(ids), doc_tokens, sequence_id, 0, doc_id) for doc_id, start, ids, doc_tokens, sequence_id in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "sequence_id")), strict=True)]
-            if rows:
-                yield _batch(rows, _PIECE)
-
     packed = _placed(tokenised.filter("kind = 'unit'"), bm25, shard_units).mapInArrow(fill, _PIECE)
     whole = tokenised.filter("kind = 'whole'").select("doc_id", "start", "ids", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"))
-    return packed.unionByName(whole.mapInArrow(widen, _PIECE))
+    return packed.unionByName(whole.mapInArrow(_widened, _PIECE))

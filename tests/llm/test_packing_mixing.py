@@ -1,10 +1,13 @@
 """Packing and mixing against what their contracts say, worked out row by row."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tallyforge.llm import mixing, packing
 from tallyforge.llm.queries import tokenizer_definition
@@ -187,3 +190,36 @@ def test_copies_of_a_document_do_not_share_a_window(spark):
     rows = packing.pack(docs.unionByName(docs), tokenizer_definition()).select("doc_id", "start", "sequence_id").collect()
     windows = Counter((r["doc_id"], r["sequence_id"]) for r in rows if r["start"] == 0)
     assert sum(windows.values()) == 2 * docs.count() and sum(n > 1 for n in windows.values()) <= 2
+
+
+_HELD = """
+import random, re
+import pyarrow as pa
+from tallyforge.llm import packing
+from tallyforge.llm.queries import tokenizer_definition
+definition, rng = tokenizer_definition(), random.Random(1)
+words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(20000)]
+packing.Tokenizer.shared(definition).encode([" ".join(words)])
+held = lambda: int(re.search("RssAnon:\\\\s+(\\\\d+)", open("/proc/self/status").read())[1]) >> 10
+before = held()
+batch = pa.record_batch({"doc_id": list(range(1024)), "text": [" ".join(rng.choices(words, k=480)) for _ in range(1024)]})
+for _ in packing._tokenise([batch, batch], definition, 4096):
+    pass
+del _
+print(held() - before)
+"""
+
+
+def test_a_worker_does_not_keep_what_tokenising_took():
+    """25 MB of Arrow's pool before, beside 5 MB of texts."""
+    assert int(subprocess.run([sys.executable, "-c", _HELD], capture_output=True, text=True, check=True).stdout) < 15
+
+
+def test_whole_windows_come_some_at_a_time_without_tokenizers():
+    packing.Tokenizer.shared(tokenizer_definition())
+    n = 2 * packing.ROWS_HELD + 5
+    ids = [np.array([i, 7], "<u2").tobytes() for i in range(n)]
+    rows = pa.record_batch({"doc_id": list(range(n)), "start": [0] * n, "ids": ids, "doc_tokens": [2] * n, "sequence_id": list(range(n))})
+    got = list(packing._widened(iter([rows, rows.slice(0, 0)])))
+    assert [b.num_rows for b in got] == [packing.ROWS_HELD, packing.ROWS_HELD, 5] and not packing._tokenizers
+    assert [r["ids"] for b in got for r in b.to_pylist()] == [np.array([i, 7], "<u4").tobytes() for i in range(n)]
