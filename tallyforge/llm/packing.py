@@ -48,13 +48,15 @@ ROWS_HELD = 1024
 _tokenizers: dict = {}
 
 
-def _give_back(tokenizers: bool = False) -> None:
+def _give_back(words: bool = False) -> None:
     """What a Python worker has no use for goes back to the system, as it lives on after its task.
 
-    Arrow's pool keeps what it freed; ``tokenizers`` with their known words are needed by no step but their own.
+    Arrow's pool keeps what it freed. ``words``: in steps that do not tokenise, those that tokenizers have not met lately;
+    the rest stay for the next job, as learning them anew takes longer than all else in tokenising.
     """
-    if tokenizers:
-        _tokenizers.clear()
+    if words:
+        for tokenizer in _tokenizers.values():
+            tokenizer.older = {}
     pa.default_memory_pool().release_unused()
 
 
@@ -248,7 +250,7 @@ def _statistics(tokenised: DataFrame) -> Bm25:
     """Weights from all documents; at most one number per token of the vocabulary is gathered."""
 
     def spread(batches):
-        _give_back(tokenizers=True)
+        _give_back(words=True)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
                 counts = np.frombuffer(ids, dtype=np.int64)
@@ -462,7 +464,7 @@ def _pieces(sequence_id: int, parts: list[tuple]) -> Iterator[tuple]:
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of whole windows, some rows at a time: a batch of 10,000 has 160 MB of them."""
-    _give_back(tokenizers=True)
+    _give_back(words=True)
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS_HELD):
             some = (batch.column(c).slice(i, ROWS_HELD).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "sequence_id"))
@@ -501,7 +503,7 @@ def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
         sampled = hashed.select("ids", "profile", "mixed").sample(min(1.0, 2 * BORDER_UNITS * parts / count), seed=7)
 
         def keys(batches):
-            _give_back(tokenizers=True)
+            _give_back(words=True)
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     some = batch.slice(i, 256)
@@ -512,7 +514,7 @@ def _placed(units: DataFrame, bm25: Bm25, shard_units: int) -> DataFrame:
         borders = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
 
     def place(batches):
-        _give_back(tokenizers=True)
+        _give_back(words=True)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
@@ -538,7 +540,7 @@ def pack(docs: DataFrame, definition: str, window: int = WINDOW, shard_tokens: i
     bm25 = _statistics(tokenised)
 
     def fill(batches):
-        _give_back(tokenizers=True)
+        _give_back(words=True)
         packer, number, base = _Packer(bm25, window), 0, TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         full = (parts for units in _shards(batches, shard_tokens, shard_units) for parts in packer.take(units))

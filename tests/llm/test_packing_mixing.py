@@ -215,11 +215,12 @@ def test_a_worker_does_not_keep_what_tokenising_took():
     assert int(subprocess.run([sys.executable, "-c", _HELD], capture_output=True, text=True, check=True).stdout) < 15
 
 
-def test_whole_windows_come_some_at_a_time_without_tokenizers():
-    packing.Tokenizer.shared(tokenizer_definition())
+def test_whole_windows_come_some_at_a_time_without_old_words():
+    tokenizer = packing.Tokenizer.shared(tokenizer_definition())
+    tokenizer.older = {"old": b""}
     n = 2 * packing.ROWS_HELD + 5
     ids = [np.array([i, 7], "<u2").tobytes() for i in range(n)]
     rows = pa.record_batch({"doc_id": list(range(n)), "start": [0] * n, "ids": ids, "doc_tokens": [2] * n, "sequence_id": list(range(n))})
     got = list(packing._widened(iter([rows, rows.slice(0, 0)])))
-    assert [b.num_rows for b in got] == [packing.ROWS_HELD, packing.ROWS_HELD, 5] and not packing._tokenizers
+    assert [b.num_rows for b in got] == [packing.ROWS_HELD, packing.ROWS_HELD, 5] and not tokenizer.older
     assert [r["ids"] for b in got for r in b.to_pylist()] == [np.array([i, 7], "<u4").tobytes() for i in range(n)]
