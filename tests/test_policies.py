@@ -175,6 +175,31 @@ def test_choices_are_summed_where_pairs_are_made(spark, monkeypatch):
     assert plan.count("ASIN") == 2  # of a site's circle, and one distance for a pair
 
 
+def test_sites_of_a_cell_are_not_held_at_once(spark, monkeypatch):
+    monkeypatch.setattr(jurisdiction, "CROWD", 7)
+    v = spark.range(30).selectExpr("id AS voter", "1.0D + id / 100 AS lat", "1.0D AS lon", "0.5D AS exposure", "0.5D AS stake")
+    s = spark.range(400).selectExpr("id AS site", "1.0D + id / 1000 AS lat", "1.5D AS lon", "id AS population")
+    rows_held = ("spark.sql.sortMergeJoinExec.buffer.in.memory.threshold", "spark.sql.sortMergeJoinExec.buffer.spill.threshold")
+    for key in rows_held:
+        spark.conf.set(key, "25")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan itself holds the counts of its run
+    try:
+        found = jurisdiction.weighted_voters(v, s, 900.0)
+        assert {(r["site"], r["voter"]) for r in found.collect()} == {(a, b) for a in range(400) for b in range(30)}
+    finally:
+        for key in (*rows_held, "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    joins = [n for n in nodes(found._jdf.queryExecution().executedPlan()) if n.nodeName() == "SortMergeJoin"]
+    assert [n.metrics().apply("numOutputRows").value() for n in joins] == [12000]
+    assert [n.metrics().apply("spillSize").value() for n in joins] == [0]
+
+
 def test_medians_of_skewed_elections(spark):
     rng = np.random.default_rng(4)
     rows = [("hot", float(x), int(w)) for x, w in zip(rng.lognormal(0, 3, 4000).round(3), rng.integers(1, 9, 4000), strict=True)]
