@@ -200,6 +200,16 @@ def test_sites_of_a_cell_are_not_held_at_once(spark, monkeypatch):
     assert [n.metrics().apply("spillSize").value() for n in joins] == [0]
 
 
+def test_sites_of_a_cell_meet_their_voters_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jurisdiction, "CROWD", 7)
+    for voters, sites in ((5, 400), (400, 5), (30, 400)):
+        v = spark.range(voters).selectExpr("id AS voter", "1.0D + id / 1000 AS lat", "1.0D AS lon", "0.5D AS exposure", "0.5D AS stake")
+        s = spark.range(sites).selectExpr("id AS site", "1.0D + id / 1000 AS lat", "1.5D AS lon", "id AS population")
+        found = jurisdiction.weighted_voters(v, s, 900.0).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r["site"], r["voter"]) for r in found) == [(a, b) for a in range(sites) for b in range(voters)]
+        assert max(Counter(r["task"] for r in found).values()) < len(found) / 2
+
+
 def test_medians_of_skewed_elections(spark):
     rng = np.random.default_rng(4)
     rows = [("hot", float(x), int(w)) for x, w in zip(rng.lognormal(0, 3, 4000).round(3), rng.integers(1, 9, 4000), strict=True)]
