@@ -208,6 +208,8 @@ def test_sites_of_a_cell_meet_their_voters_in_several_tasks(spark, monkeypatch):
         found = jurisdiction.weighted_voters(v, s, 900.0).withColumn("task", F.spark_partition_id()).collect()
         assert sorted((r["site"], r["voter"]) for r in found) == [(a, b) for a in range(sites) for b in range(voters)]
         assert max(Counter(r["task"] for r in found).values()) < len(found) / 2
+    named = F.create_map(F.lit("en"), F.lit("a"))
+    assert jurisdiction.within(v.withColumn("voter_names", named), s.withColumn("site_names", named), 900.0).count() == voters * sites
 
 
 def test_medians_of_skewed_elections(spark):
